@@ -16,18 +16,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import cut
+from tidewater.session import cut, shuffle_partitions
 
 RFF = 256
 RIDGE = 1e-3
 BINS = 512
-SUM_GROUPS = 16
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 _ENDS = re.compile(r"[.!?]")
@@ -83,6 +83,8 @@ def _matrix(batch: pa.RecordBatch, name: str = "stats") -> np.ndarray:
 def _summed(rows: DataFrame, local, size: int) -> np.ndarray:
     """Sum over all partitions of the vectors that ``local(batch)`` gives: by partition, by group, then on the driver."""
 
+    groups = max(4, isqrt(shuffle_partitions(rows.sparkSession)))
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -90,14 +92,13 @@ def _summed(rows: DataFrame, local, size: int) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 total += local(b)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
 
-    def group(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(table: pa.Table) -> pa.Table:
         total = np.zeros(size)
-        for b in batches:
-            for v in b.column("v"):
-                total += np.frombuffer(v.as_buffer(), np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+        for v in table.column("v"):
+            total += np.frombuffer(v.as_buffer(), np.float64)
+        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
 
     got = rows.mapInArrow(part, "g int, v binary").groupBy("g").applyInArrow(group, "v binary").collect()
     return np.sum([np.frombuffer(r["v"], np.float64) for r in sorted(got, key=lambda r: bytes(r["v"]))], axis=0) if got else np.zeros(size)

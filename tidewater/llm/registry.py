@@ -6,11 +6,14 @@ from importlib import import_module
 
 #: query -> module that holds it; a module's SQL, where it has any, is the oracle of its query
 _HOMES = {
+    "op2_chat_format": "chat",
+    "op3_top_k": "topk",
     "op4_bpe": "bpe",
     "op6_language_id": "langid",
     "op7_quality": "quality",
     "op8_exact_dedup": "exact_dedup",
     "op9_best_fit_packing": "packing",
+    "op10_html_main_text": "html_main",
 }
 
 
