@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module that holds it; a module's SQL, where it has any, is the oracle of its query
 _HOMES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_chat_format": "chat",
     "op3_top_k": "topk",
     "op4_bpe": "bpe",
