@@ -80,7 +80,20 @@ def cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(b[s]), int(s), int(e)) for s, e in zip(starts, ends)]
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, how often each occurs)."""
+    x = np.sort(x)
+    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[new], np.diff(np.r_[new, len(x)])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    """A bijection that spreads the bits; in place where it can, as these arrays are many."""
+    if not isinstance(h, np.ndarray):
+        return mix(np.array([h], np.uint64))[0]
+    t = h >> np.uint64(31)
+    t ^= h
+    t *= np.uint64(0xBF58476D1CE4E5B9)
+    u = t >> np.uint64(29)
+    u ^= t
+    return u

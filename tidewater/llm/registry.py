@@ -10,6 +10,7 @@ _HOMES = {
     "op2_chat_format": "chat",
     "op3_top_k": "topk",
     "op4_bpe": "bpe",
+    "op5_near_dedup": "near_dedup",
     "op6_language_id": "langid",
     "op7_quality": "quality",
     "op8_exact_dedup": "exact_dedup",
