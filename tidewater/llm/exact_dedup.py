@@ -2,7 +2,7 @@
 
 Defined results
 - null text counts as empty; equality ignores the case of A-Z only.
-- of equal texts the row with the largest id stays; repeated ids within a group count as rows.
+- of equal texts the row with the largest id stays; repeated ids within a group count as rows; rows without an id stay.
 - an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 
 Each level looks only at rows whose group at the level before has two rows or more, so the whole text is hashed
@@ -47,8 +47,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay: of equal texts, the one with the largest id."""
-    gone = duplicate_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("keep_id"))
-    return docs.join(gone.select(F.col(id_col).alias("_gone")), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = cut(duplicate_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("keep_id")).select(id_col))
+    return sized_join(docs, gone, [id_col], "left_anti")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
