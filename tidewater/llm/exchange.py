@@ -30,10 +30,11 @@ def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return max(PER_PARTITION * least, -(-total // CHUNK_BYTES)), max(least, -(-total // BUCKET_BYTES))
 
 
-def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """chunk, doc_id, text (null: empty), ready for groupBy("chunk")."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """chunk, doc_id, text (null: empty) and the columns to carry along as _c0, _c1, ..., ready for groupBy("chunk")."""
+    more = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry or [])]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "*")
 
 
 def sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
@@ -47,8 +48,8 @@ def received(table: pa.Table, by: str = "origin") -> list[tuple[int, int, memory
     return sorted(((o, k, memoryview(v.as_buffer())) for o, k, v in rows), key=lambda r: r[:2])
 
 
-def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes of all texts, offsets) of a chunk, in an order that depends on the rows alone."""
+def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bytes of all texts, offsets, the rows' places in the table) of a chunk, in an order that depends on the rows alone."""
     ids = table.column("doc_id").to_numpy(zero_copy_only=False)
     col = table.column("text").combine_chunks()
     if isinstance(col, pa.ChunkedArray):
@@ -61,10 +62,10 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.array(sorted(range(len(ids)), key=lambda k: (ids[k], plain[k])), np.int64)
     taken = digest.take(pa.array(order))
     if not len(taken):
-        return ids, np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        return ids, np.zeros(0, np.uint8), np.zeros(1, np.int64), order
     offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
     data = np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if taken.buffers()[2] is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    return ids[order], data, offsets - offsets[0]
+    return ids[order], data, offsets - offsets[0], order
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -35,8 +35,8 @@ SEED = 20
 REACH = MATCH - SEED  # bytes of context on either side of an anchor
 CONTEXT = MATCH + REACH
 MANY = 2048  # more contexts than this beyond one per chunk: dealt string by string
-PIECE = 1 << 20
-INDEX_ROWS = 40_000
+PIECE = 48 << 10  # bytes scanned at a time: the arrays stay in a core's cache
+INDEX_ROWS = 6_000  # contexts to an index: bounds a worker's memory
 ALL, ASK = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 SHARED, STRINGS, ASKED = 1, 2, 3  # kinds of blocks
 
@@ -47,7 +47,10 @@ def _kmer_hash(a: np.ndarray) -> np.ndarray:
     """Hash of the SEED bytes from each place (SEED = 16 + 4)."""
     part, n, four = a.astype(np.uint64) + np.uint64(1), 1, None
     while n < 16:
-        part = mix(part[:-n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) + part[n:])
+        joined = part[:-n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+        joined += part[n:]
+        part = joined >> np.uint64(29)
+        part ^= joined
         n *= 2
         if n == 4:
             four = part
@@ -79,7 +82,8 @@ class Anchors:
     """The anchors of a chunk's documents: hash, place in the chunk's bytes, document, context bytes on demand."""
 
     def __init__(self, table: pa.Table):
-        self.ids, self.data, self.offsets = texts_of(table)
+        self.ids, self.data, self.offsets, order = texts_of(table)
+        self.carried = table.select([c for c in table.column_names if c.startswith("_c")]).take(pa.array(order))
         hashes, places, contexts = [], [], []
         batch: list[tuple[int, int, int]] = []
         size = 0
@@ -114,7 +118,8 @@ class Anchors:
         h = _kmer_hash(a)
         wins = REACH + 1
         least = _sliding(h, wins, np.minimum)  # for the string from each place
-        bad = np.cumsum(np.r_[0, a == 255])
+        bad = np.zeros(len(a) + 1, np.int32)
+        np.cumsum(a == 255, out=bad[1:])
         n = len(a) - MATCH + 1
         least = np.where(bad[MATCH : MATCH + n] == bad[:n], least[:n], np.uint64(0))
         # an anchor is the least place of some whole string that holds it
@@ -199,12 +204,17 @@ class Chunk:
     def anchors(self) -> pa.Table:
         """Round 1: anchor, and one byte: distinct contexts here (up to 127), 128 if in two documents or more."""
         a = self.a
-        first, starts, entry = _first_ids((a.hash, a.context), a.doc_id)
-        contexts = np.bincount(self.of[first], minlength=len(self.keys)) if len(first) else np.zeros(0, np.int64)
-        low = np.full(len(self.keys), np.iinfo(np.int64).max)
-        high = np.full(len(self.keys), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.of, a.doc_id)
-        np.maximum.at(high, self.of, a.doc_id)
+        contexts = np.ones(len(self.keys), np.int64)
+        low, high = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        more = np.flatnonzero((np.bincount(self.of, minlength=len(self.keys)) > 1)[self.of]) if len(self.keys) else np.zeros(0, np.int64)
+        if len(more):  # only anchors that occur again here
+            of = self.of[more]
+            first, _, _ = _first_ids((a.hash[more], a.context[more]), a.doc_id[more])
+            n = np.bincount(of[first], minlength=len(self.keys))
+            contexts = np.maximum(n, 1)
+            low[of], high[of] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+            np.minimum.at(low, of, a.doc_id[more])
+            np.maximum.at(high, of, a.doc_id[more])
         note = np.minimum(contexts, 127).astype(np.uint8) | np.where(high > low, 128, 0).astype(np.uint8)
         return sent([(b, self.chunk, SHARED, self.keys[s:e].tobytes() + note[s:e].tobytes()) for b, s, e in cuts(self.keys, self.buckets)])
 
@@ -260,7 +270,7 @@ class Chunk:
             elsewhere = self._answer(STRINGS + 10, self.s_cuts, np.uint8)
             hit = (elsewhere[self.s_entry] > 0) | (self.s_doc > self.s_doc[self.s_first[self.s_entry]])
             mark(self.s_start[hit], self.s_start[hit])
-        covered = np.cumsum(diff[:-1]) > 0
+        covered = np.cumsum(diff[:-1], dtype=np.int32) > 0
         n = len(a.ids)
         before = np.r_[0, np.cumsum(covered)][a.offsets]
         rise = covered.copy()
@@ -272,7 +282,8 @@ class Chunk:
         lengths = np.diff(a.offsets)
         kept_offsets = np.r_[0, np.cumsum(lengths - removed)].astype(np.int32)
         kept = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept_offsets.tobytes()), pa.py_buffer(a.data[~covered].tobytes())])
-        return pa.table([pa.array(a.ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        own = [pa.array(a.ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), kept]
+        return pa.table([*own, *a.carried.columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *a.carried.column_names])
 
 
 def _gathered(table: pa.Table, kind: int, *fields) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
@@ -367,10 +378,10 @@ def judge_bytes(bucket: int, table: pa.Table) -> pa.Table:
     return sent(_answers(bucket, ASKED + 10, heads, long_matches(keys, ids, ctx)))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay)."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), and the columns named in ``carry``."""
     chunks, buckets = sizes(docs, text_col)
-    base = chunked(docs, chunks, id_col, text_col)
+    base = chunked(docs, chunks, id_col, text_col, carry)
 
     def at_buckets(df: DataFrame, f) -> DataFrame:
         return df.groupBy("target").applyInArrow(lambda key, t: f(key[0].as_py(), t), BLOCKS)
@@ -383,7 +394,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     status = at_buckets(one, judge_anchors)
     codes = status.unionByName(at_buckets(at_chunks(status, Chunk.contexts, BLOCKS), judge_contexts))
     masks = codes.unionByName(at_buckets(at_chunks(codes, Chunk.asked_bytes, BLOCKS), judge_bytes))
-    return at_chunks(masks, Chunk.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    more = "".join(f", _c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
+    out = at_chunks(masks, Chunk.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
+    return out.withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carry or [])})
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
