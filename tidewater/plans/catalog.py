@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+def _catalog():
+    from tidewater.operators import rolling, store  # noqa: F401  definitions register themselves
+    from tidewater.plans.dialect import CATALOG
+
+    return CATALOG
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return {name: op.run for name, op in _catalog().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return {name: op.oracle() for name, op in _catalog().items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Candles to momentum and their normalised companions."""
+    return _catalog()["p05_momentum"].run(spark, sf_dir)
