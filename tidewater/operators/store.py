@@ -59,7 +59,7 @@ operator("t17_quality_history", "Newest quality rows of each collector.", "SELEC
 
 # 2.3 feature store -----------------------------------------------------------------------------------------------
 operator("f01_unpivot", "Wide to long; null, NaN and infinite values drop; per-feature watermark.", "WITH l AS (SELECT symbol, ts, 'close' AS feature_name, close AS value FROM {candles} UNION ALL SELECT symbol, ts, 'body', close - open FROM {candles} UNION ALL SELECT symbol, ts, 'body_pct', @div(close - open, open) FROM {candles}), w AS (SELECT 'close' AS feature_name, (SELECT max(ts) - INTERVAL 5 DAYS FROM {candles}) AS cutoff) SELECT symbol, ts, l.feature_name, @r6(value) AS value FROM l LEFT JOIN w ON l.feature_name = w.feature_name WHERE value IS NOT NULL AND abs(value) < 1e300 AND (cutoff IS NULL OR ts > cutoff)")
-operator("f02_range_quality", "Share of values within the registered range, with a warning.", "WITH r AS (SELECT 'close' AS feature_name, 0.0 AS lo, 80.0 AS hi UNION ALL SELECT 'range', 0.0, 50.0 UNION ALL SELECT 'volume', 5.0, NULL) SELECT s.feature_name, @r6(avg(CASE WHEN (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) THEN 100.0 ELSE 0.0 END)) AS pct, CASE WHEN avg(CASE WHEN (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) THEN 100.0 ELSE 0.0 END) < 80 THEN 1 ELSE 0 END AS warn FROM {store} s JOIN r ON s.feature_name = r.feature_name GROUP BY s.feature_name")
+operator("f02_range_quality", "Share of values within the registered range, with a warning.", "WITH r AS (SELECT 'close' AS feature_name, 0.0 AS lo, 80.0 AS hi UNION ALL SELECT 'range', 0.0, 50.0 UNION ALL SELECT 'volume', 5.0, NULL) SELECT s.feature_name, @r6(avg(CASE WHEN (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) THEN 100 ELSE 0 END)) AS pct, CASE WHEN avg(CASE WHEN (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi) THEN 100 ELSE 0 END) < 80 THEN 1 ELSE 0 END AS warn FROM {store} s JOIN r ON s.feature_name = r.feature_name GROUP BY s.feature_name")
 operator("f03_run_statistics", "Mean, population deviation, extremes and count per feature.", "SELECT feature_name, @r6(avg(value)) AS mean, @r6(coalesce(stddev_pop(value), 0.0)) AS std, @r6(min(value)) AS lo, @r6(max(value)) AS hi, count(value) AS n FROM {store} GROUP BY feature_name")
 operator("f04_upsert", "Idempotent upsert: of equal keys, the newest update.", "SELECT feature_name, feature_version, symbol, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY feature_name, feature_version, symbol, timeframe, ts ORDER BY last_updated DESC) AS k FROM (SELECT * FROM {store} UNION ALL SELECT feature_name, feature_version, symbol, timeframe, ts, value * 2, last_updated + INTERVAL 1 HOURS FROM {store} WHERE feature_name = 'range') u) q WHERE k = 1")
 operator("f06_online_map", "Newest value of each feature by symbol.", "SELECT symbol, timeframe, feature_name, max_by(value, ts) AS value, max(ts) AS ts FROM {store} GROUP BY symbol, timeframe, feature_name")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 def _catalog():
-    from tidewater.operators import rolling, store  # noqa: F401  definitions register themselves
+    from tidewater.operators import rolling, snapshots, statistics, store  # noqa: F401  definitions register themselves
     from tidewater.plans.dialect import CATALOG
 
     return CATALOG
