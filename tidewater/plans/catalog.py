@@ -14,7 +14,9 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: op.run for name, op in _catalog().items()}
+    from tidewater.operators import folds
+
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
