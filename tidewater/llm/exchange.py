@@ -17,7 +17,8 @@ from tidewater.session import shuffle_partitions
 
 CHUNK_BYTES = 24 << 20
 BUCKET_BYTES = 128 << 20
-PER_PARTITION = 3  # chunks to a partition at least, so that a hash deals them evenly
+PER_PARTITION = 3  # chunks to a partition, so that a hash deals them evenly
+LEAST_CHUNK, LEAST_BUCKET = 1 << 20, 4 << 20  # but no smaller than this: blocks grow with chunks x buckets
 
 BLOCKS = "target int, origin int, kind int, block binary"
 _SCHEMA = pa.schema([("target", pa.int32()), ("origin", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
@@ -27,7 +28,13 @@ def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(chunks, buckets) for these documents: bounded bytes of text to each."""
     total = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     least = shuffle_partitions(docs.sparkSession)
-    return max(PER_PARTITION * least, -(-total // CHUNK_BYTES)), max(least, -(-total // BUCKET_BYTES))
+    chunks = max(min(PER_PARTITION * least, -(-total // LEAST_CHUNK)), -(-total // CHUNK_BYTES), 1)
+    return chunks, max(min(least, -(-total // LEAST_BUCKET)), -(-total // BUCKET_BYTES), 1)
+
+
+def at_buckets(blocks: DataFrame, buckets: int, judge) -> DataFrame:
+    """``judge(bucket, blocks)`` for each bucket; dealt to a stated number of partitions, which small blocks don't merge."""
+    return blocks.repartition(2 * buckets, "target").groupBy("target").applyInArrow(lambda key, t: judge(key[0].as_py(), t), BLOCKS)
 
 
 def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

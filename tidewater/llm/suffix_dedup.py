@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.exchange import BLOCKS, chunked, cuts, mix, received, sent, sizes, texts_of
+from tidewater.llm.exchange import BLOCKS, at_buckets, chunked, cuts, mix, received, sent, sizes, texts_of
 from tidewater.llm.run_index import RunIndex
 
 MATCH = 50
@@ -383,17 +383,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks, buckets = sizes(docs, text_col)
     base = chunked(docs, chunks, id_col, text_col, carry)
 
-    def at_buckets(df: DataFrame, f) -> DataFrame:
-        return df.groupBy("target").applyInArrow(lambda key, t: f(key[0].as_py(), t), BLOCKS)
-
     def at_chunks(answers: DataFrame, f, schema: str) -> DataFrame:
         mine = answers.withColumnRenamed("target", "chunk")
         return base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(lambda key, t, got: f(Chunk(key[0].as_py(), t, buckets, got)), schema)
 
     one = base.groupBy("chunk").applyInArrow(lambda key, t: Chunk(key[0].as_py(), t, buckets).anchors(), BLOCKS)
-    status = at_buckets(one, judge_anchors)
-    codes = status.unionByName(at_buckets(at_chunks(status, Chunk.contexts, BLOCKS), judge_contexts))
-    masks = codes.unionByName(at_buckets(at_chunks(codes, Chunk.asked_bytes, BLOCKS), judge_bytes))
+    status = at_buckets(one, buckets, judge_anchors)
+    codes = status.unionByName(at_buckets(at_chunks(status, Chunk.contexts, BLOCKS), buckets, judge_contexts))
+    masks = codes.unionByName(at_buckets(at_chunks(codes, Chunk.asked_bytes, BLOCKS), buckets, judge_bytes))
     more = "".join(f", _c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
     out = at_chunks(masks, Chunk.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
     return out.withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carry or [])})
