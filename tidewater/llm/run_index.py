@@ -25,6 +25,7 @@ class RunIndex:
         for k in range(PACK):
             key <<= 9
             key[:, : w + 1 - k] |= sym[:, k:]
+        self.key = key
         rank, span = self._ranks(key), PACK
         by_span = {}
         while span < w + 1:
@@ -83,13 +84,13 @@ class RunIndex:
         rb, jb = np.divmod(b, w + 1)
         out = np.zeros(len(a), np.int64)
         live = np.flatnonzero(most > 0)
-        while len(live):
+        while len(live):  # PACK symbols at a time; where they differ, the place of the first that does
             n = out[live]
-            x, y = ja[live] + n, jb[live] + n
-            sx, sy = self.sym[ra[live], np.minimum(x, w)], self.sym[rb[live], np.minimum(y, w)]
-            go = (sx == sy) & (sx > 0) & (n < most[live])
-            live = live[go]
-            out[live] += 1
+            x = self.key[ra[live], np.minimum(ja[live] + n, w)] ^ self.key[rb[live], np.minimum(jb[live] + n, w)]
+            same = x == 0
+            lead = PACK - 1 - (np.frexp(x.astype(np.float64))[1] - 1) // 9
+            out[live] = n + np.where(same, PACK, np.clip(lead, 0, PACK))
+            live = live[same & (out[live] < most[live])]
         return np.minimum(out, most)
 
     def matching_statistics(self, patterns: np.ndarray):

@@ -132,7 +132,7 @@ class Anchors:
         found, p, rel = found[own], p[own], rel[own]
         if len(found):
             ctx = np.lib.stride_tricks.sliding_window_view(a, CONTEXT)[found - REACH]
-            hashes.append(h[found])
+            hashes.append(mix(h[found] * np.uint64(0xD6E8FEB86659FD93)))  # the least hashes are small: spread them over the buckets
             places.append(origin[p] + rel)
             contexts.append(_words_hash(ctx, 80))
 
