@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidewater.session import shuffle_partitions
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 128 << 20
-PER_PARTITION = 3  # chunks to a partition, so that a hash deals them evenly
+PER_PARTITION = 4  # chunks to a partition, so that a hash deals them evenly
 LEAST_CHUNK, LEAST_BUCKET = 1 << 20, 4 << 20  # but no smaller than this: blocks grow with chunks x buckets
 
 BLOCKS = "target int, origin int, kind int, block binary"
