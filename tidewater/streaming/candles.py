@@ -16,10 +16,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SESSION_OFFSET = {1: 0, 3: 0, 5: 0, 15: 0, 30: 15, 60: 45}
 
 
+def timed(df: DataFrame, col: str = "ts") -> DataFrame:
+    """Event time as an instant: watermarks don't take times without a zone."""
+    return df.withColumn(col, F.col(col).cast("timestamp")) if df.schema[col].dataType.typeName() == "timestamp_ntz" else df
+
+
 def bars(ticks: DataFrame, minutes: int = 1, late: str = "10 minutes") -> DataFrame:
     """symbol, ts, open, high, low, close, volume from ticks (symbol, ts, ltp), one row per closed bar."""
     w = F.window("ts", f"{minutes} minutes", startTime=f"{SESSION_OFFSET.get(minutes, 0)} minutes")
-    t = ticks.where("ltp IS NOT NULL").withWatermark("ts", late).groupBy("symbol", w)
+    t = timed(ticks).where("ltp IS NOT NULL").withWatermark("ts", late).groupBy("symbol", w)
     agg = t.agg(F.min_by("ltp", "ts").alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", "ts").alias("close"), F.count("*").alias("volume"))
     return agg.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
@@ -41,7 +46,7 @@ def counter_volume(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
         if last is not None:
             state.update((last,))
 
-    t = ticks.withWatermark("ts", late).groupBy("symbol")
+    t = timed(ticks).withWatermark("ts", late).groupBy("symbol")
     return t.applyInPandasWithState(step, "symbol string, ts timestamp, volume long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -57,7 +62,7 @@ def beliefs(evidence: DataFrame, weight: float = 0.3) -> DataFrame:
         state.update((p, n))
         yield pd.DataFrame([(key[0], p, n)], columns=["symbol", "belief", "updates"])
 
-    return evidence.groupBy("symbol").applyInPandasWithState(step, "symbol string, belief double, updates long", "p double, n long", "update", GroupStateTimeout.NoTimeout)
+    return timed(evidence).groupBy("symbol").applyInPandasWithState(step, "symbol string, belief double, updates long", "p double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def lifecycle(log: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def lifecycle(log: DataFrame) -> DataFrame:
 
 def deduplicated(bus: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Bus messages once by id within the watermark (event_id, ts, ...)."""
-    return bus.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return timed(bus).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def upsert_into(path: str, keys: list[str]):
