@@ -37,6 +37,7 @@ def test_same_rows_as_duckdb(spark, sf, duck, name):
 
 
 def test_render_splits_arguments_at_the_top_level():
+    assert render("@g", duck=False) == ""
     assert render("@div(f(a, b), c)", duck=False) == "(CAST(f(a, b) AS DOUBLE) / nullif(CAST(c AS DOUBLE), 0.0))"
     assert render("@filter(a, @L(x) x > 1)", duck=True) == "list_filter(a, lambda x: x > 1)"
     assert render("@json(p, 'k')", duck=False) == "get_json_object(p, '$.k')"

@@ -22,7 +22,7 @@ operator("b04_sector_participation", "Mean strength over sectors and the share a
 operator("b05_sector_correlation", "Rolling correlation of a sector with the mean over sectors.", f"WITH {SECTORS}, m AS (SELECT sector AS symbol, day AS ts, heat, avg(heat) OVER (PARTITION BY day) AS mean FROM s) SELECT symbol AS sector, ts AS day, @r6(CASE WHEN count(heat) {over(10)} = 10 THEN least(1.0, greatest(-1.0, covar_pop(heat, mean) {over(10)} / nullif(sqrt(var_pop(heat) {over(10)} * var_pop(mean) {over(10)}), 0.0))) END) AS corr_10 FROM m")
 operator("b06_flow_features", "Flow score, participation index and its slope.", f"WITH f AS (SELECT 'all' AS symbol, date_trunc('month', o_orderdate) AS ts, @div(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END), sum(o_totalprice)) AS score FROM {{orders}} GROUP BY date_trunc('month', o_orderdate)), n AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM f) SELECT ts, @r6(score) AS score, @r6(50 + 50 * score) AS participation_index, @r6(CASE WHEN count(score) {over(5)} = 5 THEN regr_slope(score, CAST(rn AS DOUBLE)) {over(5)} END) AS slope_5 FROM n")
 operator("b07_macro_factors", "Per-factor value, change and z-score.", f"WITH f AS (SELECT o_orderpriority AS symbol, date_trunc('month', o_orderdate) AS ts, avg(o_totalprice) AS value FROM {{orders}} GROUP BY 1, 2) SELECT symbol AS factor, ts, @r6(value) AS value, @r6(@div(value - lag(value) OVER (PARTITION BY symbol ORDER BY ts), lag(value) OVER (PARTITION BY symbol ORDER BY ts)) * 100) AS ret, @r6(CASE WHEN count(value) {over(20)} >= 10 THEN @div(value - avg(value) {over(20)}, stddev_pop(value) {over(20)}) END) AS z FROM f")
-CHAIN = "c AS (SELECT p_brand AS chain, p_size AS strike, sum(CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 13 ELSE 0 END) AS call_oi, sum(CASE WHEN p_partkey % 2 = 1 THEN 1 + p_partkey % 11 ELSE 0 END) AS put_oi, avg(p_retailprice) / 50 AS iv, sum(p_partkey % 5 - 2) AS oi_change, avg(p_retailprice) AS ltp FROM {part} GROUP BY p_brand, p_size)"
+CHAIN = "c AS (SELECT p_brand AS chain, p_size AS strike, CAST(sum(CASE WHEN p_partkey % 2 = 0 THEN 1 + p_partkey % 13 ELSE 0 END) AS BIGINT) AS call_oi, CAST(sum(CASE WHEN p_partkey % 2 = 1 THEN 1 + p_partkey % 11 ELSE 0 END) AS BIGINT) AS put_oi, avg(p_retailprice) / 50 AS iv, sum(p_partkey % 5 - 2) AS oi_change, avg(p_retailprice) AS ltp FROM {part} GROUP BY p_brand, p_size)"
 operator("b08_option_features", "Open-interest change, expected move, dealer positioning and volume ratio of chains.", f"WITH {CHAIN} SELECT chain, CAST(sum(call_oi + put_oi) AS BIGINT) AS total_oi, @r6(@div(sum(oi_change), sum(call_oi + put_oi)) * 100) AS oi_change_pct, @r6(25 * avg(iv) / 100 * sqrt(CAST(7 AS DOUBLE) / 365)) AS expected_move, @r6(@div(sum(call_oi) - sum(put_oi), sum(call_oi + put_oi))) AS dealer, @r6(@div(sum(put_oi), sum(call_oi))) AS volume_ratio FROM c GROUP BY chain")
 operator("b09_iv_rank", "Rank and percentile of implied volatility among trailing snapshots.", f"WITH v AS (SELECT symbol, ts, high - low AS iv FROM {{candles}}), h AS (SELECT *, @list_agg(iv) {over(60)} AS a, min(iv) {over(60)} AS lo, max(iv) {over(60)} AS hi FROM v) SELECT symbol, ts, @r6(@div(iv - lo, hi - lo) * 100) AS iv_rank, @r6(@div(@size(@filter(a, @L(x) x <= iv)), @size(a)) * 100) AS iv_pct FROM h")
 SPINE = "n AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS k, avg(value) AS sentiment FROM {observations} WHERE label = 'signup' GROUP BY 1), b AS (SELECT min(hour) AS lo, max(hour) AS hi FROM n), x AS (SELECT @explode(@seq(CAST(0 AS BIGINT), @idiv(@unix(hi) - @unix(lo), 3600))) AS i, lo FROM b), p AS (SELECT @from_unix(@unix(lo) + i * 3600) AS hour FROM x), h AS (SELECT p.hour, coalesce(k, 0) AS k, sentiment FROM p LEFT JOIN n ON p.hour = n.hour)"

@@ -29,6 +29,8 @@ operator("s08_source_fallback", "The whole of the first source that has rows, pe
 operator("s09_no_future", "Bars not stamped after the fetch.", "SELECT symbol, ts, close FROM {candles} WHERE ts <= (SELECT max(ts) - INTERVAL 24 HOURS FROM {candles})")
 operator("s10_gap_count", "Gaps longer than a bar and shorter than sixteen hours.", "SELECT symbol, CAST(sum(CASE WHEN gap > 3600 AND gap < 57600 THEN 1 ELSE 0 END) AS BIGINT) AS gaps FROM (SELECT symbol, @unix(ts) - @unix(lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS gap FROM {candles}) q GROUP BY symbol")
 operator("s11_insert_absent", "Rows of a batch whose key isn't stored yet.", "SELECT n.symbol, n.ts, n.close FROM {candles} n WHERE NOT EXISTS (SELECT 1 FROM (SELECT symbol, ts FROM {candles} WHERE volume % 2 = 0) o WHERE o.symbol = n.symbol AND o.ts = n.ts)")
+operator("s14_clean_text", "Markup out of feed and page texts, white space to single spaces.", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' '@g), '[ \\n\\t\\r]+', ' '@g)) AS text FROM {pages}")
+operator("s15_chain_legs", "Strike rows of the nearest expiry of each chain.", "WITH e AS (SELECT p_brand AS chain, p_size AS strike, p_partkey % 4 AS expiry, CAST(sum(p_partkey % 13) AS BIGINT) AS oi FROM {part} GROUP BY 1, 2, 3), n AS (SELECT chain, min(expiry) AS expiry FROM e GROUP BY chain) SELECT e.chain, e.strike, e.expiry, e.oi FROM e JOIN n ON e.chain = n.chain AND e.expiry = n.expiry")
 operator("s16_latest_deals", "Deals of the latest date only, value in tens of millions.", "SELECT l_returnflag AS symbol, l_orderkey, l_linenumber, l_partkey, @r6(l_quantity * l_extendedprice / 10000000) AS value_cr FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC) AS r FROM {lineitem}) q WHERE r = 1")
 operator("s17_action_mapping", "Kind of an action by a pattern in its subject.", "SELECT doc_id, CASE WHEN @like_all(lower(text), 'license') THEN 'license' WHEN @like_all(lower(text), 'idiot|pathetic') THEN 'warning' ELSE 'other' END AS kind FROM {documents}")
 operator("s18_schedule_expansion", "Next occurrence of monthly rules within thirteen months; days that don't exist are skipped.", "WITH m AS (SELECT c_custkey, 1 + CAST(c_custkey % 31 AS INT) AS dom FROM {customer}), d AS (SELECT c_custkey, dom, @explode(@seq(0, 12)) AS k FROM m), n AS (SELECT c_custkey, dom, CAST(@idiv(k, 12) AS INT) + 2024 AS y, CAST(k % 12 AS INT) + 1 AS mo FROM d), ok AS (SELECT c_custkey, y, mo, dom FROM n WHERE dom <= CASE WHEN mo IN (4, 6, 9, 11) THEN 30 WHEN mo = 2 THEN CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END ELSE 31 END) SELECT c_custkey, min(make_date(y, mo, dom)) AS next_on FROM ok WHERE make_date(y, mo, dom) >= DATE '2024-02-10' GROUP BY c_custkey")
@@ -49,7 +51,7 @@ operator("t04_rollup", "Minute bars rolled up to larger ones.", f"WITH {MINUTE}
 operator("t05_upsert_candles", "Insert or replace: of equal keys, the newest batch's row.", "SELECT symbol, ts, close, batch FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY batch DESC) AS k FROM (SELECT symbol, ts, close, 1 AS batch FROM {candles} UNION ALL SELECT symbol, ts, close + 1, 2 FROM {candles} WHERE volume % 3 = 0) u) q WHERE k = 1")
 operator("t07_retention", "Rows that retention deletes, by timeframe.", "WITH l AS (SELECT '1H' AS timeframe, 10 AS keep_days UNION ALL SELECT 'D', 5), s AS (SELECT '1H' AS timeframe, ts FROM {candles} UNION ALL SELECT 'D', @from_unix(@unix(@date(ts))) FROM {candles}) SELECT s.timeframe, CAST(sum(CASE WHEN @unix(ts) < @unix((SELECT max(ts) FROM {candles})) - keep_days * 86400 THEN 1 ELSE 0 END) AS BIGINT) AS deleted, count(*) AS total FROM s JOIN l ON s.timeframe = l.timeframe GROUP BY s.timeframe")
 operator("t08_snapshots", "Observations in epoch buckets: newest time, last value per label, nulls skipped.", "SELECT @idiv(@unix(ts), 60) AS bucket, label, max(ts) AS ts, max_by(value, CASE WHEN value IS NOT NULL THEN id END) AS value, count(*) AS n FROM {observations} GROUP BY @idiv(@unix(ts), 60), label")
-operator("t09_event_snapshots", "Buckets of calendar records: the last summary and how many events.", "SELECT @idiv(@unix(ts), 3600) AS bucket, max(ts) AS ts, max_by(label, CASE WHEN source = 'src0' THEN id END) AS summary, sum(CASE WHEN source <> 'src0' THEN 1 ELSE 0 END) AS events FROM {observations} GROUP BY @idiv(@unix(ts), 3600)")
+operator("t09_event_snapshots", "Buckets of calendar records: the last summary and how many events.", "SELECT @idiv(@unix(ts), 3600) AS bucket, max(ts) AS ts, max_by(label, CASE WHEN source = 'src0' THEN id END) AS summary, CAST(sum(CASE WHEN source <> 'src0' THEN 1 ELSE 0 END) AS BIGINT) AS events FROM {observations} GROUP BY @idiv(@unix(ts), 3600)")
 operator("t10_sessions", "Trading sessions by local date, with enough bars.", "SELECT symbol, @date(@ist(ts)) AS session, count(*) AS bars FROM {candles} GROUP BY symbol, @date(@ist(ts)) HAVING count(*) >= 15")
 operator("t11_bus_dedup", "Bus messages once by id, ordered by version.", "SELECT event_id, label, version FROM (SELECT id AS event_id, label, version, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS k FROM (SELECT id, label, 1 AS version FROM {observations} UNION ALL SELECT id, label, 2 FROM {observations} WHERE id % 5 = 0) u) q WHERE k = 1")
 operator("t13_observation_rows", "Observations to persist, with a health row per source.", "SELECT source, count(*) AS records, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, max(ts) AS last_seen FROM {observations} GROUP BY source")

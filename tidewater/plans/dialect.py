@@ -63,7 +63,7 @@ def _calls(text: str, name: str, make) -> str:
 def render(text: str, duck: bool) -> str:
     """The template's text in one of the dialects."""
     own = 1 if duck else 0
-    text = _calls(text, "r6", lambda x: f"(round(CAST({x} AS DOUBLE), 6) + 0.0)")
+    text = _calls(text, "r6", lambda x: f"(round(CAST({x} AS DOUBLE) + 1e-9, 6) + 0.0)")
     text = _calls(text, "div", lambda a, b: f"(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0.0))")
     text = _calls(text, "unix", (lambda x: f"CAST(floor(epoch({x})) AS BIGINT)") if duck else (lambda x: f"unix_timestamp({x})"))
     text = _calls(text, "json", (lambda x, k: f"json_extract_string({x}, '$.{k[1:-1]}')") if duck else (lambda x, k: f"get_json_object({x}, '$.{k[1:-1]}')"))
@@ -79,6 +79,7 @@ def render(text: str, duck: bool) -> str:
     text = _calls(text, "seq", (lambda a, b: f"generate_series({a}, {b})") if duck else (lambda a, b: f"sequence({a}, {b})"))
     text = _calls(text, "tokens", (lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9]+')") if duck else (lambda x: f"regexp_extract_all(lower({x}), '([a-z0-9]+)', 1)"))
     text = text.replace("AS STRING)", "AS VARCHAR)") if duck else text
+    text = text.replace("@g", ", 'g'" if duck else "")
     text = _calls(text, "date", (lambda x: f"CAST({x} AS DATE)"))
     text = _calls(text, "last_nn", (lambda x: f"last_value({x} IGNORE NULLS)") if duck else (lambda x: f"last_value({x}) IGNORE NULLS"))
     text = _calls(text, "tail", (lambda a, n: f"list_slice({a}, {n} + 1, len({a}))") if duck else (lambda a, n: f"slice({a}, {n} + 1, size({a}))"))
