@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tidewater.plans import catalog
-from tidewater.plans.dialect import CATALOG, TABLES, render
+from tidewater.plans.dialect import TABLES, render
 
 NAMES = sorted(catalog.oracle_sql())
 
@@ -27,9 +27,9 @@ def canon(rows):
 
 @pytest.mark.parametrize("name", NAMES[::4])
 def test_same_rows_as_duckdb(spark, sf, duck, name):
-    df = CATALOG[name].run(spark, sf)
+    df = catalog.queries()[name](spark, sf)
     cols = sorted(df.columns)
-    rel = duck.execute(CATALOG[name].oracle())
+    rel = duck.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]

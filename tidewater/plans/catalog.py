@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 def _catalog():
-    from tidewater.operators import decision, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
+    from tidewater.operators import decision, readouts, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
     from tidewater.plans.dialect import CATALOG
 
     return CATALOG
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import folds
+    from tidewater.operators import folds, readouts
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: op.oracle() for name, op in _catalog().items()}
+    from tidewater.operators import readouts
+
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
