@@ -8,6 +8,9 @@ read the same exchange of documents, which Spark runs once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +35,20 @@ def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return chunks, max(min(least, -(-total // LEAST_BUCKET)), -(-total // BUCKET_BYTES), 1)
 
 
+def released(f, *args):
+    """f's result; what it held besides goes back to the system, so that a worker that is used again stays small."""
+    out = f(*args)
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return out
+
+
 def at_buckets(blocks: DataFrame, buckets: int, judge) -> DataFrame:
     """``judge(bucket, blocks)`` for each bucket; dealt to a stated number of partitions, which small blocks don't merge."""
-    return blocks.repartition(2 * buckets, "target").groupBy("target").applyInArrow(lambda key, t: judge(key[0].as_py(), t), BLOCKS)
+    return blocks.repartition(2 * buckets, "target").groupBy("target").applyInArrow(lambda key, t: released(judge, key[0].as_py(), t), BLOCKS)
 
 
 def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.exchange import BLOCKS, at_buckets, chunked, cuts, mix, received, sent, sizes, texts_of
+from tidewater.llm.exchange import BLOCKS, at_buckets, chunked, cuts, mix, received, released, sent, sizes, texts_of
 from tidewater.llm.run_index import RunIndex
 
 MATCH = 50
@@ -36,7 +36,7 @@ REACH = MATCH - SEED  # bytes of context on either side of an anchor
 CONTEXT = MATCH + REACH
 MANY = 2048  # more contexts than this beyond one per chunk: dealt string by string
 PIECE = 48 << 10  # bytes scanned at a time: the arrays stay in a core's cache
-INDEX_ROWS = 6_000  # contexts to an index: bounds a worker's memory
+INDEX_ROWS = 4_000  # contexts to an index: bounds a worker's memory
 ALL, ASK = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 SHARED, STRINGS, ASKED = 1, 2, 3  # kinds of blocks
 
@@ -385,9 +385,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def at_chunks(answers: DataFrame, f, schema: str) -> DataFrame:
         mine = answers.withColumnRenamed("target", "chunk")
-        return base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(lambda key, t, got: f(Chunk(key[0].as_py(), t, buckets, got)), schema)
+        return base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(lambda key, t, got: released(lambda: f(Chunk(key[0].as_py(), t, buckets, got))), schema)
 
-    one = base.groupBy("chunk").applyInArrow(lambda key, t: Chunk(key[0].as_py(), t, buckets).anchors(), BLOCKS)
+    one = base.groupBy("chunk").applyInArrow(lambda key, t: released(lambda: Chunk(key[0].as_py(), t, buckets).anchors()), BLOCKS)
     status = at_buckets(one, buckets, judge_anchors)
     codes = status.unionByName(at_buckets(at_chunks(status, Chunk.contexts, BLOCKS), buckets, judge_contexts))
     masks = codes.unionByName(at_buckets(at_chunks(codes, Chunk.asked_bytes, BLOCKS), buckets, judge_bytes))
