@@ -101,7 +101,7 @@ class Backtracker:
         # reversed keys: a match that ends at place p of the reversed word starts at its mirror in the word
         self.automaton = ahocorasick.Automaton()
         for k, i in self.key_of.items():
-            self.automaton.add_word(k[::-1], (len(k), i))
+            self.automaton.add_word(k[::-1], i)
         self.automaton.make_automaton()
 
     def compatible(self, left: int, right: int) -> bool:
@@ -140,36 +140,37 @@ class Backtracker:
         s = word[:-1] + word[-1] + self.end if self.suffix else word
         n = len(s)
         longest: list[int] = [-1] * n
-        for at, (size, i) in self.automaton.iter(s[::-1]):
+        for at, i in self.automaton.iter(s[::-1]):  # at one place the longest match comes first
             start = n - 1 - at  # the reversed match ends at this place of the word
-            if longest[start] < 0 or size > self.length[longest[start]]:
+            if longest[start] < 0:
                 longest[start] = i
+        length, shorter, seen = self.length, self.shorter, self.seen
+        forbidden = n - 1 if self.suffix else -1  # the end symbol is no token of its own
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while True:
-            if token < 0 and not out:
-                return None
-            placed = False
             while token >= 0:
-                to = at + self.length[token]
-                if not dead[to] and (to != n - 1 or not self.suffix) and (not out or self.compatible(out[-1], token)):
-                    placed = True
-                    break
-                token = self.shorter.get(token, -1)
-            if placed:
+                to = at + length[token]
+                if to != forbidden and not dead[to]:
+                    if last < 0:
+                        break
+                    fits = seen.get((last, token))
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
+                token = shorter.get(token, -1)
+            if token >= 0:
                 out.append(token)
-                at = to
-                if at == n:
+                if to == n:
                     return out
-                token = longest[at]
+                at, last, token = to, token, longest[to]
                 continue
             dead[at] = 1
             if not out:
                 return None
-            last = out.pop()
-            at -= self.length[last]
-            token = self.shorter.get(last, -1)
+            token = out.pop()
+            at -= length[token]
+            token, last = shorter.get(token, -1), out[-1] if out else -1
 
 
 class Codec:
