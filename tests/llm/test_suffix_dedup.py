@@ -132,3 +132,9 @@ def test_matching_statistics_against_plain_search():
                 n += 1
             assert lengths[i, t] == n
     assert index.runs < rows.size
+
+
+def test_null_ids_come_last(spark):
+    t = "q" * 10 + "0123456789" * 8
+    got = {r["doc_id"]: r["n_removed"] for r in S.without_repeats(spark.createDataFrame([(None, t), (5, t)], "doc_id long, text string")).collect()}
+    assert got == {None: len(t), 5: 0}

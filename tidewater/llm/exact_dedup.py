@@ -60,7 +60,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
 

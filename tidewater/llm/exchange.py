@@ -23,6 +23,8 @@ BUCKET_BYTES = 128 << 20
 PER_PARTITION = 4  # chunks to a partition, so that a hash deals them evenly
 LEAST_CHUNK, LEAST_BUCKET = 1 << 20, 4 << 20  # but no smaller than this: blocks grow with chunks x buckets
 
+NO_ID = (1 << 63) - 1  # stands for a null id inside: it sorts after every other
+
 BLOCKS = "target int, origin int, kind int, block binary"
 _SCHEMA = pa.schema([("target", pa.int32()), ("origin", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
 
@@ -54,7 +56,7 @@ def at_buckets(blocks: DataFrame, buckets: int, judge) -> DataFrame:
 def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """chunk, doc_id, text (null: empty) and the columns to carry along as _c0, _c1, ..., ready for groupBy("chunk")."""
     more = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry or [])]
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "*")
 
 

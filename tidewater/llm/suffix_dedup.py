@@ -16,7 +16,8 @@ Anchors with very many contexts (at the edge of a passage in a third of all docu
 each 50-byte string instead, combined per chunk, so that no bucket gathers them.
 
 Defined results
-- null text is empty; documents under 50 bytes keep everything; documents with equal ids never match each other;
+- null text is empty; documents under 50 bytes keep everything; documents with equal ids never match each other; a
+  null id counts as larger than any other;
   other columns are ignored; an empty table gives no rows; repeated rows give repeated results.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.exchange import BLOCKS, at_buckets, chunked, cuts, mix, received, released, sent, sizes, texts_of
+from tidewater.llm.exchange import BLOCKS, NO_ID, at_buckets, chunked, cuts, mix, received, released, sent, sizes, texts_of
 from tidewater.llm.run_index import RunIndex
 
 MATCH = 50
@@ -393,7 +394,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = codes.unionByName(at_buckets(at_chunks(codes, Chunk.asked_bytes, BLOCKS), buckets, judge_bytes))
     more = "".join(f", _c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
     out = at_chunks(masks, Chunk.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + more)
-    return out.withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carry or [])})
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumnsRenamed({f"_c{k}": c for k, c in enumerate(carry or [])})
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
