@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,20 @@ def local_session(app: str = "tidewater", cores: str = "8", **conf: str) -> Spar
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context: they needn't have it installed nor share a folder with the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewater_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="tidewater-")) / "tidewater.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent).as_posix())
+    sc.addPyFile(str(to))
+    sc._tidewater_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one only where none is set (tests)."""
     sc = spark.sparkContext
