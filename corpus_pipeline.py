@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import exact_dedup, langid, near_dedup, packing, suffix_dedup
-from tidewater.session import cut, sized_join
+from tidewater.session import cut, ship, sized_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = langid.fit_documents(docs)
 
     def run(batches):
@@ -39,16 +40,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return exact_dedup.exact_dedup(docs.select(*COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = docs.select(*COLUMNS)
     gone = cut(near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id"))
     return sized_join(docs, gone, ["doc_id"], "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     kept = suffix_dedup.without_repeats(docs.select(*COLUMNS), carry=["lang", "source", "n_chars"])
 
     def run(batches):
@@ -64,6 +68,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack(docs)
 
 
