@@ -29,6 +29,11 @@ def test_edges():
     assert extract("</div></p><p>stray</p></article>") == "stray"
     assert extract("<div><p>a &lt;b&gt; &#233; &unknown;</p></div>") == "a <b> é &unknown;"
     assert extract("<!-- <p>no</p> --><p>yes</p>") == "yes"
+    assert extract('<p>a <a title="x > y" href=z>link</a> b</p>') == "a link b"
+    assert extract("<p>it's <b title=\"never closed>bold</b> text</p>") == "it's bold text"
+    assert extract("<p>kept</p> tail <b") == "kept\n\ntail"
+    for bad in ('<a href="' * 30_000, "<!--" * 30_000, "<script>" * 20_000, "<" * 100_000, "<a '" * 30_000 + ">", "<div>" * 20_000 + "x"):
+        assert extract("<p>first</p>" + bad).startswith("first") or "div" in bad
     big = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     assert extract(big).count("word") == 20_000
 

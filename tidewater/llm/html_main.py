@@ -48,10 +48,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = set("ul ol dl table html body article section main div blockquote td th".split())
 
+#: A tag's attributes end at the first > outside quotes; where a quote never closes, at the first > at all. Both need a
+#: > ahead, so pages are scanned up to their last one: every try then succeeds or fails at once, and time stays linear.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|$)|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']+|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*+)>",
     re.S | re.I,
 )
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
+DEEPEST = 200  # containers below this depth share the path of the one at it
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -97,7 +102,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    last = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
@@ -146,14 +152,15 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         path = above.path
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and path.count("/") < DEEPEST:
             general = ".".join(sorted({re.sub(r"\d+", "", c) for c in classes.lower().split()}))
             path = f"{above.path}/{tag}.{general}" if general else f"{above.path}/{tag}"
         n = _Node(tag, path, drop, above, len(nodes))
         nodes.append(n)
         stack.append(n)
-    if at < len(page) and not page[at:].lstrip().startswith("<"):
-        parts.append(page[at:])
+    tail = _OPENS.split(page[at:], maxsplit=1)[0]
+    if tail:
+        parts.append(tail)
     flush()
     return nodes, blocks
 
