@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+import tidewater.llm.exchange as E
 import tidewater.llm.near_dedup as N
 from tidewater.llm.exchange import sizes
 
@@ -88,3 +89,30 @@ def test_powers_serve_any_length():
     data = np.frombuffer(("word" * 50 + " ").encode() * 7, np.uint8)
     d, h, c = N.shingles(data, np.array([0, len(data)]))
     assert len(h) == 1 and c.tolist() == [3]
+
+
+def edited(rng, words, n):
+    """With n words replaced, far enough from each other that each takes five features."""
+    out = list(words)
+    for k in rng.sample(range(len(out) // 10), n):
+        out[10 * k + rng.randrange(5)] = "".join(rng.choice("klmnopqrst") for _ in range(8))
+    return out
+
+
+def small_chunks(monkeypatch, size):
+    """As many chunks as on a large table."""
+    for name in ("LEAST_CHUNK", "CHUNK_BYTES"):
+        monkeypatch.setattr(E, name, size)
+
+
+def test_copies_like_their_original_alone(spark, monkeypatch):
+    small_chunks(monkeypatch, 4000)
+    monkeypatch.setattr(N, "BLOCK_DOCS", 8)
+    rng = random.Random(11)
+    docs = []
+    for g in range(3):  # the original's id is neither among the least nor the largest
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        docs += [(1000 * g + i, " ".join(base if i == 37 else edited(rng, base, 3))) for i in range(60)]
+    want = brute(docs, len(docs))
+    assert len(set(want.values())) == 3
+    assert classes(spark, docs) == want

@@ -13,7 +13,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.session import shuffle_partitions
@@ -57,7 +57,11 @@ def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str
     """chunk, doc_id, text (null: empty) and the columns to carry along as _c0, _c1, ..., ready for groupBy("chunk")."""
     more = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry or [])]
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
-    return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "*")
+    return d.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "*")
+
+
+def chunk_of(doc_id: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(chunks)).cast("int")
 
 
 def sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:

@@ -7,13 +7,15 @@ banded, propose pairs; weighted Jaccard similarity of the features decides them.
 1. Chunks send their distinct features to buckets, which answer with document frequencies over all documents.
 2. Chunks weigh and sample. Documents with equal features collapse to the one with the least id; documents of a chunk that
    share a band are compared there. Each chunk sends one entry for each band key and local class.
-3. A band key with several entries gets up to ``LEADERS`` leaders: the best supported local class and the classes with the
+3. A band key in several chunks first gets up to ``LEADERS`` leaders: the best supported local class and the classes with the
    least ids. Leaders' features go once to each chunk that has a class to compare with them.
-4. Chunks compare every member of the class with the leader until one is similar. Verified links give classes
-   (connected components, by rounds of label propagation over a checkpointed table of links).
+4. Chunks compare every member of the class with the leader until one is similar. Verified links give
+   classes (connected components, by rounds of label propagation over a checkpointed table of links).
+5. A key whose documents are still in several classes has its documents dealt to blocks of about ``BLOCK_DOCS``, a
+   large class to blocks of its own, and every pair of blocks is compared, except two blocks of one class.
 
-A group of copies, however large, is one entry per chunk and band. With up to ``LEADERS`` + 1 single documents on a
-band key, all of its pairs are compared; in larger groups a document is compared with the leaders only.
+So each pair of documents that share a band key is compared unless links have already put both in one class. Where leaders
+link a group of copies, however large, its work stays linear; what they leave apart costs the square of its size.
 
 Defined results
 - null text is empty; documents without a word have no features and are classes of their own; with fewer than five
@@ -27,11 +29,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.exchange import BLOCKS, NO_ID, at_buckets, chunked, cuts, distinct, mix, received, released, sent, sizes, texts_of
-from tidewater.session import cut
+from tidewater.llm.exchange import BLOCKS, NO_ID, at_buckets, chunk_of, chunked, cuts, distinct, mix, received, released, sent, sizes, texts_of
+from tidewater.session import cut, sized_join
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,11 +42,14 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 IDF_SHARE = 0.5  # weight = count * (1 + IDF_SHARE * ln(N / df) / ln N)
 LEADERS = 4
+BLOCK_DOCS = 512
 SLOTS = 1 << 14
 AT_A_TIME = 256 << 10  # bytes of text split into words at a time
 BLOCK = 512  # features sampled at a time: the draws stay in a core's cache
 
-FREQ, LOCAL, KEYS, TASKS, FEATURES = 1, 2, 3, 4, 5  # kinds of blocks
+FREQ, LOCAL, KEYS, TASKS, FEATURES, LARGE, WANTED = 1, 2, 3, 4, 5, 6, 7  # kinds of blocks
+MEMBER, HUB, HUB_ONLY = 0, 1, 2  # an entry of a band key: another member, its class's hub, a hub that lacks the key itself
+LINK, ON_KEY = 0, 1  # rows of round 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -292,17 +298,19 @@ class Chunk:
                 hub[c] = d
         hubs = np.array([hub[int(c)] for c in home], np.int64) if len(home) else home
         rows = [(self.chunk % self.buckets, self.chunk, LOCAL, self.ids.tobytes() + self.ids[hubs].tobytes())] if len(hubs) else []
-        entries: dict[tuple[int, int], int] = defaultdict(int)
-        for k, members in by_key.items():
-            for d in members:
-                entries[k, int(hubs[d])] += 1
-        if entries:
-            keys = np.array([k for k, _ in entries], np.uint64)
-            who = self.ids[np.array([d for _, d in entries])]
-            n = np.array(list(entries.values()), np.int64)
-            order = np.lexsort((who, keys))
-            keys, who, n = keys[order], who[order], n[order]
-            rows += [(b, self.chunk, KEYS, keys[s:e].tobytes() + who[s:e].tobytes() + n[s:e].tobytes()) for b, s, e in cuts(keys, self.buckets)]
+        if by_key:
+            # the members of each key by class, each class behind its hub
+            keys = np.repeat(np.array(list(by_key), np.uint64), [len(m) for m in by_key.values()])
+            who = np.concatenate([np.array(m, np.int64) for m in by_key.values()])
+            hub_of = hubs[who]
+            order = np.lexsort((who, who != hub_of, self.ids[hub_of], keys))
+            keys, who, hub_of = keys[order], who[order], hub_of[order]
+            first = np.r_[True, (keys[1:] != keys[:-1]) | (hub_of[1:] != hub_of[:-1])]
+            role = np.where(first & (who == hub_of), HUB, MEMBER).astype(np.uint8)
+            lacks = np.flatnonzero(first & (who != hub_of))
+            keys, who, role = np.insert(keys, lacks, keys[lacks]), np.insert(who, lacks, hub_of[lacks]), np.insert(role, lacks, np.uint8(HUB_ONLY))
+            who = self.ids[who]
+            rows += [(b, self.chunk, KEYS, keys[s:e].tobytes() + who[s:e].tobytes() + role[s:e].tobytes()) for b, s, e in cuts(keys, self.buckets)]
         return sent(rows)
 
     def _contents(self) -> list[bytes]:
@@ -355,7 +363,8 @@ class Chunk:
         return sent([(t, self.chunk, FEATURES, b"".join(parts)) for t, parts in by_target.items()])
 
     def links(self) -> pa.Table:
-        """Round 4: (a, b) with a the document and b its class's hub here, or a hub and a leader that is similar."""
+        """Round 4: (LINK, a, b) with a the document and b its class's hub here, or a hub and another chunk's document that is
+        similar to one of its class; (ON_KEY, a, b) with a a document on the large key b."""
         ids = hubs = self.ids
         for v in self.got[LOCAL].values():
             ids, hubs = np.frombuffer(v, np.int64).reshape(2, -1)
@@ -370,26 +379,44 @@ class Chunk:
                 who, n = np.frombuffer(v[at : at + 16], np.int64).tolist()
                 leader[who] = np.frombuffer(v[at + 16 : at + 16 + 4 * n], np.uint32), np.frombuffer(v[at + 16 + 4 * n : at + 16 + 8 * n], np.float32)
                 at += 16 + 8 * n
-        tasks: set[tuple[int, int]] = set()
+        tasks: set[tuple[int, int, int]] = set()
         for v in self.got[TASKS].values():
             m = np.frombuffer(v, np.int64).reshape(-1, 3)
-            tasks |= {(int(a), int(b)) for kind, a, b in m.tolist() if kind == 0}
+            tasks |= {(int(kind), int(a), int(b)) for kind, a, b in m.tolist() if kind != 1}
         a, b = list(ids), list(hubs)
         contents = self._contents() if tasks else []
-        for own, other in sorted(tasks):
+        hub_of = dict(zip(ids.tolist(), hubs.tolist()))
+        union = Union()
+        for kind, own, other in sorted(tasks):
+            home = hub_of[own]
+            if union.find(home) == union.find(other):
+                continue
             lh, lw = leader[other]
             seen: set[bytes] = set()
-            for d in sorted(members[own], key=lambda d: self.ids[d] != own):
+            for d in sorted(members[own], key=lambda d: self.ids[d] != own) if kind == 0 else [place[own]]:
                 h, w = self.features(d)
                 if contents[d] in seen:
                     continue
                 seen.add(contents[d])
                 f = _fold(h, w)
                 if similarity(np.frombuffer(f[: 4 * len(h)], np.uint32), np.frombuffer(f[4 * len(h) :], np.float32), lh, lw) >= THRESHOLD:
-                    a.append(own)
+                    a.append(home)
                     b.append(other)
+                    union.join(home, other)
                     break
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        kinds = [LINK] * len(a)
+        for v in self.got[LARGE].values():
+            keys, who = np.frombuffer(v, np.int64).reshape(2, -1)
+            kinds += [ON_KEY] * len(who)
+            a += who.tolist()
+            b += keys.tolist()
+        return pa.table([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+    def wanted(self) -> pa.Table:
+        """Round 5: (id, features) of the documents that are compared by blocks."""
+        place = {int(x): d for d, x in reversed(list(enumerate(self.ids.tolist())))}
+        ids = sorted({x for v in self.got[WANTED].values() for x in np.frombuffer(v, np.int64).tolist()})
+        return pa.table([pa.array(ids, pa.int64()), pa.array([_fold(*self.features(place[x])) for x in ids], pa.binary())], names=["id", "features"])
 
 
 def _fold(h: np.ndarray, w: np.ndarray) -> bytes:
@@ -422,34 +449,115 @@ def judge_frequencies(bucket: int, table: pa.Table) -> pa.Table:
 
 
 def judge_keys(bucket: int, table: pa.Table) -> pa.Table:
-    """Who is compared with whom: to each chunk (0, its hub, leader) and (1, its hub, chunk that needs the features)."""
-    keys, who, n, home = [], [], [], []
+    """Who is compared with whom: to each chunk (0, its hub, leader) and (1, its hub,
+    chunk that needs the features); and its documents on such keys."""
+    keys, who, role, home = [], [], [], []
     local = [(origin, bucket, LOCAL, v.tobytes()) for origin, kind, v in received(table) if kind == LOCAL]  # back to their chunks
     for origin, kind, v in received(table):
         if kind == KEYS:
-            k = len(v) // 24
+            k = len(v) // 17
             keys.append(np.frombuffer(v[: 8 * k], np.uint64))
             who.append(np.frombuffer(v[8 * k : 16 * k], np.int64))
-            n.append(np.frombuffer(v[16 * k :], np.int64))
-            home.append(np.full(k, origin, np.int64))
+            role.append(np.frombuffer(v[16 * k :], np.uint8))
+            home.append(np.full(k, origin, np.int32))
     out: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+    large: dict[int, list[np.ndarray]] = defaultdict(list)
     if keys:
-        keys, who, n, home = map(np.concatenate, (keys, who, n, home))
-        order = np.lexsort((who, keys))
-        keys, who, n, home = keys[order], who[order], n[order], home[order]
+        keys, who, role, home = map(np.concatenate, (keys, who, role, home))
+        order = np.argsort(keys, kind="stable")  # classes stay behind their hubs
+        keys, who, role, home = keys[order], who[order], role[order], home[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.r_[starts[1:], len(keys)]
-        several = ends - starts > 1
+        several = home[starts] != home[ends - 1]  # entries are in the order of their chunks
         for s, e in zip(starts[several].tolist(), ends[several].tolist()):
-            best = s + int(np.argmax(n[s:e]))
-            led = sorted({best, *range(s, min(e, s + LEADERS - 1))})
-            for x in range(s, e):
+            on_key = s + np.flatnonzero(role[s:e] != HUB_ONLY)
+            head = s + np.flatnonzero(role[s:e] != MEMBER)
+            n = np.add.reduceat((role[s:e] != HUB_ONLY).astype(np.int64), head - s)
+            order = np.argsort(who[head], kind="stable")
+            head, n = head[order], n[order]
+            led = {int(np.argmax(n)), *range(min(len(head), LEADERS - 1))}
+            for x in range(len(head)):
                 for y in led:
                     # a pair of leaders is compared once, in the chunk of the larger id
-                    if home[x] != home[y] and not (x in led and x < y):
-                        out[int(home[x])].add((0, int(who[x]), int(who[y])))
-                        out[int(home[y])].add((1, int(who[y]), int(home[x])))
-    return sent([(c, bucket, TASKS, np.array(sorted(t), np.int64).tobytes()) for c, t in out.items()] + local)
+                    hx, hy = int(home[head[x]]), int(home[head[y]])
+                    if hx != hy and not (x in led and x < y):
+                        out[hx].add((0, int(who[head[x]]), int(who[head[y]])))
+                        out[hy].add((1, int(who[head[y]]), hx))
+            at = home[on_key]
+            for c, b, t in zip(*_runs(at)):
+                large[c].append(np.stack([keys[on_key[b:t]].view(np.int64), who[on_key[b:t]]]))
+    rows = [(c, bucket, TASKS, np.array(sorted(t), np.int64).tobytes()) for c, t in out.items()]
+    return sent(rows + [(c, bucket, LARGE, np.concatenate(m, 1).tobytes()) for c, m in large.items()] + local)
+
+
+def _runs(x: np.ndarray) -> tuple[list, list, list]:
+    """(value, start, end) of the runs of equal values."""
+    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return x[new].tolist(), new.tolist(), [*new[1:].tolist(), len(x)]
+
+
+def compare_blocks(table: pa.Table) -> pa.Table:
+    """Links (a, b) between classes that have similar documents in the two blocks, or in the one block, of a pair."""
+    order = np.lexsort((table.column("id").to_numpy(), table.column("side").to_numpy()))
+    side, home = (table.column(c).to_numpy()[order] for c in ("side", "class_id"))
+    raw = [v.as_buffer() for v in table.column("features").combine_chunks().take(pa.array(order))]
+    hashes = [np.frombuffer(v, np.uint32, len(v) // 8) for v in map(memoryview, raw)]
+    weights = [np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2) for v in map(memoryview, raw)]
+    total = np.array([w.sum(dtype=np.float64) for w in weights])
+    two = side[0] != side[-1]
+    right = np.flatnonzero(side == side[-1])
+    at = np.repeat(np.arange(len(right)), [len(hashes[d]) for d in right])
+    h, w = np.concatenate([hashes[d] for d in right]), np.concatenate([weights[d] for d in right])
+    order = np.argsort(h, kind="stable")
+    h, w, at = h[order], w[order], at[order]
+    union, a, b = Union(), [], []
+    for x in np.flatnonzero(side == side[0]).tolist():
+        lo, hi = np.searchsorted(h, hashes[x], "left"), np.searchsorted(h, hashes[x], "right")
+        n = hi - lo
+        place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        low = np.bincount(at[place], np.minimum(w[place], np.repeat(weights[x], n)), len(right))
+        for k in np.flatnonzero(low >= THRESHOLD * (total[x] + total[right] - low)).tolist():
+            c, d = int(home[x]), int(home[right[k]])
+            if (two or right[k] < x) and union.find(c) != union.find(d):
+                union.join(c, d)
+                a.append(c)
+                b.append(d)
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def block_pairs(on_key: DataFrame) -> DataFrame | None:
+    """(pair, side, id, class_id): the documents of every two blocks of a key whose documents are in several classes; None
+    without such a key. ``on_key``: key, id, class_id."""
+    keys = cut(on_key.groupBy("key").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).where("_low <> _high").select("key"))
+    if keys.limit(1).count() == 0:
+        return None
+    rows = cut(sized_join(on_key, keys, ["key"], "left_semi"))
+    classes = cut(rows.groupBy("key", "class_id").agg(F.count("*").alias("n")))
+    loose = cut(classes.where(F.col("n") <= BLOCK_DOCS).groupBy("key").agg(F.sum("n").alias("loose")))
+    rows = sized_join(sized_join(rows, classes, ["key", "class_id"], "inner"), loose, ["key"], "left")
+    own = F.col("n") > BLOCK_DOCS
+    parts = F.ceil(F.when(own, F.col("n")).otherwise(F.col("loose")) / BLOCK_DOCS)
+    number = F.pmod(F.xxhash64(F.when(own, F.col("id")).otherwise(F.col("class_id"))), parts)
+    rows = cut(rows.select("key", "id", "class_id", F.when(own, F.col("class_id")).alias("whole"), number.alias("number")))
+    rows = rows.withColumn("block", F.xxhash64("key", "whole", "number", F.col("whole").isNull()))
+    blocks = cut(rows.select("key", "block", "whole").distinct())
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = (F.col("x.block") < F.col("y.block")) & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False))
+    alone = (F.col("x.block") == F.col("y.block")) & F.col("x.whole").isNull()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (met | alone)).select(F.col("x.key").alias("key"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    pairs = pairs.withColumn("pair", F.xxhash64("key", "one", "two"))
+    sides = pairs.select("pair", F.col("one").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("one <> two").select("pair", F.col("two").alias("block"), F.lit(1).alias("side")))
+    return sized_join(rows, cut(sides), ["block"], "inner").select("pair", "side", "id", "class_id")
+
+
+def _packed(batches):
+    """id, chunk -> blocks for the chunks."""
+    for b in batches:
+        ids, chunk = b.column("id").to_numpy(), b.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        ids, chunk = ids[order], chunk[order]
+        rows = [(c, 0, WANTED, ids[s:e].tobytes()) for c, s, e in zip(*_runs(chunk))] if len(ids) else []
+        yield from sent(rows).to_batches()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -486,14 +594,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = at_chunks(freq, Chunk.bands, BLOCKS)
     tasks = at_buckets(bands, buckets, judge_keys)
     known = freq.unionByName(tasks)
-    features = at_chunks(known, Chunk.leaders, BLOCKS)
-    found = cut(at_chunks(known.unionByName(features), Chunk.links, "a long, b long"))
+    features = at_chunks(known.where(F.col("kind") != LARGE), Chunk.leaders, BLOCKS)
+    found = cut(at_chunks(known.unionByName(features), Chunk.links, "kind int, a long, b long"))
+    links = found.where(F.col("kind") == LINK).select("a", "b")
     # hubs are few; documents follow their hub
-    hubs = components(found.where("a <> b"))
-    home = found.select(F.col("a").alias("doc_id"), F.col("b").alias("_hub"))
+    hubs = components(links.where("a <> b"))
+    home = links.select(F.col("a").alias("doc_id"), F.col("b").alias("_hub"))
     low = home.groupBy("doc_id").agg(F.min("_hub").alias("_hub"))
-    out = low.join(hubs.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif(F.coalesce("class_id", "doc_id"), F.lit(NO_ID)).alias("class_id"))
+    out = low.join(hubs.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    on_key = found.where(F.col("kind") == ON_KEY).select(F.col("a").alias("doc_id"), F.col("b").alias("key"))
+    if on_key.limit(1).count():
+        out = cut(out)
+        met = block_pairs(on_key.join(out, "doc_id").select("key", F.col("doc_id").alias("id"), "class_id"))
+        if met is not None:
+            met = cut(met)
+            ids = met.select("id").distinct().withColumn("chunk", chunk_of(F.col("id"), chunks))
+            wanted = cut(ids.mapInArrow(_packed, BLOCKS))
+            none = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["id", "features"])
+
+            def answer(key, t, got):
+                if not pc.any(pc.equal(got.column("kind"), WANTED)).as_py():
+                    return none
+                return released(lambda: Chunk(key[0].as_py(), t, buckets, total, got).wanted())
+
+            mine = freq.unionByName(wanted).withColumnRenamed("target", "chunk")
+            sent_features = base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(answer, "id long, features binary")
+            more = cut(met.join(sent_features, "id").groupBy("pair").applyInArrow(lambda t: released(compare_blocks, t), "a long, b long"))
+            joined = components(more).select(F.col("id").alias("class_id"), F.col("class_id").alias("_class"))
+            out = out.join(joined, "class_id", "left").select("doc_id", F.coalesce("_class", "class_id").alias("class_id"))
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
