@@ -116,3 +116,20 @@ def test_copies_like_their_original_alone(spark, monkeypatch):
     want = brute(docs, len(docs))
     assert len(set(want.values())) == 3
     assert classes(spark, docs) == want
+
+
+def test_links_between_documents_that_are_not_hubs(spark, monkeypatch):
+    small_chunks(monkeypatch, 60_000)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        a = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        b = edited(rng, a, 4)
+        c = edited(rng, b, 4)
+        texts += [a, b, c, edited(rng, c, 4)]
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sizes(spark.createDataFrame(docs, "doc_id long, text string"))[0] > 3
+    want = brute(docs, len(docs))
+    got = classes(spark, docs)
+    assert got == want

@@ -7,11 +7,12 @@ banded, propose pairs; weighted Jaccard similarity of the features decides them.
 1. Chunks send their distinct features to buckets, which answer with document frequencies over all documents.
 2. Chunks weigh and sample. Documents with equal features collapse to the one with the least id; documents of a chunk that
    share a band are compared there. Each chunk sends one entry for each band key and local class.
-3. A band key in several chunks first gets up to ``LEADERS`` leaders: the best supported local class and the classes with the
-   least ids. Leaders' features go once to each chunk that has a class to compare with them.
-4. Chunks compare every member of the class with the leader until one is similar. Verified links give
+3. On a band key with up to ``PAIRED`` documents, all pairs from different chunks are compared. A larger key first gets up to
+   ``LEADERS`` leaders: the best supported local class and the classes with the least ids. Features go once to each chunk
+   that has something to compare with them.
+4. Chunks compare their documents, or every member of the class with the leader until one is similar. Verified links give
    classes (connected components, by rounds of label propagation over a checkpointed table of links).
-5. A key whose documents are still in several classes has its documents dealt to blocks of about ``BLOCK_DOCS``, a
+5. A larger key whose documents are still in several classes has its documents dealt to blocks of about ``BLOCK_DOCS``, a
    large class to blocks of its own, and every pair of blocks is compared, except two blocks of one class.
 
 So each pair of documents that share a band key is compared unless links have already put both in one class. Where leaders
@@ -42,6 +43,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 IDF_SHARE = 0.5  # weight = count * (1 + IDF_SHARE * ln(N / df) / ln N)
 LEADERS = 4
+PAIRED = 6
 BLOCK_DOCS = 512
 SLOTS = 1 << 14
 AT_A_TIME = 256 << 10  # bytes of text split into words at a time
@@ -449,8 +451,8 @@ def judge_frequencies(bucket: int, table: pa.Table) -> pa.Table:
 
 
 def judge_keys(bucket: int, table: pa.Table) -> pa.Table:
-    """Who is compared with whom: to each chunk (0, its hub, leader) and (1, its hub,
-    chunk that needs the features); and its documents on such keys."""
+    """Who is compared with whom: to each chunk (0, its hub, leader), (2, its document, document) and (1, its hub or document,
+    chunk that needs the features); and its documents on large keys."""
     keys, who, role, home = [], [], [], []
     local = [(origin, bucket, LOCAL, v.tobytes()) for origin, kind, v in received(table) if kind == LOCAL]  # back to their chunks
     for origin, kind, v in received(table):
@@ -471,6 +473,14 @@ def judge_keys(bucket: int, table: pa.Table) -> pa.Table:
         several = home[starts] != home[ends - 1]  # entries are in the order of their chunks
         for s, e in zip(starts[several].tolist(), ends[several].tolist()):
             on_key = s + np.flatnonzero(role[s:e] != HUB_ONLY)
+            if len(on_key) <= PAIRED:
+                pairs = on_key[np.argsort(who[on_key], kind="stable")]
+                for i, x in enumerate(pairs.tolist()):
+                    for y in pairs[:i].tolist():  # in the chunk of the larger id
+                        if home[x] != home[y]:
+                            out[int(home[x])].add((2, int(who[x]), int(who[y])))
+                            out[int(home[y])].add((1, int(who[y]), int(home[x])))
+                continue
             head = s + np.flatnonzero(role[s:e] != MEMBER)
             n = np.add.reduceat((role[s:e] != HUB_ONLY).astype(np.int64), head - s)
             order = np.argsort(who[head], kind="stable")
