@@ -22,6 +22,28 @@ def test_winning_path_beats_own_best():
     assert extract(page, 12345) == extract(page) == "a far longer block that would win here"
 
 
+def test_nested_body_headline_and_sections():
+    long, more = "the long body of the story " * 20, "another long part of it " * 15
+    nested = f"<article><h1>Head</h1><p>standfirst</p><div class='entry'><p>{long}</p></div></article>"
+    whole = f"Head\n\nstandfirst\n\n{long.strip()}"
+    around = "<html><body><div class='col'><p>a box beside the story</p></div>{}</body></html>"
+    assert extract(around.format(nested)) == whole
+    assert extract(around.format(nested.replace("article>", "main>"))) == whole
+    assert extract(around.format(f"<main><p>teaser line</p>{nested}</main>")) == whole
+    assert extract(around.format(nested.replace("<article>", "<div class='story'>").replace("</article>", "</div>"))) == whole
+    sections = f"<article><h1>Head</h1><section class='intro'><p>{more}</p></section><section class='body'><p>{long}</p></section></article>"
+    assert extract(around.format(sections)) == f"Head\n\n{more.strip()}\n\n{long.strip()}"
+    beside = f"<div class='page'>Here<div class='col'><p>a box</p></div><div class='entry'><p>{long}</p></div></div>"
+    assert extract(around.format(beside)) == long.strip()
+
+
+def test_host_with_nested_bodies(spark):
+    page = "<body><article><h1>Head {0}</h1><p>standfirst</p><div class='entry'><p>{1}</p></div></article></body>"
+    rows = [(i, "http://n.example/x", page.format(i, "the long body of the story " * (1 if i == 3 else 20))) for i in range(4)]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"].startswith(f"Head {r['page_id']}\n\nstandfirst\n\nthe long body") for r in got) and len(got) == 4
+
+
 def test_edges():
     assert extract(None) == extract("") == extract("<nav>only menu</nav>") == ""
     assert extract("plain text") == "plain text"

@@ -2,7 +2,7 @@
 
 Every page's containers are scored by the plain text of their blocks (links count against it, a parent shares half of what its
 children hold). Each page votes for the generalised tag-class path of its best container; Spark sums the votes by
-host, and the path with the most votes is extracted from all of the host's pages. A page that lacks its host's path,
+host (a container inside an article votes for the article), and the path with the most votes is extracted from all of the host's pages. A page that lacks its host's path,
 or has no host, uses its own best container.
 
 Defined results
@@ -170,12 +170,34 @@ def path_hash(path: str) -> int:
 
 
 def best(nodes: list[_Node]) -> _Node | None:
-    """The container with the highest score; none where no block counts."""
+    """The container with the highest score, widened to the article that holds it; none where no block counts."""
     top = None
     for n in nodes:
         if n.score > 0 and n.tag in CONTAINERS | {""} and (top is None or n.score > top.score):
             top = n
-    return top
+    return top and _whole(top, nodes)
+
+
+def _whole(top: _Node, nodes: list[_Node]) -> _Node:
+    """The nearest article around a container, else the nearest main; else the outermost container that adds only text of
+    its own (a headline, a standfirst) and no other container's. It has the container's score at least."""
+    above = [top]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    out = next((n for tag in ("article", "main") for n in above if n.tag == tag), None)
+    if out is None:
+        held = [n.own for n in nodes]
+        for n in reversed(nodes[1:]):
+            held[n.parent.index] += held[n.index]
+        out, inside = top, held[top.index]
+        for n in above[1:]:
+            if n.tag in ("body", "html", "") or held[n.index] != inside + n.own:
+                break
+            if n.own:
+                out = n
+            inside = held[n.index]
+    out.score = max(out.score, top.score)
+    return out
 
 
 def extract(page: str | None, winner: int | None = None) -> str:
