@@ -89,3 +89,11 @@ def test_signal_filter():
 
 def test_feature_choice():
     assert folds.select_features({("a", "b"): 0.99}, {"a": 0.5, "b": 0.9, "c": 0.1}) == ["b", "c"]
+
+
+def test_novelty_remembers_all_kept_articles_of_all_sources(spark):
+    first = [f"w{k}" for k in range(10)]
+    rows = [("a", 0, first)] + [("a", i, [f"x{i}", f"y{i}"]) for i in range(1, 601)] + [("a", 601, first), ("b", 602, first[:9] + ["other"]), ("b", 603, first[:5])]
+    got = {r["id"]: (round(r["novelty"], 6), r["kept"]) for r in folds.novelty(spark.createDataFrame(rows, "source string, id long, tokens array<string>"), across=True).collect()}
+    assert got[601] == (0.0, False) and got[602] == (round(1 - 9 / 11, 6), False) and got[603] == (0.5, True)
+    assert all(got[i] == (1.0, True) for i in range(601))

@@ -7,6 +7,7 @@ is bounded by its calendar, never by the number of symbols.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import deque
 
 import numpy as np
@@ -103,25 +104,34 @@ def session_profiles(candles: DataFrame, bins: int = 30, least: int = 15) -> Dat
     return d.groupBy("symbol", "session").applyInPandas(one, "symbol string, session date, poc double, val double, vah double")
 
 
-def novelty(articles: DataFrame, threshold: float = 0.7, memory: int = 512) -> DataFrame:
-    """Greedy suppression: an article too close to an earlier kept one of its source (the last ``memory``) drops.
+def novelty(articles: DataFrame, threshold: float = 0.7, across: bool = False) -> DataFrame:
+    """Greedy suppression: an article too close to any earlier kept one of its source, or ``across`` all sources, drops.
 
-    ``articles``: source, id, tokens array<string>. Adds novelty = 1 - largest Jaccard similarity, and kept.
+    ``articles``: source, id, tokens array<string>. Adds novelty = 1 - largest Jaccard similarity, and kept. Each article
+    depends on all kept before it, so ``across`` sources all are one group; an index by token finds what shares one.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        kept: deque = deque(maxlen=memory)
+        having: dict[str, array] = {}  # token: the kept articles with it
+        lengths = array("q")
         out = []
-        for i, tokens in zip(rows["id"], rows["tokens"]):
+        for source, i, tokens in zip(rows["source"], rows["id"], rows["tokens"]):
             s = set(tokens)
-            best = max((len(s & k) / len(s | k) for k in kept if s or k), default=0.0)
+            found = [np.array(having[t]) for t in s if t in having]
+            best = 0.0
+            if found:
+                both = np.bincount(np.concatenate(found), minlength=len(lengths))
+                best = float((both / (len(s) + np.array(lengths) - both)).max())
             if best <= threshold:
-                kept.append(s)
-            out.append((rows["source"].iloc[0], i, 1 - best, best <= threshold))
+                for t in s:
+                    having.setdefault(t, array("q")).append(len(lengths))
+                lengths.append(len(s))
+            out.append((source, i, 1 - best, best <= threshold))
         return pd.DataFrame(out, columns=["source", "id", "novelty", "kept"])
 
-    return articles.groupBy("source").applyInPandas(one, "source string, id long, novelty double, kept boolean")
+    grouped = articles.select("source", "id", "tokens", (F.lit("") if across else F.col("source")).alias("_of")).groupBy("_of")
+    return grouped.applyInPandas(one, "source string, id long, novelty double, kept boolean")
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
@@ -266,7 +276,7 @@ QUERIES = {
     "m06_fair_value_gaps": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "open_gaps"),
     "m08_structural_bias": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "bias"),
     "m10_value_area": lambda spark, d: session_profiles(_view(spark, d, "candles")),
-    "d15_novelty": lambda spark, d: novelty(_articles(spark, d)),
+    "d15_novelty": lambda spark, d: novelty(_articles(spark, d), across=True),
     "n21_dtw_analogs": lambda spark, d: analog_paths(_view(spark, d, "candles")),
     "y09_dataset_hash": lambda spark, d: dataset_hash(_training(spark, d), ["lr", "tr", "delta"]),
     "y11_train_models": lambda spark, d: train_models(_training(spark, d), ["lr", "tr", "delta"]),
