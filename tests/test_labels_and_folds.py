@@ -97,3 +97,16 @@ def test_novelty_remembers_all_kept_articles_of_all_sources(spark):
     got = {r["id"]: (round(r["novelty"], 6), r["kept"]) for r in folds.novelty(spark.createDataFrame(rows, "source string, id long, tokens array<string>"), across=True).collect()}
     assert got[601] == (0.0, False) and got[602] == (round(1 - 9 / 11, 6), False) and got[603] == (0.5, True)
     assert all(got[i] == (1.0, True) for i in range(601))
+
+
+def test_analog_paths_start_at_every_bar(spark):
+    rng = np.random.default_rng(3)
+    r = rng.normal(0, 0.01, 60)
+    r[13:23] = r[-10:]
+    close = 100 * np.exp(np.r_[0, np.cumsum(r)])
+    bars = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=61, freq="h"), "close": close})
+    got = sorted((x["rank"], x["ts"], x["distance"]) for x in folds.analog_paths(spark.createDataFrame(bars)).collect())
+    assert got[0][1] == bars["ts"][13] and got[0][2] == pytest.approx(0, abs=1e-9)
+    r = np.diff(np.log(close))
+    want = sorted((folds.dtw(r[-10:, None], r[s : s + 10, None]), s) for s in range(41))[:20]
+    assert [g[2] for g in got] == pytest.approx([w[0] for w in want], abs=1e-9) and [g[1] for g in got] == [bars["ts"][w[1]] for w in want]

@@ -145,14 +145,30 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(d[-1, -1])
 
 
+def _dtw_each(now: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Dynamic time warping distance of one path of numbers to each of the windows."""
+    n = len(now)
+    cost = np.abs(now[None, :, None] - windows[:, None, :])
+    d = np.full((n + 1, n + 1, len(windows)), np.inf)
+    d[0, 0] = 0.0
+    for i in range(1, n + 1):
+        for j in range(1, n + 1):
+            d[i, j] = cost[:, i - 1, j - 1] + np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]), d[i - 1, j - 1])
+    return d[n, n]
+
+
 def analog_paths(candles: DataFrame, length: int = 10, top: int = 20) -> DataFrame:
-    """Each symbol's newest path of ``length`` returns against its earlier ones, nearest first."""
+    """Each symbol's newest path of ``length`` returns against all earlier ones that end before it, nearest first."""
 
     def one(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("ts").reset_index(drop=True)
         r = np.diff(np.log(bars["close"].to_numpy()))
-        now = r[-length:][:, None]
-        found = sorted((dtw(now, r[s : s + length][:, None]), s) for s in range(0, max(0, len(r) - 2 * length), length))[:top]
+        starts = range(max(0, len(r) - 2 * length + 1))
+        found = []
+        for at in range(0, len(starts), 4096):
+            own = starts[at : at + 4096]
+            windows = np.lib.stride_tricks.sliding_window_view(r, length)[own.start : own.stop]
+            found = sorted([*found, *zip(_dtw_each(r[-length:], windows).tolist(), own)])[:top]
         return pd.DataFrame([(bars["symbol"].iloc[0], k + 1, bars["ts"][s], d) for k, (d, s) in enumerate(found)], columns=["symbol", "rank", "ts", "distance"])
 
     return candles.where("close > 0").select("symbol", "ts", "close").groupBy("symbol").applyInPandas(one, "symbol string, rank int, ts timestamp, distance double")
