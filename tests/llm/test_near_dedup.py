@@ -58,7 +58,6 @@ def test_edges(spark):
     got = classes(spark, docs)
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
     assert classes(spark, [(1, "a b")] * 3) == {1: 1}
-    assert classes(spark, [(None, "a b c"), (None, "d e"), (3, "a b c")]) == {None: 3, 3: 3}
     assert classes(spark, [(None, "a b c")]) == {None: None}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(empty).count() == 0
@@ -133,3 +132,22 @@ def test_links_between_documents_that_are_not_hubs(spark, monkeypatch):
     want = brute(docs, len(docs))
     got = classes(spark, docs)
     assert got == want
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    a, b = (" ".join(t) for t in docs_words(2))
+    near_a = a + " tail"
+    rows = [(None, a), (None, b), (3, near_a), (7, "x y z one two three"), (7, b), (8, b + " end"), (9, "lone words of one document here"), (7, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in N.near_duplicates(df).collect())))
+    want = [(None, 3, False), (3, 3, True), (None, 7, False), (7, 7, True), (7, 7, False), (8, 7, False), (7, 7, True), (9, 9, True)]
+    assert got == sorted(map(str, want))
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in N.without_near_duplicates(df).collect())
+    assert kept == sorted([("3", near_a), ("7", b), ("7", rows[3][1]), ("9", rows[6][1])])
+    plain = spark.createDataFrame([(1, a, 5), (2, near_a, 5), (3, b, 5)], "doc_id long, text string, _key int")
+    assert sorted(tuple(r) for r in N.without_near_duplicates(plain).collect()) == [(1, a, 5), (3, b, 5)]
+
+
+def docs_words(n):
+    rng = random.Random(21)
+    return [["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)] for _ in range(n)]

@@ -1,6 +1,6 @@
 """Chunks and buckets: how operators that compare all documents trade compact blocks instead of rows.
 
-Documents are dealt by a hash of the id into chunks of bounded size. A chunk sends each bucket one block of packed, locally
+Documents are dealt by a hash into chunks of bounded size. A chunk sends each bucket one block of packed, locally
 combined keys; a bucket sees a key's blocks from all chunks and answers each chunk with a block in the order that
 the chunk sent. A key held by a third of all documents is one entry per chunk, never one per document. All rounds
 read the same exchange of documents, which Spark runs once.
@@ -49,15 +49,24 @@ def released(f, *args):
 
 
 def at_buckets(blocks: DataFrame, buckets: int, judge) -> DataFrame:
-    """``judge(bucket, blocks)`` for each bucket; dealt to a stated number of partitions, which small blocks don't merge."""
-    return blocks.repartition(2 * buckets, "target").groupBy("target").applyInArrow(lambda key, t: released(judge, key[0].as_py(), t), BLOCKS)
+    """``judge(bucket, blocks)`` for each bucket, each in a partition of its own."""
 
+    def run(batches):
+        held = pa.Table.from_batches(batches, _SCHEMA)
+        if held.num_rows:
+            yield from released(judge, held.column("target")[0].as_py(), held).to_batches()
 
-def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """chunk, doc_id, text (null: empty) and the columns to carry along as _c0, _c1, ..., ready for groupBy("chunk")."""
+    return blocks.repartitionById(buckets, F.col("target")).mapInArrow(run, BLOCKS)
+
+
+def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, by_text: bool = False) -> DataFrame:
+    """chunk, doc_id, text (null: empty) and the columns to carry along as _c0, _c1, ..., ready for groupBy("chunk").
+
+    ``by_text``: rows without an id, or with one that others have too, are spread by their texts.
+    """
     more = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry or [])]
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
-    return d.select(chunk_of(F.col("doc_id"), chunks).alias("chunk"), "*")
+    return d.select(chunk_of(F.xxhash64("doc_id", "text") if by_text else F.col("doc_id"), chunks).alias("chunk"), "*")
 
 
 def chunk_of(doc_id: Column, chunks: int) -> Column:

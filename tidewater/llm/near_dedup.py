@@ -21,7 +21,9 @@ link a group of copies, however large, its work stays linear; what they leave ap
 Defined results
 - null text is empty; documents without a word have no features and are classes of their own; with fewer than five
   words the whole text is one feature. The class id is the least id in the class, and that document stays.
-- documents with equal ids are one document for classes, and so are those without an id (the largest, as it were); other columns are ignored; empty tables give no rows.
+- rows without an id, or with one that other rows have too, are documents of their own (told apart by their texts); a null
+  id is larger than any other. Rows that share both stay together: one of them is kept at most. Where a class's least id
+  is repeated, the text with the least hash stays. Other columns are ignored or passed on; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -589,8 +591,59 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "class_id")
 
 
+_OWN = 1 << 62  # keys below minus this stand for rows that their id doesn't tell apart
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with ``_key`` (the id, where no other row has it, else from id and text); and whether all keys are ids."""
+    own = F.col(id_col).cast("long")
+    again = cut(docs.groupBy(own.alias("_id")).count().where(f"count > 1 OR _id IS NULL OR _id < -{_OWN}").select("_id", F.lit(True).alias("_again")))
+    if again.limit(1).count() == 0:
+        return docs.withColumn("_key", own), True
+    rows = sized_join(docs.withColumn("_id", F.coalesce(own, F.lit(NO_ID))), again.select(F.coalesce("_id", F.lit(NO_ID)).alias("_id"), "_again"), ["_id"], "left")
+    digest = F.xxhash64("_id", F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(_OWN - 1))
+    return rows.withColumn("_key", F.when(F.col("_again"), F.lit(-_OWN - 1) - digest).otherwise(F.col("_id"))).drop("_id", "_again"), False
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id: one row for each document with an id."""
+    """doc_id, class_id, kept: one row for each row of ``docs``; a class is named by its least id."""
+    rows, plain = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    classes = key_classes(rows)
+    if plain:
+        return classes.select(F.col("key").alias("doc_id"), "class_id", (F.col("key") == F.col("class_id")).alias("kept"))
+    low = _keepers(rows, classes)
+    known = rows.groupBy("_key", "doc_id").agg(F.count("*").alias("_n")).join(low, "_key")
+    copies = known.select("*", F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_at", "_k"))
+    return copies.select("doc_id", "class_id", (F.col("_stays") & (F.col("_at") == 0)).alias("kept"))
+
+
+def _keepers(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """_key, class_id (the least id, null if none has one), _stays: one key of each class."""
+    rank = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.negative("_key").alias("k"))
+    ranked = cut(rows.select("_key", rank.alias("_rank")).distinct().join(classes.select(F.col("key").alias("_key"), F.col("class_id").alias("_class")), "_key"))
+    least = cut(ranked.groupBy("_class").agg(F.min("_rank").alias("_least")))
+    met = sized_join(ranked, least, ["_class"], "inner")
+    return met.select("_key", F.nullif("_least.id", F.lit(NO_ID)).alias("class_id"), (F.col("_rank") == F.col("_least")).alias("_stays"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class."""
+    names = docs.columns
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    rows, plain = keyed(docs.toDF(*at.values()), at[id_col], at[text_col])
+    base = rows.select(F.col(at[id_col]).cast("long").alias("doc_id"), F.col(at[text_col]).alias("text"), "_key")
+    classes = key_classes(base)
+    gone = classes.where("key <> class_id").select(F.col("key").alias("_key")) if plain else _keepers(base, classes).where("not _stays").select("_key")
+    out = sized_join(rows, cut(gone), ["_key"], "left_anti")
+    if not plain:  # one of rows alike in id and text
+        single = out.where(f"_key >= -{_OWN}").select(*at.values())
+        several = out.where(f"_key < -{_OWN}").groupBy("_key").agg(F.min_by(F.struct(*at.values()), F.xxhash64(*at.values())).alias("_row")).select("_row.*")
+        out = single.unionByName(several)
+    return out.select(*at.values()).toDF(*names)
+
+
+def key_classes(docs: DataFrame, id_col: str = "_key", text_col: str = "text") -> DataFrame:
+    """key, class_id (the least key) of each distinct key. ``docs``: keys that tell texts apart."""
     chunks, buckets = sizes(docs, text_col)
     total = docs.count()
     base = chunked(docs, chunks, id_col, text_col)
@@ -632,11 +685,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = cut(met.join(sent_features, "id").groupBy("pair").applyInArrow(lambda t: released(compare_blocks, t), "a long, b long"))
             joined = components(more).select(F.col("id").alias("class_id"), F.col("class_id").alias("_class"))
             out = out.join(joined, "class_id", "left").select("doc_id", F.coalesce("_class", "class_id").alias("class_id"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"))
+    return out.select(F.col("doc_id").alias("key"), "class_id")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = cut(near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    sizes_ = cut(classes.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1"))
-    out = classes.join(sizes_, "class_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    known = F.coalesce("class_id", F.lit(NO_ID)).alias("_class")
+    sizes_ = cut(classes.groupBy(known).agg(F.count("*").alias("class_size")).where("class_size > 1"))
+    out = sized_join(classes.select("*", known), sizes_, ["_class"], "left")
+    return out.select("doc_id", "class_id", F.coalesce(F.when(F.col("class_id").isNotNull(), F.col("class_size")), F.lit(1).cast("long")).alias("class_size"), "kept")

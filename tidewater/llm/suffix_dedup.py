@@ -330,14 +330,13 @@ def judge_contexts(bucket: int, table: pa.Table) -> pa.Table:
     heads, (keys, ctx, ids) = _gathered(table, SHARED, np.uint64, np.uint64, np.int64)
     first, _, entry = _first_ids((keys, ctx), ids)
     code = np.where(ids > ids[first[entry]], ALL, np.uint32(0)).astype(np.uint32)
-    # a context that several chunks hold first under one id can't be: equal ids share a chunk
+    # the first holders of the other contexts are asked for bytes; several chunks may hold one first, under one id
     if len(first):
         k, i = keys[first], ids[first]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         differ = np.minimum.reduceat(i, starts) < np.maximum.reduceat(i, starts)
         several = np.repeat(differ, np.diff(np.r_[starts, len(k)]))
-        ask = first[several]
-        code[ask[code[ask] == 0]] = ASK
+        code[(code == 0) & several[entry]] = ASK
     rows = _answers(bucket, SHARED + 10, heads, code)
     heads, (keys, ids) = _gathered(table, STRINGS, np.uint64, np.int64)
     first, _, entry = _first_ids((keys,), ids)
@@ -382,7 +381,7 @@ def judge_bytes(bucket: int, table: pa.Table) -> pa.Table:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay), and the columns named in ``carry``."""
     chunks, buckets = sizes(docs, text_col)
-    base = chunked(docs, chunks, id_col, text_col, carry)
+    base = chunked(docs, chunks, id_col, text_col, carry, by_text=True)
 
     def at_chunks(answers: DataFrame, f, schema: str) -> DataFrame:
         mine = answers.withColumnRenamed("target", "chunk")
