@@ -5,7 +5,7 @@ of ``documents``. Decisions
 - language ID: documents that it rejects (no letter, or a null text: ``und``) go; all others stay. Documents without a
   language get the predicted one. It learns from the documents that have one.
 - exact dedup: of equal texts the row with the largest id stays.
-- near-dedup: the least id of each class stays.
+- near-dedup: the least id of each class stays; rows with a repeated id and different texts are documents of their own.
 - suffix-array dedup: bytes of repeated passages are cut from the text. Where a cut falls inside a character, its
   remaining bytes go too. A document that loses all of its text stays, with an empty text; a null text becomes empty.
 - packing: one row per piece.
@@ -13,14 +13,13 @@ of ``documents``. Decisions
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import exact_dedup, langid, near_dedup, packing, suffix_dedup
-from tidewater.session import cut, ship, sized_join
+from tidewater.session import shared_folder, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,9 +45,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    gone = cut(near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id"))
-    return sized_join(docs, gone, ["doc_id"], "left_anti").select(*COLUMNS)
+    return near_dedup.without_near_duplicates(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +80,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read again as the next one's documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-pipeline-")
-    home = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")

@@ -41,12 +41,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """Use the shared folder the cluster names; a temporary one only in a local session that names none (tests)."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A cluster must name one: a folder of one machine isn't shared."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewater-ckpt-"))
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(sc, "_tidewater_folder"):
+        sc._tidewater_folder = tempfile.mkdtemp(prefix="tidewater-ckpt-")
+    return sc._tidewater_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
