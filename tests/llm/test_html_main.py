@@ -60,6 +60,31 @@ def test_edges():
     assert extract(big).count("word") == 20_000
 
 
+def test_left_out_end_tags():
+    assert extract("<html><head><title>T</title><meta charset=x><body><p>one</p><p>two</p>") == "one\n\ntwo"
+    assert extract("<head><title>T</title><p>no body tag</p>") == "no body tag"
+    assert extract("<p>a</p><select><option>x</select><p>b</p><div><p>c</p></div>") == "a\n\nb\n\nc"
+    assert extract("<p>a</p><select><option>x<option>y<p>b</p>") == "a\n\nb"
+    assert extract("<div><textarea><div>typed</textarea><p>after</p></div>") == "after"
+    assert extract("<p>a</p><button><div>press</button><p>b</p>") == "a\n\nb"
+
+
+def test_inline_elements_are_left_out():
+    page = '<p>Hi <button>Share this</button> there</p><p><svg viewBox="0"><title>Icon</title><text>x</text></svg>Text <noscript>Enable JS</noscript>more<textarea>typed</textarea></p><button>Subscribe</button>'
+    assert extract(page) == "Hi there\n\nText more"
+
+
+def test_names_that_hold_a_mark():
+    for name in ('class="layout has-sidebar"', 'class="no-comments"', 'id="search-results-explained"', 'class="share-price"', 'class="adventure"', 'class="navy"'):
+        assert extract(f"<div {name}><article><p>the story</p></article></div>") == "the story", name
+        assert extract(f"<div><p {name}>the story</p></div>") == "the story", name
+    for name in ('class="site-header"', 'id="comment-list"', 'class="x share"', 'role="navigation"', 'class="related_articles"', 'class="cookie-notice top"'):
+        assert extract(f"<div {name}><p>not the story, long as it may be</p></div><div><p>the story</p></div>") == "the story", name
+    assert extract('<div class="banner"><article><p>the story</p></article></div>') == "the story"
+    reader = '<div id="comments"><article><p>a reader says more than the story does, much more</p></article></div>'
+    assert extract(f"<article><p>the story</p></article>{reader}") == "the story"
+
+
 def test_frame_votes_nulls_and_repeats(spark):
     tpl = '<html><body><div class="side{0}"><p>{1}</p></div><div class="main{0}"><p>{2}</p></div></body></html>'
     rows = [(i, "http://h.example/x", tpl.format(i, "menu words", "body text of the page " * 3), "t") for i in range(5)]

@@ -6,7 +6,10 @@ host (a container inside an article votes for the article), and the path with th
 or has no host, uses its own best container.
 
 Defined results
-- null html is empty and gives an empty text; unclosed, misnested and stray tags are tolerated.
+- null html is empty and gives an empty text; unclosed, misnested and stray tags are tolerated; a head or select whose
+  end tag is left out ends where a block begins that can't be inside it.
+- an element is left out for its tag (:data:`DROPPED`, inline ones too) or for a class, id or role that says so as a whole;
+  a name that merely holds such a word leaves it in, and no name hides the only article of a page.
 - ties between containers go to the outer, earlier one; between paths to the smaller hash; repeated rows repeat.
 - other columns are ignored; an empty table gives no rows.
 
@@ -29,20 +32,30 @@ from tidewater.session import cut, sized_join
 
 #: Elements whose content is never main text.
 DROPPED = set("aside button datalist dialog footer form header iframe input label menu nav noscript object option select svg template textarea head title".split())
-RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "title", "xmp", "svg")
-#: Words of class, id and role that mark what isn't the article.
+#: Words of class and id that mark what isn't the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager "
     "popup promo promoted recommended related replies reply responses search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Words that may stand beside a mark in a name without changing what it marks ("site-header", "comment-list").
+BESIDE = set(
+    "area article articles bar block body bottom box col column container content footer global group inner item items left links list "
+    "main media menu news outer page panel post posts primary reader right row secondary section site slot small stories story sub "
+    "sticky text top user unit widget wrap wrapper".split()
+)
+#: Roles of what isn't the article.
+ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = set("article body div main section td dd li blockquote center html table tbody tr ul ol figure details".split())
 KEPT_WHOLE = {"html", "body", "main", "article"}
+OF_SELECT = {"option", "optgroup"}
+#: Elements that end an open head where its end tag is left out: all blocks but these.
+IN_HEAD = {"head", "html", "menu", "option"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the key ends, up to the nearest of the stop elements.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,7 +64,7 @@ STOPS = set("ul ol dl table html body article section main div blockquote td th"
 #: A tag's attributes end at the first > outside quotes; where a quote never closes, at the first > at all. Both need a
 #: > ahead, so pages are scanned up to their last one: every try then succeeds or fails at once, and time stays linear.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|$)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']+|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*+)>",
     re.S | re.I,
 )
@@ -62,75 +75,81 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "drop", "parent", "score", "index", "own")
+    __slots__ = ("tag", "path", "drop", "mark", "parent", "score", "index", "own")
 
-    def __init__(self, tag: str, path: str, drop: bool, parent, index: int):
-        self.tag, self.path, self.drop, self.parent, self.index = tag, path, drop, parent, index
+    def __init__(self, tag: str, path: str, drop: bool, mark: bool, parent, index: int):
+        self.tag, self.path, self.drop, self.mark, self.parent, self.index = tag, path, drop, mark, parent, index
         self.score, self.own = 0, 0
 
 
+def marked(attrs: dict[str, str]) -> bool:
+    """Whether a class, the id or a role says that an element isn't the article: a name counts only if all its words are
+    marks or stand beside them ("site-header" does, "has-sidebar", "no-comments" and "share-price" don't)."""
+    for kind, value in attrs.items():
+        for name in value.lower().split():
+            words = _WORD.findall(name)
+            if kind == "role":
+                if name in ROLES:
+                    return True
+            elif any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+                return True
+    return False
+
+
 def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     """Containers in page order; kept blocks as (container, text) in page order."""
-    root = _Node("", "", False, None, 0)
+    root = _Node("", "", False, False, None, 0)
     stack = [root]
     nodes: list[_Node] = [root]
-    blocks: list[tuple[_Node, str]] = []
+    found: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
     links = 0
     at = in_link = 0
 
-    def home(n: _Node) -> _Node:
-        while n.parent is not None and n.tag not in CONTAINERS:
-            n = n.parent
-        return n
-
     def flush() -> None:
         nonlocal links
         if parts:
-            top = stack[-1]
-            if not top.drop:
-                text = " ".join(_html.unescape("".join(parts)).split())
-                if text:
-                    c = home(top)
-                    blocks.append((c, text))
-                    gain = max(0, len(text) - 2 * links)
-                    c.own += gain
-                    up = c.parent and home(c.parent)
-                    c.score += 2 * gain
-                    if up:
-                        up.score += gain
+            text = " ".join(_html.unescape("".join(parts)).split())
+            if text:
+                found.append((stack[-1], text, links))
             parts.clear()
         links = 0
 
     last = page.rfind(">") + 1
     for m in _TOKEN.finditer(page, 0, last):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].drop:
             parts.append(page[at : m.start()])
             if in_link:
                 links += m.start() - at
         at = m.end()
-        tag = m[2]
+        tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
+        if m[2]:
             if tag in BLOCKS:
                 flush()
+            through = tag in BLOCKS or tag == "a" or tag in DROPPED  # ends open blocks inside it too
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if tag in BLOCKS or tag == "a" or not any(n.tag in BLOCKS for n in stack[k + 1 :]):
+                    if through or not any(n.tag in BLOCKS for n in stack[k + 1 :]):
                         del stack[k:]
                     break
-                if tag not in BLOCKS and stack[k].tag in STOPS:
+                if not through and stack[k].tag in STOPS:
                     break
             if tag == "a":
                 in_link = 0
             continue
         if tag == "br":
-            parts.append(" ")
+            if not stack[-1].drop:
+                parts.append(" ")
             continue
         if tag in BLOCKS:
             flush()
+            if len(stack) > 1 and tag not in IN_HEAD and any(n.tag == "head" for n in stack[1:3]):
+                del stack[next(k for k, n in enumerate(stack) if n.tag == "head") :]
+            if tag not in OF_SELECT and any(n.tag == "select" for n in stack[-3:]):  # no other block fits into a select: it ended
+                del stack[next(k for k, n in enumerate(stack) if n.tag == "select") :]
             ended = ENDS.get(tag, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" or stack[k].tag in ended:
@@ -144,25 +163,59 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         above = stack[-1]
         if tag == "a":
             in_link = 1
-        attrs = {a.lower(): (b or c or d) for a, b, c, d in _ATTR.findall(m[3])} if "=" in m[3] else {}
-        classes = attrs.get("class", "")
-        drop = above.drop or tag in DROPPED
-        if attrs and not drop and tag not in KEPT_WHOLE and tag in BLOCKS:
-            drop = any(w in MARKS for v in attrs.values() for w in _WORD.findall(v.lower()))
-        if m[3].rstrip().endswith("/") and tag not in BLOCKS:
+        attrs = {a.lower(): (b or c or d) for a, b, c, d in _ATTR.findall(m[4])} if "=" in m[4] else {}
+        if m[4].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         path = above.path
         if tag in CONTAINERS and path.count("/") < DEEPEST:
-            general = ".".join(sorted({re.sub(r"\d+", "", c) for c in classes.lower().split()}))
+            general = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()}))
             path = f"{above.path}/{tag}.{general}" if general else f"{above.path}/{tag}"
-        n = _Node(tag, path, drop, above, len(nodes))
+        mark = bool(attrs) and tag in BLOCKS and tag not in KEPT_WHOLE and marked(attrs)
+        n = _Node(tag, path, above.drop or tag in DROPPED, mark, above, len(nodes))
         nodes.append(n)
         stack.append(n)
     tail = _OPENS.split(page[at:], maxsplit=1)[0]
-    if tail:
+    if tail and not stack[-1].drop:
         parts.append(tail)
     flush()
-    return nodes, blocks
+    return nodes, _scored(nodes, found)
+
+
+def _scored(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str]]:
+    """The blocks outside of marked elements, their containers' scores added up."""
+    hidden = _hidden(nodes)
+    whole = [n for n in nodes if n.tag in ("article", "main") and not n.drop]
+    if whole and all(hidden[n.index] for n in whole):  # a mark around all there is of an article can't be meant
+        for n in whole:
+            while n.parent is not None:
+                n.mark = False
+                n = n.parent
+        hidden = _hidden(nodes)
+    blocks = []
+    for top, text, links in found:
+        if hidden[top.index]:
+            continue
+        c = _home(top)
+        blocks.append((c, text))
+        gain = max(0, len(text) - 2 * links)
+        c.own += gain
+        c.score += 2 * gain
+        if c.parent is not None:
+            _home(c.parent).score += gain
+    return blocks
+
+
+def _hidden(nodes: list[_Node]) -> list[bool]:
+    out: list[bool] = []
+    for n in nodes:
+        out.append(n.mark or n.parent is not None and out[n.parent.index])
+    return out
+
+
+def _home(n: _Node) -> _Node:
+    while n.parent is not None and n.tag not in CONTAINERS:
+        n = n.parent
+    return n
 
 
 def path_hash(path: str) -> int:
