@@ -32,24 +32,36 @@ def test_no_control_string_survives_in_a_body():
         ({"question": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
         ({"input": {"text": "i"}, "output": {"text": "o"}}, [("user", "i"), ("assistant", "o")]),
         ([{"role": "user", "content": "bare"}], [("user", "bare")]),
-        ({"unknown": 1}, []),
+        ({"prompt": "a", "prompt_id": "7", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
+        ({"system": "s", "messages": [{"role": "user", "content": "a"}]}, [("system", "s"), ("user", "a")]),
+        ({"instruction": "do", "input": "this", "output": "done", "prompt": "Below is: do this"}, [("user", "do\n\nthis"), ("assistant", "done")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "c"]}, {"role": "assistant", "content": "b"}]}, [("user", 'a\n{"type": "image", "url": "u"}\nc'), ("assistant", "b")]),
+        ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"name": "f"}]}]}, [("assistant", '{"name": "f"}')]),
+        ({"messages": []}, []),
+        ({"messages": ["a"]}, [("unknown", '{"messages": ["a"]}')]),
+        ({"messages": [{"role": "user", "content": []}]}, [("user", "")]),
+        ({"prompt": "p", "chosen": "c", "rejected": "r"}, [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "chosen": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
+        ({"system": "s", "question": "q", "answer": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"unknown": 1}, [("unknown", '{"unknown": 1}')]),
         (None, []),
     ],
 )
 def test_layouts(record, turns):
-    assert chat.to_turns(record)[1] == turns
+    assert chat.to_turns(record)[2] == turns
 
 
 def test_fingerprint_ignores_values_and_order():
-    a, _ = chat.to_turns({"prompt": "x", "completion": "y"})
-    b, _ = chat.to_turns({"completion": "longer", "prompt": None, "extra": {"k": 1}})
+    a, *_ = chat.to_turns({"prompt": "x", "completion": "y"})
+    b, *_ = chat.to_turns({"completion": "longer", "prompt": None, "extra": {"k": 1}})
     assert a == b
 
 
 def test_frame_edges(spark):
     rows = [(1, json.dumps({"prompt": "p", "completion": "c"}), "f"), (2, None, "f"), (3, "not json", "f"), (1, json.dumps({"prompt": "p", "completion": "c"}), "f")]
     got = chat.format_records(spark.createDataFrame(rows, "id long, record string, formatted string")).collect()
-    assert sorted((r["id"], r["formatted"]) for r in got) == [(1, "<s>user\np</s><s>assistant\nc</s>")] * 2 + [(2, ""), (3, "")]
+    assert sorted((r["id"], r["formatted"]) for r in got) == [(1, "<s>user\np</s><s>assistant\nc</s>")] * 2 + [(2, ""), (3, "<s>unknown\nnot json</s>")]
+    assert {r["id"]: r["mapping"] for r in got} == {1: "prompt completion", 2: None, 3: None}
     assert chat.read_back(chat.format_records(spark.createDataFrame([], "id long, record string"))).count() == 0
 
 

@@ -1,14 +1,18 @@
 """Operator 2: chat formatting by schema fingerprints.
 
 A record's nested field paths (array places left out), sorted and hashed, are its fingerprint; the fingerprint selects
-a declarative mapping from that layout to canonical turns. The template writes a turn as ``<s>role\\ntext</s>``;
+a declarative mapping from that layout to canonical turns: of the mappings whose needed fields are all there the one that
+covers most of the record's fields, among equals the first in the list. The template writes a turn as ``<s>role\\ntext</s>``;
 inside roles and texts a backslash is doubled and every control string gets one after its first character, so no
 control string survives and reading back is exact.
 
 Defined results
-- null texts and roles are empty; a record of no known layout gives no turns (fingerprint kept, so it can be found).
+- null texts and roles are empty: a message without content is an empty turn, or its tool calls as JSON where it has any.
+- content in typed parts is their texts, a line each; a part that isn't text is written as JSON.
+- a record of no known layout, or one that isn't JSON, is one turn of the role ``unknown`` that holds it as it is, under no
+  mask; its mapping is null, so it can be found. A null record has no turns.
 - turns are ordered by (turn, role, text); repeated rows give repeated turns; other columns are ignored.
-- fields that no mapping knows don't change the fingerprint of the known ones; an empty table gives no rows.
+- fields that no mapping knows change neither the fingerprint nor the mapping; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,27 +30,30 @@ from pyspark.sql import functions as F
 #: Strings that no text may hold unescaped.
 CONTROL = ["</s>", "<s>", "[/INST]", "[INST]"]
 
-#: Layouts. ``each``: an array of messages with role and text fields; ``turns``: (role, field) in order.
+#: Layouts. ``each``: an array of messages with role and text fields; ``turns``: (role, field, ...) in order, before them.
 MAPPINGS = [
-    {"name": "messages", "each": "messages", "role": "role", "text": "content"},
+    {"name": "messages", "each": "messages", "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "bare messages", "each": "", "role": "role", "text": "content"},
     {"name": "sharegpt", "each": "conversations", "role": "from", "text": "value", "optional": ["system"], "turns": [("system", "system")], "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
+    {"name": "conversation", "each": "conversation", "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "dialog", "each": "dialog", "role": "speaker", "text": "text", "roles": {"human": "user", "bot": "assistant"}},
+    {"name": "preferred messages", "each": "chosen", "role": "role", "text": "content"},
     {"name": "instruction", "turns": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")], "optional": ["input", "system"]},
     {"name": "instruction response", "turns": [("user", "instruction", "context"), ("assistant", "response")], "optional": ["context"]},
-    {"name": "prompt completion", "turns": [("user", "prompt"), ("assistant", "completion")]},
+    {"name": "prompt completion", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")], "optional": ["system"]},
     {"name": "prompt response", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")], "optional": ["system"]},
-    {"name": "question answer", "turns": [("user", "question"), ("assistant", "answer")]},
+    {"name": "preferred answer", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "chosen")], "optional": ["system"]},
+    {"name": "question answer", "turns": [("system", "system"), ("user", "question", "context"), ("assistant", "answer")], "optional": ["system", "context"]},
     {"name": "nested", "turns": [("user", "input.text"), ("assistant", "output.text")]},
 ]
 
 
 def paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a value; places in arrays are ``[]``."""
+    """Nested field paths of a value; places in arrays are ``[]``, an empty array is ``[0]``."""
     if isinstance(value, dict):
         return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
     if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
+        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[0]"}
     return {at}
 
 
@@ -55,51 +61,65 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-def _mapping_paths(m: dict) -> tuple[set[str], list[str]]:
+def _needed(m: dict) -> list[set[str]]:
+    """For each field that a mapping needs, the paths that may hold it."""
     optional = m.get("optional", [])
-    fixed = {f for t in m.get("turns", []) for f in t[1:]} - set(optional)
+    out = [{f} for t in m.get("turns", []) for f in t[1:] if f not in optional]
     if "each" in m:
-        fixed |= {f"{m['each']}[].{m['role']}", f"{m['each']}[].{m['text']}"}
-    return fixed, optional
+        none, text = f"{m['each']}[0]", f"{m['each']}[].{m['text']}"
+        out += [{f"{m['each']}[].{m['role']}", none}, {text, f"{text}[]", f"{text}[0]", f"{text}[].text", none}]
+    return out
 
 
 @lru_cache(1)
-def table() -> tuple[dict[str, dict], set[str]]:
-    """Mapping by fingerprint, for every choice of optional fields; and all fields that some mapping knows."""
-    by, known = {}, set()
-    for m in MAPPINGS:
-        fixed, optional = _mapping_paths(m)
-        known |= fixed | set(optional)
-        for n in range(len(optional) + 1):
-            for chosen in combinations(optional, n):
-                by.setdefault(fingerprint(fixed | set(chosen)), m)
-    return by, known
-
-
-def _get(record, path: str) -> str:
+def known_paths() -> frozenset[str]:
+    """All fields that some mapping knows."""
+    return frozenset(f for m in MAPPINGS for f in [*m.get("optional", []), *(p for held in _needed(m) for p in held)])
+
+
+_chosen: dict[str, dict | None] = {}
+
+
+def mapping_for(found: set[str]) -> tuple[str, dict | None]:
+    """(fingerprint of the known fields, the mapping that it selects)."""
+    found = found & known_paths()
+    fp = fingerprint(found)
+    if fp not in _chosen:
+        covered = [(sum(bool(held & found) for held in _needed(m)) + len(found & set(m.get("optional", []))), -k) for k, m in enumerate(MAPPINGS) if all(held & found for held in _needed(m))]
+        _chosen[fp] = MAPPINGS[-max(covered)[1]] if covered else None
+    return fp, _chosen[fp]
+
+
+def _get(record, path: str):
     for k in path.split("."):
         record = record.get(k) if isinstance(record, dict) else None
-    return "" if record is None else record if isinstance(record, str) else json.dumps(record, ensure_ascii=False)
+    return record
+
+
+def _text(value) -> str:
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "\n".join(x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else _text(x) for x in value)
+    return json.dumps(value, ensure_ascii=False)
 
 
-def to_turns(record) -> tuple[str, list[tuple[str, str]]]:
-    """(fingerprint, canonical turns) of one record."""
-    by, known = table()
-    fp = fingerprint(paths(record) & known)
-    m = by.get(fp)
+def to_turns(record) -> tuple[str, str | None, list[tuple[str, str]]]:
+    """(fingerprint, name of the mapping, canonical turns) of one record."""
+    fp, m = mapping_for(paths(record))
     if m is None:
-        return fp, []
+        return fp, None, [] if record is None else [("unknown", json.dumps(record, ensure_ascii=False))]
     turns = []
     for role, *fields in m.get("turns", []):
-        held = [x for f in fields if (x := _get(record, f))]
+        held = [x for f in fields if (x := _text(_get(record, f)))]
         if held or role != "system":
             turns.append((role, "\n\n".join(held)))
     if "each" in m:
         roles = m.get("roles", {})
-        for x in record.get(m["each"], []) if m["each"] else record:
-            role = _get(x, m["role"])
-            turns.append((roles.get(role, role), _get(x, m["text"])))
-    return fp, turns
+        for x in record[m["each"]] if m["each"] else record:
+            role, said = _text(_get(x, m["role"])), _get(x, m["text"])
+            turns.append((roles.get(role, role), _text(_get(x, "tool_calls") if said is None else said)))
+    return fp, m["name"], turns
 
 
 def escape(text: str) -> str:
@@ -134,26 +154,26 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_records(records: DataFrame, id_col: str = "id", record_col: str = "record") -> DataFrame:
-    """id, fingerprint, formatted, loss_spans. ``record``: a JSON text in any known layout."""
+    """id, fingerprint, mapping, formatted, loss_spans. ``record``: a JSON text, in any known layout if it is to have turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            fps, texts, masks = [], [], []
+            fps, names, texts, masks = [], [], [], []
             for raw in b.column(1).to_pylist():
                 try:
-                    record = json.loads(raw) if raw else None
-                except ValueError:
-                    record = None
-                fp, turns = to_turns(record)
-                text, spans = format_turns(turns)
+                    fp, name, turns = to_turns(json.loads(raw) if raw else None)
+                except (ValueError, RecursionError):
+                    fp, name, turns = fingerprint(set()), None, []
+                text, spans = format_turns([("unknown", raw)] if name is None and raw else turns)
                 fps.append(fp)
+                names.append(name)
                 texts.append(text)
                 masks.append([{"start": s, "end": e} for s, e in spans])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.string()), pa.array(texts, pa.string()), pa.array(masks, span)], names=["id", "fingerprint", "formatted", "loss_spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, span)], names=["id", "fingerprint", "mapping", "formatted", "loss_spans"])
 
     chosen = records.select(F.col(id_col).cast("long").alias("id"), F.col(record_col).alias("record"))
-    return chosen.mapInArrow(run, "id long, fingerprint string, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return chosen.mapInArrow(run, "id long, fingerprint string, mapping string, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
