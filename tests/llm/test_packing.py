@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidewater.llm.packing import BestFit, cut_points, pack
+from tidewater.llm.packing import BestFit, _packed, cut_points, pack
 
 TEXTS = [(1, "hello world"), (2, None), (3, ""), (4, "word " * 5000), (5, "naïve <|endoftext|> café 日本語\n\n  x"), (6, "hello world"), (6, "hello world"), (None, "no id")]
 
@@ -46,7 +46,15 @@ def test_whole_table_is_tight(spark, sf):
     rows = pack(docs).collect()
     bins = check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()])
     total = sum(r["length"] for r in rows)
-    assert len(bins) <= total / 2048 * 1.1 + 1
+    assert len(bins) <= -(-total // 2048) * 1.01 + 4  # four partitions, each with a last bin
+
+
+def test_fill_of_many_pieces(spark):
+    lengths = [1 + (k * 7919) % 2047 if k % 3 else 1 + (k * 31) % 300 for k in range(20_000)]
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for parts, open_bins in ((1, 512), (4, 2048), (40, 2048)):
+        made = _packed(pieces, parts, 2048, open_bins, 0, last=True).select("sequence_id").distinct().count()
+        assert made <= -(-sum(lengths) // 2048) * 1.01 + parts
 
 
 def test_only_first_piece_is_short():

@@ -11,9 +11,9 @@ Defined results
 - other columns of the input are ignored.
 
 Plan: tokens never leave the worker that made them: a piece's row holds its length and checksum. Those small rows
-are dealt by a hash of the id and packed partition by partition in id order, so a lost task gives the same bins
-again. Each partition's bins that are still loosely filled at its end are packed once more, over far fewer
-partitions; both rounds read a checkpointed table of pieces.
+are dealt by a hash and arrive in runs of about as many pieces as there are open bins, longest first within a run, in an
+order that depends on the pieces alone, so a lost task gives the same bins again. Each partition's bins that are still
+loosely filled at its end are packed once more, over far fewer partitions; both rounds read a checkpointed table of pieces.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewater.session import cut, shuffle_partitions
 
 SEQ_LEN = 2048
-OPEN_BINS = 512
+OPEN_BINS = 2048
 END_ID = 0
 LOOSE = 32  # a bin with more free places than this at a partition's end is packed again
 
@@ -146,7 +146,9 @@ def _packed(pieces: DataFrame, parts: int, seq_len: int, open_bins: int, level:
             cols = [*batch.columns, pa.array([top + x for x in b], pa.int64()), pa.array(o, pa.int64()), pa.array([x in loose for x in b], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "sequence_id", "seq_offset", "loose"])
 
-    dealt = pieces.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "piece", "start")
+    runs = max(1, -(-pieces.count() // (parts * open_bins)))
+    place = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    dealt = pieces.repartition(parts, place).sortWithinPartitions(F.pmod(F.xxhash64(place), F.lit(runs)), F.desc("length"), "doc_id", "piece", "ids_crc32", "start")
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, seq_offset long, loose boolean")
 
 
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", seq_len: int =
     pieces = cut(piece_rows(docs, vocabulary, seq_len, id_col, text_col))
     first = cut(_packed(pieces, parts, seq_len, open_bins, 0, last=False))
     own = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    again = _packed(first.where("loose").select(*own), max(1, parts // 32), seq_len, open_bins * 8, 1, last=True)
+    again = _packed(first.where("loose").select(*own), max(1, parts // 32), seq_len, open_bins, 1, last=True)
     return first.where("not loose").unionByName(again).select(*own, "sequence_id", F.col("seq_offset").alias("offset"))
 
 
