@@ -36,6 +36,15 @@ def test_random_texts(both):
         same(both, "".join(chr(rng.choice([rng.randint(1, 0x250), rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x1FFFF)])) for _ in range(rng.randint(1, 8))))
 
 
+def test_symbols_without_a_token():
+    from tidewater.llm.bpe import Backtracker
+
+    core = Backtracker({"a": 0, "b</w>": 1, "ab</w>": 2, "c": 3, "?": 4}, [("a", "b</w>")], "</w>")
+    assert core.encode("axb") is None
+    assert core.encode_known("axb", None) == [2] and core.encode_known("axb", 4) == [0, 4, 1]
+    assert core.encode_known("xx", None) == [] and core.encode_known("cab", None) == [3, 2]
+
+
 def test_round_trip_of_ids(both):
     _, codec = both
     ids = codec.encode("the quick brown fox isn't 42")

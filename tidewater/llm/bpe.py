@@ -7,6 +7,7 @@ the last token is taken back. The result is the merge result, in time linear in
 
 Defined results
 - null text is empty: no ids, empty decoded text; other columns are ignored; repeated rows give repeated results.
+- a symbol without a token becomes the vocabulary's unknown token; where it names none, the symbol goes.
 - special strings of the vocabulary found in a text become their ids, as the library does by default.
 - decoding joins the tokens' strings by one space when the vocabulary names no decoder (the library's rule).
 """
@@ -173,6 +174,19 @@ class Backtracker:
             token, last = shorter.get(token, -1), out[-1] if out else -1
 
 
+    def encode_known(self, word: str, unknown: int | None) -> list[int]:
+        """Merges of a word in which some symbol has no token: that symbol becomes ``unknown``, or goes if there is none."""
+        symbols = [*word[:-1], word[-1] + self.suffix] if word else []
+        ids = [self.vocab.get(x, unknown) for x in symbols]
+        ids = [i for i in ids if i is not None]
+        while len(ids) > 1:
+            rank, at = min((self.rank.get(pair, float("inf")), k) for k, pair in enumerate(zip(ids, ids[1:])))
+            if rank == float("inf"):
+                break
+            ids[at : at + 2] = [self.merged[ids[at], ids[at + 1]]]
+        return ids
+
+
 class Codec:
     """Encodes and decodes texts as the vocabulary file's pipeline says (normalising, splitting, byte symbols, merges)."""
 
@@ -187,6 +201,7 @@ class Codec:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.core = Backtracker(model["vocab"], merges, self.suffix)
         self.vocab = model["vocab"]
+        self.unknown = self.vocab.get(model.get("unk_token") or "")
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"unknown normaliser {kinds}")
@@ -218,9 +233,7 @@ class Codec:
     def word_ids(self, word: str) -> list[int]:
         symbols = word.encode().decode("latin-1").translate(self.table)
         ids = self.core.encode(symbols)
-        if ids is None:  # some symbol has no token: what the merges leave of the known ones
-            raise ValueError(f"no token for a character of {word!r}")
-        return ids
+        return self.core.encode_known(symbols, self.unknown) if ids is None else ids
 
     def token(self, i: int) -> str:
         return self.all_text[self.starts[i] : self.starts[i + 1]]
