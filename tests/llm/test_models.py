@@ -60,8 +60,9 @@ def test_partition_sums_equal_one_pass(spark):
     x = rng.normal(size=(300, quality.STATISTICS))
     y = (x[:, 0] + 0.1 * rng.normal(size=300) > 0).astype(float)
     rows = [(a.tolist(), float(b)) for a, b in zip(x, y)]
-    models = [quality.fit(spark.createDataFrame(rows, "stats array<double>, y double").repartition(n)) for n in (1, 5)]
+    models = [quality.fit(spark.createDataFrame(rows, "stats array<double>, y double").repartition(n)) for n in (1, 5, 40)]
     assert np.allclose(models[0].score(x), models[1].score(x), atol=1e-6)
+    assert np.allclose(models[0].score(x), models[2].score(x), atol=1e-6)
     assert np.mean((models[0].score(x) >= 0.5) == y) > 0.9
 
 

@@ -10,9 +10,10 @@ Defined results
   to learn from, gives ``und`` throughout.
 - language, source and id are never inputs of a prediction; other columns are ignored.
 
-Fitting reads a bounded sample: about ``per_language`` labelled texts of each language, chosen by a hash of the id.
-The sample's features go to the driver (at most languages x per_language x ``DIM`` small counts); the fitted weights,
-of fixed width, go to the workers with the function. Prediction reads every whole text once and shuffles nothing.
+Fitting reads a bounded sample: about ``per_language`` labelled texts of each of the ``LANGUAGES`` most frequent
+languages, chosen by a hash of the id. Each machine is fitted in a task of its own: the sample's features, sparse, go once to
+each machine that learns from them (a pair's machine from both languages, a family's from up to ``PER_FAMILY`` texts in all),
+and only weights of fixed width come to the driver. Prediction reads every whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import cut, shuffle_partitions
+
 DIM = 4096
 PER_LANGUAGE = 600
+PER_FAMILY = 12_000  # texts that a family's machine learns from
+LANGUAGES = 512
 
 #: Language codes by family. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -110,42 +115,73 @@ def _squash(x: float) -> float:
     return float(1 / (1 + np.exp(-4 * max(-10.0, min(10.0, x)))))
 
 
-def fit(samples: list[tuple[str, np.ndarray]]) -> Model:
-    """From (language, unit vector) pairs; their order doesn't matter to the caller's result beyond rounding."""
-    model = Model()
-    langs = sorted({lang for lang, _ in samples})
-    if not langs:
-        return model
-    by = {name: np.array([v for lang, v in samples if lang == name], np.float32) for name in langs}
-    model.families = sorted({family_of(x) for x in langs})
-    model.members = {f: [x for x in langs if family_of(x) == f] for f in model.families}
-    if len(model.families) > 1:
-        x = np.vstack([by[name] for name in langs])
-        home = np.array([family_of(name) for name in langs for _ in range(len(by[name]))])
-        model.family_w = np.vstack([fit_svm(x, np.where(home == f, 1, -1).astype(np.float32)) for f in model.families])
-    for f, own in model.members.items():
-        pairs = [fit_svm(np.vstack([by[a], by[b]]), np.r_[np.ones(len(by[a])), -np.ones(len(by[b]))].astype(np.float32)) for a, b in combinations(own, 2)]
-        model.pair_w[f] = np.vstack(pairs) if pairs else np.zeros((0, DIM + 1), np.float32)
-    return model
+def machines(langs: list[str], sizes: dict[str, int], per_language: int) -> list[tuple[str, str, str, int, float]]:
+    """(machine, its kind, language, side, share of the language's sample) of all that machines learn from. A pair's machine
+    is named by its two languages, a family's by the family."""
+    out = []
+    families = sorted({family_of(x) for x in langs})
+    share = min(1.0, PER_FAMILY / max(1, sum(min(sizes[x], per_language) for x in langs)))
+    if len(families) > 1:
+        out += [(f, "family", x, 1 if family_of(x) == f else -1, share) for f in families for x in langs]
+    for f in families:
+        for a, b in combinations([x for x in langs if family_of(x) == f], 2):
+            out += [(f"{a}\n{b}", "pair", a, 1, 1.0), (f"{a}\n{b}", "pair", b, -1, 1.0)]
+    return out
+
+
+def _packed(v: np.ndarray) -> bytes:
+    at = np.flatnonzero(v)
+    return at.astype(np.uint16).tobytes() + v[at].astype(np.float16).tobytes()
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(raw), DIM), np.float32)
+    for row, r in zip(out, raw):
+        n = len(r) // 4
+        row[np.frombuffer(r, np.uint16, n)] = np.frombuffer(r, np.float16, n, 2 * n)
+    return out
+
+
+def _fitted(key: tuple, table: pa.Table) -> pa.Table:
+    """One machine's weights; its rows in an order of their own, so that a lost task gives the same again."""
+    rows = sorted(zip(table.column("side").to_pylist(), table.column("v").to_pylist()))
+    w = fit_svm(_unpacked([r[1] for r in rows]), np.array([r[0] for r in rows], np.float32))
+    return pa.table({"machine": [key[0].as_py()], "kind": [key[1].as_py()], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit_on(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` rows of each language of ``labelled``; rows with a null text or language don't count."""
+    """Fit on about ``per_language`` rows of each language of ``labelled``; rows with a null text, no letter or a null language don't count."""
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text IS NOT NULL AND _lang IS NOT NULL")
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model()
-    keep = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    spark = labelled.sparkSession
     place = F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < keep[F.col("_lang")]).select("_lang", "_text")
+    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    sample = rows.withColumn("_place", place / rates[F.col("_lang")]).where("_place < 1").select("_lang", "_text", "_place")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(lang, v) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (v := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].astype(np.float16).tobytes() for g in got], pa.binary())], names=["lang", "v"])
+            got = [(lang, p, v) for lang, text, p in zip(*(batch.column(k).to_pylist() for k in range(3))) if (v := features(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([_packed(g[2]) for g in got], pa.binary())], names=["lang", "place", "v"])
 
-    got = sample.mapInArrow(vectors, "lang string, v binary").collect()
-    return fit([(r["lang"], np.frombuffer(r["v"], np.float16).astype(np.float32)) for r in got])
+    sample = cut(sample.mapInArrow(vectors, "lang string, place double, v binary"))
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    model = Model(sorted({family_of(x) for x in langs}))
+    model.members = {f: [x for x in langs if family_of(x) == f] for f in model.families}
+    plan = machines(langs, sizes, per_language)
+    weights: dict[tuple[str, str], np.ndarray] = {}
+    if plan:
+        learn = sample.join(F.broadcast(spark.createDataFrame(plan, "machine string, kind string, lang string, side int, share double")), "lang").where("place < share")  # at most LANGUAGES squared rows
+        got = learn.repartition(min(len(plan), shuffle_partitions(spark)), "machine").groupBy("machine", "kind").applyInArrow(lambda key, t: _fitted(key, t), "machine string, kind string, w binary")
+        weights = {(r["kind"], r["machine"]): np.frombuffer(r["w"], np.float32) for r in got.collect()}
+    if len(model.families) > 1:
+        model.family_w = np.vstack([weights["family", f] for f in model.families])
+    for f, own in model.members.items():
+        pairs = [weights["pair", f"{a}\n{b}"] for a, b in combinations(own, 2)]
+        model.pair_w[f] = np.vstack(pairs) if pairs else np.zeros((0, DIM + 1), np.float32)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each whole text becomes a fixed list of statistics. Random Fourier features of the standardised statistics
 approximate a Gaussian kernel; the normal equations of a ridge fit are summed partition by partition and then over
-partitions in two steps, so what reaches the driver has a fixed size whatever the data; isotonic regression over a fixed
+partitions in rounds, so what one task or the driver holds has a fixed size whatever the data; isotonic regression over a fixed
 number of score bins turns scores into probabilities.
 
 Defined results
@@ -16,18 +16,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import cut, shuffle_partitions
+from tidewater.session import cut
 
 RFF = 256
 RIDGE = 1e-3
 BINS = 512
+FAN = 16  # partial sums that one task, or the driver, adds up
 
 _SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 _ENDS = re.compile(r"[.!?]")
@@ -81,9 +82,8 @@ def _matrix(batch: pa.RecordBatch, name: str = "stats") -> np.ndarray:
 
 
 def _summed(rows: DataFrame, local, size: int) -> np.ndarray:
-    """Sum over all partitions of the vectors that ``local(batch)`` gives: by partition, by group, then on the driver."""
-
-    groups = max(4, isqrt(shuffle_partitions(rows.sparkSession)))
+    """Sum over all partitions of the vectors that ``local(batch)`` gives: by partition, then ``FAN`` vectors a task in as
+    many rounds as that takes, the last ``FAN`` on the driver."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,16 +92,22 @@ def _summed(rows: DataFrame, local, size: int) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 total += local(b)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
 
-    def group(table: pa.Table) -> pa.Table:
+    def group(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(size)
-        for v in table.column("v"):
+        order = pa.compute.sort_indices(table, [("g", "ascending")])
+        for v in table.column("v").take(order):
             total += np.frombuffer(v.as_buffer(), np.float64)
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
-
-    got = rows.mapInArrow(part, "g int, v binary").groupBy("g").applyInArrow(group, "v binary").collect()
-    return np.sum([np.frombuffer(r["v"], np.float64) for r in sorted(got, key=lambda r: bytes(r["v"]))], axis=0) if got else np.zeros(size)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    left = rows.rdd.getNumPartitions()
+    sums = rows.mapInArrow(part, "g int, v binary")
+    while left > FAN:
+        left = -(-left // FAN)
+        sums = sums.groupBy((F.col("g") % left).alias("to")).applyInArrow(lambda key, t: group(key, t), "g int, v binary")
+    got = sorted(sums.collect(), key=lambda r: r["g"])
+    return np.sum([np.frombuffer(r["v"], np.float64) for r in got], axis=0) if got else np.zeros(size)
 
 
 class Model:
