@@ -12,8 +12,9 @@ banded, propose pairs; weighted Jaccard similarity of the features decides them.
    that has something to compare with them.
 4. Chunks compare their documents, or every member of the class with the leader until one is similar. Verified links give
    classes (connected components, by rounds of label propagation over a checkpointed table of links).
-5. A larger key whose documents are still in several classes has its documents dealt to blocks of about ``BLOCK_DOCS``, a
-   large class to blocks of its own, and every pair of blocks is compared, except two blocks of one class.
+5. Larger keys whose documents are still in several classes are grouped with those that share classes with them. A group's
+   documents are dealt to blocks of about ``BLOCK_DOCS``, a large class to blocks of its own, and every pair of blocks is
+   compared, except two blocks of one class. Features of documents on large keys are kept from round 4 for this.
 
 So each pair of documents that share a band key is compared unless links have already put both in one class. Where leaders
 link a group of copies, however large, its work stays linear; what they leave apart costs the square of its size.
@@ -32,11 +33,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.exchange import BLOCKS, NO_ID, at_buckets, chunk_of, chunked, cuts, distinct, mix, received, released, sent, sizes, texts_of
+from tidewater.llm.exchange import BLOCKS, NO_ID, at_buckets, chunked, cuts, distinct, mix, received, released, sent, sizes, texts_of
 from tidewater.session import cut, sized_join
 
 WORDS = 5
@@ -47,13 +47,14 @@ IDF_SHARE = 0.5  # weight = count * (1 + IDF_SHARE * ln(N / df) / ln N)
 LEADERS = 4
 PAIRED = 6
 BLOCK_DOCS = 512
+GROUP_DOCS = 4096
 SLOTS = 1 << 14
 AT_A_TIME = 256 << 10  # bytes of text split into words at a time
 BLOCK = 512  # features sampled at a time: the draws stay in a core's cache
 
-FREQ, LOCAL, KEYS, TASKS, FEATURES, LARGE, WANTED = 1, 2, 3, 4, 5, 6, 7  # kinds of blocks
+FREQ, LOCAL, KEYS, TASKS, FEATURES, LARGE = 1, 2, 3, 4, 5, 6  # kinds of blocks
 MEMBER, HUB, HUB_ONLY = 0, 1, 2  # an entry of a band key: another member, its class's hub, a hub that lacks the key itself
-LINK, ON_KEY = 0, 1  # rows of round 4
+LINK, ON_KEY, WITH_FEATURES = 0, 1, 2  # rows of round 4
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -164,6 +165,21 @@ def _unpack(block, n: int) -> np.ndarray:
     return out
 
 
+def _pack_slots(slots: np.ndarray) -> bytes:
+    """Rising hashes (48 bits, the upper ones) by their differences, of four bytes each where all fit."""
+    x = slots >> np.uint64(16)
+    steps = np.diff(x, prepend=x[:1])
+    wide = bool(len(steps)) and int(steps.max()) >= 1 << 32
+    return np.array([len(x), wide, x[0] if len(x) else 0], np.uint64).tobytes() + steps.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _unpack_slots(block) -> tuple[np.ndarray, memoryview]:
+    """(the upper 48 bits of the hashes, what follows them)."""
+    n, wide, first = np.frombuffer(block[:24], np.uint64)
+    end = 24 + int(n) * (8 if wide else 4)
+    return np.cumsum(np.frombuffer(block[24:end], np.uint64 if wide else np.uint32), dtype=np.uint64) + first, block[end:]
+
+
 _tables: list[np.ndarray] = []
 
 
@@ -271,8 +287,7 @@ class Chunk:
     def frequencies(self) -> pa.Table:
         """Round 1: slots with the number of documents here that have them."""
         n = self.having
-        high, low = (self.slots >> np.uint64(32)).astype(np.uint32), (self.slots >> np.uint64(16)).astype(np.uint16)
-        return sent([(b, self.chunk, FREQ, np.uint32(e - s).tobytes() + high[s:e].tobytes() + low[s:e].tobytes() + _pack(n[s:e])) for b, s, e in self.slot_cuts])
+        return sent([(b, self.chunk, FREQ, _pack_slots(self.slots[s:e]) + _pack(n[s:e])) for b, s, e in self.slot_cuts])
 
     def bands(self) -> pa.Table:
         """Round 2: band keys of the chunk's classes to buckets; the classes themselves to the chunk's own later rounds."""
@@ -368,7 +383,8 @@ class Chunk:
 
     def links(self) -> pa.Table:
         """Round 4: (LINK, a, b) with a the document and b its class's hub here, or a hub and another chunk's document that is
-        similar to one of its class; (ON_KEY, a, b) with a a document on the large key b."""
+        similar to one of its class; (ON_KEY, a, b) with a a document on the large key b; (WITH_FEATURES, a, b, features)
+        with b the size of a's features."""
         ids = hubs = self.ids
         for v in self.got[LOCAL].values():
             ids, hubs = np.frombuffer(v, np.int64).reshape(2, -1)
@@ -409,18 +425,21 @@ class Chunk:
                     union.join(home, other)
                     break
         kinds = [LINK] * len(a)
+        on_large: set[int] = set()
         for v in self.got[LARGE].values():
             keys, who = np.frombuffer(v, np.int64).reshape(2, -1)
             kinds += [ON_KEY] * len(who)
             a += who.tolist()
             b += keys.tolist()
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
-
-    def wanted(self) -> pa.Table:
-        """Round 5: (id, features) of the documents that are compared by blocks."""
-        place = {int(x): d for d, x in reversed(list(enumerate(self.ids.tolist())))}
-        ids = sorted({x for v in self.got[WANTED].values() for x in np.frombuffer(v, np.int64).tolist()})
-        return pa.table([pa.array(ids, pa.int64()), pa.array([_fold(*self.features(place[x])) for x in ids], pa.binary())], names=["id", "features"])
+            on_large.update(who.tolist())
+        large = sorted(on_large)
+        blobs = [None] * len(a) + [pa.compress(_fold(*self.features(place[x])), "zstd", asbytes=True) for x in large]
+        held = [8 * int(self.starts[place[x] + 1] - self.starts[place[x]]) for x in large]
+        kinds += [WITH_FEATURES] * len(large)
+        return pa.table(
+            [pa.array(kinds, pa.int32()), pa.array([*a, *large], pa.int64()), pa.array([*b, *held], pa.int64()), pa.array(blobs, pa.binary())],
+            names=["kind", "a", "b", "features"],
+        )
 
 
 def _fold(h: np.ndarray, w: np.ndarray) -> bytes:
@@ -433,11 +452,10 @@ def _fold(h: np.ndarray, w: np.ndarray) -> bytes:
 def judge_frequencies(bucket: int, table: pa.Table) -> pa.Table:
     heads, slots, counts = [], [], []
     for origin, _, v in received(table):
-        n = int(np.frombuffer(v[:4], np.uint32)[0])
-        heads.append((origin, n))
-        high, low = np.frombuffer(v[4 : 4 + 4 * n], np.uint32), np.frombuffer(v[4 + 4 * n : 4 + 6 * n], np.uint16)
-        slots.append((high.astype(np.uint64) << np.uint64(16)) | low)
-        counts.append(_unpack(v[4 + 6 * n :], n))
+        x, rest = _unpack_slots(v)
+        heads.append((origin, len(x)))
+        slots.append(x)
+        counts.append(_unpack(rest, len(x)))
     all_slots, all_counts = np.concatenate(slots), np.concatenate(counts)
     order = np.argsort(all_slots, kind="stable")
     sorted_slots = all_slots[order]
@@ -512,9 +530,11 @@ def compare_blocks(table: pa.Table) -> pa.Table:
     """Links (a, b) between classes that have similar documents in the two blocks, or in the one block, of a pair."""
     order = np.lexsort((table.column("id").to_numpy(), table.column("side").to_numpy()))
     side, home = (table.column(c).to_numpy()[order] for c in ("side", "class_id"))
-    raw = [v.as_buffer() for v in table.column("features").combine_chunks().take(pa.array(order))]
-    hashes = [np.frombuffer(v, np.uint32, len(v) // 8) for v in map(memoryview, raw)]
-    weights = [np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2) for v in map(memoryview, raw)]
+    size = table.column("size").to_numpy()[order].tolist()
+    packed = table.column("features").combine_chunks().take(pa.array(order))
+    raw = [pa.decompress(v.as_buffer(), n, "zstd", asbytes=True) for v, n in zip(packed, size)]
+    hashes = [np.frombuffer(v, np.uint32, len(v) // 8) for v in raw]
+    weights = [np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2) for v in raw]
     total = np.array([w.sum(dtype=np.float64) for w in weights])
     two = side[0] != side[-1]
     right = np.flatnonzero(side == side[-1])
@@ -537,13 +557,8 @@ def compare_blocks(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def block_pairs(on_key: DataFrame) -> DataFrame | None:
-    """(pair, side, id, class_id): the documents of every two blocks of a key whose documents are in several classes; None
-    without such a key. ``on_key``: key, id, class_id."""
-    keys = cut(on_key.groupBy("key").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).where("_low <> _high").select("key"))
-    if keys.limit(1).count() == 0:
-        return None
-    rows = cut(sized_join(on_key, keys, ["key"], "left_semi"))
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(pair, side, id, class_id): the documents of every two blocks of a key. ``rows``: key, id, class_id."""
     classes = cut(rows.groupBy("key", "class_id").agg(F.count("*").alias("n")))
     loose = cut(classes.where(F.col("n") <= BLOCK_DOCS).groupBy("key").agg(F.sum("n").alias("loose")))
     rows = sized_join(sized_join(rows, classes, ["key", "class_id"], "inner"), loose, ["key"], "left")
@@ -562,14 +577,23 @@ def block_pairs(on_key: DataFrame) -> DataFrame | None:
     return sized_join(rows, cut(sides), ["block"], "inner").select("pair", "side", "id", "class_id")
 
 
-def _packed(batches):
-    """id, chunk -> blocks for the chunks."""
-    for b in batches:
-        ids, chunk = b.column("id").to_numpy(), b.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        ids, chunk = ids[order], chunk[order]
-        rows = [(c, 0, WANTED, ids[s:e].tobytes()) for c, s, e in zip(*_runs(chunk))] if len(ids) else []
-        yield from sent(rows).to_batches()
+def key_groups(on_key: DataFrame) -> DataFrame | None:
+    """key, id, class_id of the keys whose documents are in several classes; None without any. Keys that share classes are
+    joined under one name, so that a document on many of them is compared once, unless that would gather over
+    ``GROUP_DOCS`` documents: then they stay apart. ``on_key``: key, id, class_id."""
+    keys = cut(on_key.groupBy("key").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).where("_low <> _high").select("key"))
+    if keys.limit(1).count() == 0:
+        return None
+    rows = cut(sized_join(on_key, keys, ["key"], "left_semi"))
+    # names of classes and keys are hashed into one space; should two ever meet, a group is larger than it need be
+    edges = rows.select(F.xxhash64(F.lit("class"), "class_id").alias("a"), F.xxhash64(F.lit("key"), "key").alias("b")).distinct()
+    group = components(edges).select(F.col("id").alias("_key"), F.col("class_id").alias("group"))
+    named = cut(keys.withColumn("_key", F.xxhash64(F.lit("key"), "key")).join(group, "_key").select("key", "group"))
+    rows = cut(sized_join(rows, named, ["key"], "inner"))
+    joined = rows.select("group", "id", "class_id").distinct()
+    large = cut(joined.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_DOCS).select("group"))
+    apart = sized_join(rows, large, ["group"], "left_semi").select("key", "id", "class_id")
+    return sized_join(joined, large, ["group"], "left_anti").select(F.col("group").alias("key"), "id", "class_id").unionByName(apart)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -658,7 +682,7 @@ def key_classes(docs: DataFrame, id_col: str = "_key", text_col: str = "text") -
     tasks = at_buckets(bands, buckets, judge_keys)
     known = freq.unionByName(tasks)
     features = at_chunks(known.where(F.col("kind") != LARGE), Chunk.leaders, BLOCKS)
-    found = cut(at_chunks(known.unionByName(features), Chunk.links, "kind int, a long, b long"))
+    found = cut(at_chunks(known.unionByName(features), Chunk.links, "kind int, a long, b long, features binary"))
     links = found.where(F.col("kind") == LINK).select("a", "b")
     # hubs are few; documents follow their hub
     hubs = components(links.where("a <> b"))
@@ -668,23 +692,13 @@ def key_classes(docs: DataFrame, id_col: str = "_key", text_col: str = "text") -
     on_key = found.where(F.col("kind") == ON_KEY).select(F.col("a").alias("doc_id"), F.col("b").alias("key"))
     if on_key.limit(1).count():
         out = cut(out)
-        met = block_pairs(on_key.join(out, "doc_id").select("key", F.col("doc_id").alias("id"), "class_id"))
-        if met is not None:
-            met = cut(met)
-            ids = met.select("id").distinct().withColumn("chunk", chunk_of(F.col("id"), chunks))
-            wanted = cut(ids.mapInArrow(_packed, BLOCKS))
-            none = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["id", "features"])
-
-            def answer(key, t, got):
-                if not pc.any(pc.equal(got.column("kind"), WANTED)).as_py():
-                    return none
-                return released(lambda: Chunk(key[0].as_py(), t, buckets, total, got).wanted())
-
-            mine = freq.unionByName(wanted).withColumnRenamed("target", "chunk")
-            sent_features = base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(answer, "id long, features binary")
-            more = cut(met.join(sent_features, "id").groupBy("pair").applyInArrow(lambda t: released(compare_blocks, t), "a long, b long"))
+        groups = key_groups(on_key.join(out, "doc_id").select("key", F.col("doc_id").alias("id"), "class_id"))
+        if groups is not None:
+            features = found.where(F.col("kind") == WITH_FEATURES).select(F.col("a").alias("id"), F.col("b").alias("size"), "features")
+            met = block_pairs(cut(groups)).join(features, "id")
+            more = cut(met.groupBy("pair").applyInArrow(lambda t: released(compare_blocks, t), "a long, b long"))
             joined = components(more).select(F.col("id").alias("class_id"), F.col("class_id").alias("_class"))
-            out = out.join(joined, "class_id", "left").select("doc_id", F.coalesce("_class", "class_id").alias("class_id"))
+            out = sized_join(out, cut(joined), ["class_id"], "left").select("doc_id", F.coalesce("_class", "class_id").alias("class_id"))
     return out.select(F.col("doc_id").alias("key"), "class_id")
 
 
