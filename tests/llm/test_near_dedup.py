@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import tidewater.llm.exchange as E
 import tidewater.llm.near_dedup as N
@@ -104,8 +105,10 @@ def small_chunks(monkeypatch, size):
         monkeypatch.setattr(E, name, size)
 
 
-def test_copies_like_their_original_alone(spark, monkeypatch):
+@pytest.mark.parametrize("most", [4096, 20])
+def test_copies_like_their_original_alone(spark, monkeypatch, most):
     small_chunks(monkeypatch, 4000)
+    monkeypatch.setattr(N, "GROUP_DOCS", most)
     monkeypatch.setattr(N, "BLOCK_DOCS", 8)
     rng = random.Random(11)
     docs = []

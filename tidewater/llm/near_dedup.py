@@ -578,22 +578,21 @@ def block_pairs(rows: DataFrame) -> DataFrame:
 
 
 def key_groups(on_key: DataFrame) -> DataFrame | None:
-    """key, id, class_id of the keys whose documents are in several classes; None without any. Keys that share classes are
-    joined under one name, so that a document on many of them is compared once, unless that would gather over
-    ``GROUP_DOCS`` documents: then they stay apart. ``on_key``: key, id, class_id."""
-    keys = cut(on_key.groupBy("key").agg(F.min("class_id").alias("_low"), F.max("class_id").alias("_high")).where("_low <> _high").select("key"))
-    if keys.limit(1).count() == 0:
+    """key, id, class_id of the keys whose documents are in several classes; None without any. Keys whose classes have the
+    same least name, seen through a key and a class more, are joined under it, so that a document on many alike keys is
+    compared once, unless that would gather over ``GROUP_DOCS`` documents: then they stay apart. ``on_key``: key, id, class_id."""
+    keys = on_key.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("_high")).where("low <> _high")
+    rows = cut(on_key.join(keys.select("key", "low"), "key"))
+    if rows.limit(1).count() == 0:
         return None
-    rows = cut(sized_join(on_key, keys, ["key"], "left_semi"))
-    # names of classes and keys are hashed into one space; should two ever meet, a group is larger than it need be
-    edges = rows.select(F.xxhash64(F.lit("class"), "class_id").alias("a"), F.xxhash64(F.lit("key"), "key").alias("b")).distinct()
-    group = components(edges).select(F.col("id").alias("_key"), F.col("class_id").alias("group"))
-    named = cut(keys.withColumn("_key", F.xxhash64(F.lit("key"), "key")).join(group, "_key").select("key", "group"))
-    rows = cut(sized_join(rows, named, ["key"], "inner"))
-    joined = rows.select("group", "id", "class_id").distinct()
-    large = cut(joined.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_DOCS).select("group"))
-    apart = sized_join(rows, large, ["group"], "left_semi").select("key", "id", "class_id")
-    return sized_join(joined, large, ["group"], "left_anti").select(F.col("group").alias("key"), "id", "class_id").unionByName(apart)
+    edges = rows.select("key", "class_id", "low").distinct()
+    through = edges.groupBy("class_id").agg(F.min("low").alias("_via"))
+    named = edges.join(through, "class_id").groupBy("key").agg(F.min("_via").alias("group"))
+    joined = cut(rows.select("key", "id", "class_id").join(named, "key"))
+    merged = joined.select("group", "id", "class_id").distinct()
+    large = merged.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_DOCS).select("group")
+    apart = joined.join(large, "group", "left_semi").select("key", "id", "class_id")
+    return merged.join(large, "group", "left_anti").select(F.col("group").alias("key"), "id", "class_id").unionByName(apart)
 
 
 def components(links: DataFrame) -> DataFrame:
