@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewater.operators import folds
+from tidewater.operators import folds, swings
 from tidewater.plans import catalog
 from tidewater.plans.dialect import CATALOG
 from tests.test_kernels import series
@@ -47,18 +47,68 @@ def test_triple_barrier_against_a_walk(spark):
     assert got == want
 
 
-def test_structure_fold():
-    hi = [1, 2, 5, 2, 1, 2, 3, 7, 3, 2, 8, 9]
-    bars = pd.DataFrame({"symbol": "s", "ts": pd.date_range("2024-01-01", periods=12, freq="h"), "high": np.array(hi, float), "low": np.array(hi, float) - 1, "close": np.array(hi, float) - 0.5})
-    out = folds.structure_fold(bars)
-    assert out["last_high"].tolist()[4:7] == [5.0, 5.0, 5.0] and np.isnan(out["last_high"][3])
-    assert out["bos"].tolist()[7] == 1.0 and out["last_high"][9] == 7.0
-    assert out["hh_run"].tolist()[9] == 1
+def structure_walk(high, low, close, k=2):
+    """The definition, bar by bar: what is known of swings, breaks and gaps once each bar has closed."""
+    rows, seen, broken, gaps, last_break = [], {1: [], -1: []}, {1: None, -1: None}, [], None
+    runs = {1: 0, -1: 0}
+    for i in range(len(close)):
+        j = i - k
+        for side, x in ((1, high), (-1, low)):
+            if j >= k and all(side * x[j] >= side * x[m] for m in range(j - k, j + k + 1)):
+                if not seen[side] or abs(x[j] - seen[side][-1]) > 1e-9 * max(abs(x[j]), abs(seen[side][-1])):
+                    runs[side] = runs[side] + 1 if seen[side] and side * (x[j] - seen[side][-1]) > 0 else 0
+                    seen[side].append(x[j])
+                    broken[side] = None
+        trend = None
+        if min(map(len, seen.values())) >= 2:
+            steps = [np.sign(s[-1] - s[-2]) for s in seen.values()]
+            trend = float(steps[0]) if steps[0] == steps[1] else 0.0
+        bos = 0.0
+        for side in (1, -1):
+            if not bos and seen[side] and side * (close[i] - seen[side][-1]) > 0 and broken[side] != seen[side][-1]:
+                bos, broken[side], last_break = float(side), seen[side][-1], (i, side)
+        if i >= 2 and low[i] > high[i - 2]:
+            gaps.append(((low[i] + high[i - 2]) / 2, 1))
+        elif i >= 2 and high[i] < low[i - 2]:
+            gaps.append(((low[i - 2] + high[i]) / 2, -1))
+        gaps = [g for g in gaps[-100:] if not low[i] <= g[0] <= high[i]]
+        levels = seen[1][-5:] + seen[-1][-5:]
+        zone = min(abs(x - close[i]) for x in levels) / close[i] * 100 if levels else None
+        bias = breakout = None
+        if trend is not None:
+            faded = last_break[1] * (1 - (i - last_break[0]) / 10) if last_break and i - last_break[0] <= 10 else 0.0
+            bias = max(-1.0, min(1.0, 0.5 * trend + 0.3 * faded + 0.2 * np.tanh((runs[1] - runs[-1]) / 3)))
+            near = 1 - min(abs(seen[1][-1] - close[i]) / close[i] * 100, 2.0) / 2
+            breakout = max(0.05, min(0.95, 0.5 + 0.3 * bias + 0.2 * near))
+        sweep = None if zone is None else max(0.05, min(0.95, 0.15 + 0.7 * (1 - min(zone, 2.0) / 2)))
+        choch = bos if trend is not None and trend * bos < 0 else 0.0
+        rows.append((seen[1][-1] if seen[1] else None, float(runs[1]) if seen[1] else None, float(runs[-1]) if seen[-1] else None, trend, bos, choch, zone, float(sum(g[1] for g in gaps)), bias, breakout, sweep))
+    return rows
+
+
+@pytest.mark.parametrize("seed, step", [(1, 1.0), (2, 3.0), (3, 0.4), (4, 8.0)])
+def test_structure_against_its_definition(seed, step):
+    rng = np.random.default_rng(seed)
+    close = np.round(np.abs(100 + np.cumsum(rng.normal(0, step, 600))) + 1, 0 if seed == 4 else 2)
+    high, low = close + np.round(rng.exponential(step / 3, 600), 1), close - np.round(rng.exponential(step / 3, 600), 1)
+    bars = pd.DataFrame({"symbol": "s", "ts": pd.date_range("2024-01-01", periods=600, freq="h"), "high": high, "low": low, "close": close})
+    got = swings.structure_of(bars.sample(frac=1, random_state=1))
+    names = ["last_high", "hh_run", "ll_run", "trend", "bos", "choch", "zone_pct", "open_gaps", "bias", "breakout_prob", "sweep_prob"]
+    want = pd.DataFrame(structure_walk(high, low, close), columns=names).astype(float)
+    for c in names:
+        assert np.allclose(got[c], want[c], equal_nan=True), c
+
+
+def test_more_gaps_than_are_kept():
+    n = 400
+    low = np.arange(n) * 10.0  # each bar leaves an open gap above the one before
+    assert swings.open_gaps(low + 1, low).max() == 100.0
 
 
 def test_value_area_ties_go_up():
-    assert folds.value_area([1, 5, 1, 1]) == (1, 1, 2)
-    assert folds.value_area([10.0]) == (0, 0, 0)
+    assert swings.value_area(np.array([1, 5, 1, 1])) == (1, 1, 2)
+    assert swings.value_area(np.array([10.0])) == (0, 0, 0)
+    assert swings.value_area(np.array([0.0, 4, 3, 9, 5, 2])) == (3, 2, 4)
 
 
 def test_dtw_against_recursion():

@@ -15,79 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.swings import structure, value_area
 from tidewater.plans.dialect import CATALOG, Operator
 
-FRACTAL = 2
-LEVELS_KEPT = 5
-GAPS_KEPT = 100
-STRUCTURE = "symbol string, ts timestamp, last_high double, last_low double, hh_run int, ll_run int, trend int, bos double, choch double, zone_pct double, open_gaps int, bias double"
-
-
-def structure_fold(bars: pd.DataFrame, k: int = FRACTAL) -> pd.DataFrame:
-    """Swings, runs, breaks of structure, nearest levels and unfilled gaps, bar by bar. A swing counts k bars after it."""
-    bars = bars.sort_values("ts").reset_index(drop=True)
-    hi, lo, close = bars["high"].to_numpy(), bars["low"].to_numpy(), bars["close"].to_numpy()
-    highs: deque = deque(maxlen=LEVELS_KEPT)
-    lows: deque = deque(maxlen=LEVELS_KEPT)
-    gaps: deque = deque(maxlen=GAPS_KEPT)
-    hh = ll = trend = 0
-    armed_high = armed_low = False
-    out = []
-    for i in range(len(bars)):
-        j = i - k
-        if j - k >= 0:
-            if hi[j] == hi[j - k : i + 1].max() and not (highs and math.isclose(highs[-1], hi[j], rel_tol=1e-9)):
-                hh = hh + 1 if highs and hi[j] > highs[-1] else 0
-                highs.append(float(hi[j]))
-                armed_high = True
-            if lo[j] == lo[j - k : i + 1].min() and not (lows and math.isclose(lows[-1], lo[j], rel_tol=1e-9)):
-                ll = ll + 1 if lows and lo[j] < lows[-1] else 0
-                lows.append(float(lo[j]))
-                armed_low = True
-        if len(highs) > 1 and len(lows) > 1:
-            trend = 1 if highs[-1] > highs[-2] and lows[-1] > lows[-2] else -1 if highs[-1] < highs[-2] and lows[-1] < lows[-2] else 0
-        bos = choch = 0.0
-        if armed_high and highs and close[i] > highs[-1]:
-            bos, armed_high = 1.0, False
-            choch = 1.0 if trend < 0 else 0.0
-        elif armed_low and lows and close[i] < lows[-1]:
-            bos, armed_low = -1.0, False
-            choch = -1.0 if trend > 0 else 0.0
-        if i >= 2:
-            if lo[i] > hi[i - 2]:
-                gaps.append((1, (lo[i] + hi[i - 2]) / 2, i))
-            elif hi[i] < lo[i - 2]:
-                gaps.append((-1, (hi[i] + lo[i - 2]) / 2, i))
-        gaps = deque((g for g in gaps if g[2] == i or not lo[i] <= g[1] <= hi[i]), maxlen=GAPS_KEPT)
-        levels = [*highs, *lows]
-        zone = min((abs(close[i] - x) for x in levels), default=None)
-        zone_pct = zone / close[i] * 100 if zone is not None and close[i] > 0 else None
-        bias = max(-1.0, min(1.0, 0.5 * trend + 0.3 * bos + 0.1 * (hh > 0) - 0.1 * (ll > 0)))
-        out.append((bars["symbol"][i], bars["ts"][i], highs[-1] if highs else None, lows[-1] if lows else None, hh, ll, trend, bos, choch, zone_pct, sum(g[0] for g in gaps), bias))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in STRUCTURE.split(", ")])
-
-
-def structure(candles: DataFrame) -> DataFrame:
-    return candles.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(lambda bars: structure_fold(bars), STRUCTURE)
-
-
-def value_area(profile: list[float], share: float = 0.7) -> tuple[int, int, int]:
-    """(point of control, low bin, high bin): grown greedily from the first largest bin; ties go up."""
-    total, poc = sum(profile), int(np.argmax(profile))
-    lo = hi = poc
-    held = profile[poc]
-    while held < share * total and (lo > 0 or hi < len(profile) - 1):
-        up = profile[hi + 1] if hi < len(profile) - 1 else -1.0
-        down = profile[lo - 1] if lo > 0 else -1.0
-        if up >= down:
-            hi += 1
-            held += up
-        else:
-            lo -= 1
-            held += down
-    return poc, lo, hi
-
-
 def session_profiles(candles: DataFrame, bins: int = 30, least: int = 15) -> DataFrame:
     """Volume profile of each complete local session: point of control and value area prices."""
 
@@ -95,8 +25,8 @@ def session_profiles(candles: DataFrame, bins: int = 30, least: int = 15) -> Dat
         lo, hi = bars["low"].min(), bars["high"].max()
         if len(bars) < least or hi <= lo:
             return pd.DataFrame([], columns=["symbol", "session", "poc", "val", "vah"])
-        at = np.minimum(((bars["high"] + bars["low"] + bars["close"]) / 3 - lo) / (hi - lo) * bins, bins - 1).astype(int)
-        p, a, b = value_area(np.bincount(at, weights=bars["volume"], minlength=bins).tolist())
+        at = np.minimum((bars["close"] - lo) / ((hi - lo) / bins), bins - 1).astype(int)
+        p, a, b = value_area(np.bincount(at, weights=bars["volume"], minlength=bins))
         step = (hi - lo) / bins
         return pd.DataFrame([(bars["symbol"].iloc[0], bars["session"].iloc[0], lo + (p + 0.5) * step, lo + a * step, lo + (b + 1) * step)], columns=["symbol", "session", "poc", "val", "vah"])
 
@@ -290,7 +220,7 @@ QUERIES = {
     "m04_break_of_structure": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "bos", "choch"),
     "m05_liquidity_zones": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "zone_pct"),
     "m06_fair_value_gaps": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "open_gaps"),
-    "m08_structural_bias": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "bias"),
+    "m08_structural_bias": lambda spark, d: structure(_view(spark, d, "candles")).select("symbol", "ts", "bias", "breakout_prob", "sweep_prob"),
     "m10_value_area": lambda spark, d: session_profiles(_view(spark, d, "candles")),
     "d15_novelty": lambda spark, d: novelty(_articles(spark, d), across=True),
     "n21_dtw_analogs": lambda spark, d: analog_paths(_view(spark, d, "candles")),

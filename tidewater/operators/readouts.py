@@ -109,18 +109,20 @@ def lexicon_scorer(texts: list[str]) -> list[float]:
     return out
 
 
-def permutation_importance(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[float]:
-    """Rise of a ridge fit's squared error when a column is shuffled (seeded); a few hundred rows on the driver."""
-    a = np.c_[(x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1), np.ones(len(x))]
-    w = np.linalg.solve(a.T @ a + 1e-3 * len(a) * np.eye(a.shape[1]), a.T @ y)
-    base, rng, out = float(((a @ w - y) ** 2).mean()), random.Random(seed), []
-    for k in range(x.shape[1]):
-        order = list(range(len(a)))
-        rng.shuffle(order)
-        b = a.copy()
-        b[:, k] = a[order, k]
-        out.append(float(((b @ w - y) ** 2).mean()) - base)
-    return out
+RIDGE, SHUFFLE_SEED = 1.0, 42  # fixed values
+
+
+def permutation_importance(x: np.ndarray, y: np.ndarray, seed: int = SHUFFLE_SEED) -> list[float]:
+    """Rise of a ridge fit's squared error when a column is shuffled, never below 0; each column has a seed of its own."""
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    w = np.linalg.solve(z.T @ z / len(z) + RIDGE / len(z) * np.eye(z.shape[1]), z.T @ y / len(z))
+    left = y - z @ w
+    rises = []
+    for k, column in enumerate(z.T):
+        mixed = column.tolist()
+        random.Random(seed + k).shuffle(mixed)
+        rises.append(max(0.0, float(((left + w[k] * (column - mixed)) ** 2).mean() - (left**2).mean())))
+    return rises
 
 
 def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:

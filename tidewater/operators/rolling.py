@@ -58,7 +58,7 @@ bars("k04_percentile_rank", "Share of the window's values at or below the curren
 bars("k05_signed_log", "Signed log1p.", cols({"slog": "sign(sr) * ln(1 + abs(sr))", "slog_delta": "sign(delta) * ln(1 + abs(delta))"}))
 bars("k06_winsorize", "Clamp to the 5% and 95% order statistics of the prior bars; passes through while they are few.", cols({"wins_50": "CASE WHEN n < 10 THEN sr ELSE least(greatest(sr, @element(a, CAST(floor(0.05 * (n - 1)) AS INT) + 1)), @element(a, CAST(ceil(0.95 * (n - 1)) AS INT) + 1)) END"}), f", held AS (SELECT *, @sort(@list_agg(sr) {over(50, 1)}) AS a, count(sr) {over(50, 1)} AS n FROM rets WHERE sr IS NOT NULL)", "held")
 bars("k08_rolling_slope", "Least-squares slope per bar over a full window.", cols({f"slope_{w}": full("regr_slope(close, rn)", "close", w) for w in (5, 20, 50)}))
-bars("k09_rolling_correlation", "Pearson correlation over completely clean windows, clamped.", cols({f"corr_{w}": f"CASE WHEN count(sr * br) {over(w)} = {w} THEN least(1.0, greatest(-1.0, covar_pop(sr, br) {over(w)} / nullif(sqrt(var_pop(sr) {over(w)} * var_pop(br) {over(w)}), 0.0))) END" for w in (20, 60)}), ", ref AS (SELECT ts, close / nullif(lag(close) OVER (ORDER BY ts), 0.0) - 1 AS br FROM {reference}), joined AS (SELECT rets.*, ref.br FROM rets LEFT JOIN ref USING (ts))", "joined")
+bars("k09_rolling_correlation", "Pearson correlation over completely clean windows, clamped.", cols({f"corr_{w}": f"CASE WHEN count(sr * br) {over(w)} = {w} THEN least(1.0, greatest(-1.0, covar_pop(sr, br) {over(w)} / nullif(sqrt(var_pop(sr) {over(w)} * var_pop(br) {over(w)}), 0.0))) END" for w in (20, 60)}), ", ref AS (SELECT ts, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0.0) - 1 AS br FROM {reference}), joined AS (SELECT rets.*, ref.br FROM rets LEFT JOIN ref USING (ts))", "joined")
 bars("k10_trailing_percentile", "Percentile of the current range among the trailing ones.", cols({"tpct_100": "CASE WHEN n >= 20 THEN CAST(@size(@filter(a, @L(x) x <= v)) AS DOUBLE) / n END"}), f", held AS (SELECT *, @list_agg(v) {over(100)} AS a, count(v) {over(100)} AS n FROM (SELECT *, (high - low) / close AS v FROM rets WHERE close > 0) q)", "held")
 bars("k11_normalised_companions", "The z companion of raw series, on one shared window.", cols({f"{n}_z": zscore(n) for n in ("sr", "lr", "tr", "delta", "volume")}))
 operator("k12_quantile", "Interpolated quantiles of a series.", f"WITH {BARS.strip()}\nSELECT symbol, " + cols({f"q{int(q * 100)}": f"@pct(sr, {q})" for q in (0.05, 0.25, 0.5, 0.75, 0.95)}) + " FROM rets WHERE sr IS NOT NULL GROUP BY symbol")
@@ -73,7 +73,7 @@ bars("p02_atr", "Average true range from bar index w.", cols({f"atr_{w}": full("
 bars("p03_rolling_high_low", "Rolling extremes and the distance from them.", cols({f"{k}_{w}": f"CASE WHEN rn >= {w} THEN {e} END" for w in WINDOWS for k, e in (("high", f"max(high) {over(w)}"), ("low", f"min(low) {over(w)}"), ("from_high_pct", f"@div(close - max(high) {over(w)}, max(high) {over(w)}) * 100"), ("from_low_pct", f"@div(close - min(low) {over(w)}, min(low) {over(w)}) * 100"))}))
 bars("p04_vwap_distance", "Distance from the rolling volume-weighted typical price.", cols({f"vwap_dist_{w}": f"CASE WHEN rn >= {w} THEN (@div(close, @div(sum(tp * volume) {over(w)}, sum(volume) {over(w)})) - 1) * 100 END" for w in WINDOWS}))
 bars("p05_momentum", "Momentum and its change from bar to bar.", cols({**{f"mom_{w}": f"mom_{w}" for w in WINDOWS}, **{f"acc_{w}": f"mom_{w} - lag(mom_{w}) OVER ({P})" for w in WINDOWS}}), ", moms AS (SELECT *, " + ", ".join(f"@div(close - lag(close, {w}) OVER ({P}), lag(close, {w}) OVER ({P})) * 100 AS mom_{w}" for w in WINDOWS) + " FROM rets)", "moms")
-REF = ", ref AS (SELECT ts, CASE WHEN lag(close) OVER (ORDER BY ts) > 0 THEN close / nullif(lag(close) OVER (ORDER BY ts), 0.0) - 1 END AS br FROM {reference}), joined AS (SELECT rets.*, ref.br, CASE WHEN sr IS NOT NULL AND ref.br IS NOT NULL THEN sr END AS ps, CASE WHEN sr IS NOT NULL THEN ref.br END AS pb FROM rets LEFT JOIN ref USING (ts))"
+REF = ", ref AS (SELECT ts, CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY ts) > 0 THEN close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0.0) - 1 END AS br FROM {reference}), joined AS (SELECT rets.*, ref.br, CASE WHEN sr IS NOT NULL AND ref.br IS NOT NULL THEN sr END AS ps, CASE WHEN sr IS NOT NULL THEN ref.br END AS pb FROM rets LEFT JOIN ref USING (ts))"
 bars("p06_benchmark_return", "Benchmark return at the same time.", "@r6(br) AS bench_return, @r6(sr - br) AS excess_return", REF, "joined")
 bars("p07_beta_alpha", "Rolling beta, alpha and correlation over paired returns.", cols({f"{k}_{w}": f"CASE WHEN rn > {w} AND count(ps) {over(w)} >= {max(3, w // 2)} AND var_pop(pb) {over(w)} > 1e-18 THEN {e} END" for w in WINDOWS for k, e in (("beta", f"covar_pop(ps, pb) {over(w)} / nullif(var_pop(pb) {over(w)}, 0.0)"), ("alpha", f"(avg(ps) {over(w)} - covar_pop(ps, pb) {over(w)} / nullif(var_pop(pb) {over(w)}, 0.0) * avg(pb) {over(w)}) * 100"), ("corr", f"covar_pop(ps, pb) {over(w)} / nullif(sqrt(var_pop(ps) {over(w)} * var_pop(pb) {over(w)}), 0.0)"))}), REF, "joined")
 
@@ -113,7 +113,9 @@ QUOTE = """q AS (
   SELECT symbol, ts, CASE WHEN bid > 0 AND bid <= ask THEN ask - bid END AS spread, CASE WHEN bid > 0 AND bid <= ask THEN @div(ask - bid, (bid + ask) / 2) * 100 END AS spread_pct,
          CASE WHEN bid_depth > 0 AND ask_depth > 0 THEN @div(bid_depth - ask_depth, bid_depth + ask_depth) END AS imbalance, CASE WHEN bid_depth > 0 AND ask_depth > 0 THEN bid_depth + ask_depth END AS depth,
          CASE WHEN bid > 0 AND bid <= ask AND bid_depth + ask_depth > 0 THEN @div(ask - bid, bid + ask) * 100 * (1 + @div(1000, bid_depth + ask_depth)) END AS impact FROM {quotes}),
-s AS (SELECT *, 0.4 * greatest(0.0, 1 - spread_pct / 10) + 0.3 * least(1.0, depth / 100.0) + 0.3 * greatest(0.0, 1 - impact / 100) AS raw FROM q)"""
+h AS (SELECT *, @list_agg(depth) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS depths, count(depth) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM q),
+p AS (SELECT *, CASE WHEN n >= 10 AND depth IS NOT NULL THEN @div(@size(@filter(depths, @L(x) x <= depth)), n) END AS depth_pct FROM h),
+s AS (SELECT *, 0.4 * greatest(0.0, 1 - spread_pct / 1.0) + 0.3 * depth_pct + 0.3 * greatest(0.0, 1 - impact / 0.5) AS raw FROM p)"""
 operator("l01_quote_features", "Spread, imbalance, depth and impact of quotes.", f"WITH {QUOTE} SELECT symbol, ts, " + cols({k: k for k in ("spread", "spread_pct", "imbalance", "depth", "impact")}) + " FROM q")
 operator("l02_liquidity_score", "Tightness, depth and impact in one score.", f"WITH {QUOTE} SELECT symbol, ts, @r6(raw * 100) AS liquidity_score FROM s")
 operator("l03_spread_trend", "Average spread and slope of the score over full windows.", f"WITH {QUOTE}, n AS (SELECT *, row_number() OVER ({P}) AS rn FROM s) SELECT symbol, ts, " + cols({**{f"avg_spread_{w}": full("avg(spread_pct)", "spread_pct", w) for w in (5, 20)}, **{f"score_slope_{w}": full("regr_slope(raw * 100, CAST(rn AS DOUBLE))", "raw", w) for w in (5, 20)}}) + " FROM n")
@@ -132,10 +134,10 @@ operator("x07_equity_watchlist", "Symbols that are not references.", "SELECT DIS
 
 # 2.11 structure: the parts that are frames -----------------------------------------------------------------------
 bars("m01_fractal_swings", "Fractal pivots, visible from their confirmation two bars later.", f"lag(hi, 2) OVER ({P}) AS swing_high, lag(lo, 2) OVER ({P}) AS swing_low", f", piv AS (SELECT *, CASE WHEN count(*) OVER ({P} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 AND high = max(high) OVER ({P} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) THEN 1 ELSE 0 END AS hi, CASE WHEN count(*) OVER ({P} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 AND low = min(low) OVER ({P} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) THEN 1 ELSE 0 END AS lo FROM rets)", "piv")
-bars("m07_order_block", "Distance to the last opposite bar before an impulse of more than one average true range.", f"@r6(@div(close - @last_nn(CASE WHEN impulse THEN prior_open END) OVER ({P} ROWS UNBOUNDED PRECEDING), close) * 100) AS order_block_pct", f", imp AS (SELECT *, lag(open) OVER ({P}) AS prior_open, abs(close - open) > avg(tr) {over(14)} AND sign(close - open) <> sign(pc - lag(open) OVER ({P})) AS impulse FROM rets)", "imp")
+bars("m07_order_block", "Distance to the middle of the last opposite bar before a close-to-close impulse of more than one average true range.", "@r6(@div(close - block, block) * 100) AS order_block_pct", f", imp AS (SELECT *, close - pc AS impulse, {full('avg(tr)', 'tr', 14)} AS atr, sign(pc - lag(open) OVER ({P})) AS before, (lag(high) OVER ({P}) + lag(low) OVER ({P})) / 2 AS middle FROM rets), blk AS (SELECT *, @last_nn(CASE WHEN (impulse > atr AND before < 0) OR (impulse < -atr AND before > 0) THEN middle END) OVER ({P} ROWS UNBOUNDED PRECEDING) AS block FROM imp)", "blk")
 SESSION = "d AS (SELECT *, CAST(@ist(ts) AS DATE) AS session, row_number() OVER (PARTITION BY symbol, CAST(@ist(ts) AS DATE) ORDER BY ts) AS k, (high + low + close) / 3 AS tp FROM {candles})"
 operator("m09_session_features", "Session price bands, opening range and initial balance.", f"WITH {SESSION}, g AS (SELECT symbol, session, count(*) AS n, @div(sum(tp * volume), sum(volume)) AS vwap, @div(sum(tp * tp * volume), sum(volume)) AS v2, max(CASE WHEN k <= 3 THEN high END) AS or_high, min(CASE WHEN k <= 3 THEN low END) AS or_low, max(CASE WHEN k <= 12 THEN high END) AS ib_high, min(CASE WHEN k <= 12 THEN low END) AS ib_low, sum(CASE WHEN close > open THEN volume WHEN close < open THEN -volume ELSE 0 END) AS net, sum(volume) AS vol FROM d GROUP BY symbol, session) SELECT symbol, session, " + cols({"vwap": "vwap", "band_up": "vwap + sqrt(greatest(0.0, v2 - vwap * vwap))", "band_down": "vwap - sqrt(greatest(0.0, v2 - vwap * vwap))", "or_high": "or_high", "or_low": "or_low", "ib_high": "ib_high", "ib_low": "ib_low", "auction_imbalance": "@div(net, vol)"}) + " FROM g WHERE n >= 15")
-operator("m10_volume_profile", "Thirty-bin volume profile of each session: bins and point of control.", f"WITH {SESSION}, r AS (SELECT symbol, session, min(low) AS lo, max(high) AS hi FROM d GROUP BY symbol, session HAVING count(*) >= 15), b AS (SELECT d.symbol, d.session, least(29, CAST(floor(@div((tp - lo) * 30, hi - lo)) AS INT)) AS bin, sum(volume) AS v FROM d JOIN r ON d.symbol = r.symbol AND d.session = r.session WHERE hi > lo GROUP BY 1, 2, 3) SELECT symbol, session, CAST(max_by(bin, v * 100 - bin) AS INT) AS poc_bin, CAST(sum(v) AS BIGINT) AS volume, count(*) AS used_bins FROM b GROUP BY symbol, session")
+operator("m10_volume_profile", "Thirty-bin volume profile of each session: bins and point of control.", f"WITH {SESSION}, r AS (SELECT symbol, session, min(low) AS lo, max(high) AS hi FROM d GROUP BY symbol, session HAVING count(*) >= 15), b AS (SELECT d.symbol, d.session, least(29, CAST(floor(@div(close - lo, (hi - lo) / 30)) AS INT)) AS bin, sum(volume) AS v FROM d JOIN r ON d.symbol = r.symbol AND d.session = r.session WHERE hi > lo GROUP BY 1, 2, 3) SELECT symbol, session, CAST(max_by(bin, v * 100 - bin) AS INT) AS poc_bin, CAST(sum(v) AS BIGINT) AS volume, count(*) AS used_bins FROM b GROUP BY symbol, session")
 operator("m11_session_rows", "Complete sessions: fifteen bars or more.", f"WITH {SESSION} SELECT symbol, session, count(*) AS bars, @r6(min_by(open, ts)) AS open, @r6(max_by(close, ts)) AS close FROM d GROUP BY symbol, session HAVING count(*) >= 15")
 
 # 2.12 intraday risk ----------------------------------------------------------------------------------------------

@@ -76,7 +76,7 @@ operator("n14_event_risk", "Event risk: weighted level of sensitivity, nearness
 operator("n15_institutional_flow", "Institutional flow: weighted level, accumulation and distribution.", f"WITH f AS (SELECT c.c_mktsegment AS segment, @div(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END), sum(o_totalprice)) AS a, @div(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END), count(*)) AS b FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment), v AS (SELECT *, {wavg([(0.3, 'a'), (0.2, 'b')])} AS level FROM f) SELECT segment, " + cols({"level": "level", "score": score("level"), "confidence": c01("0.2 + 0.35 * 2 / 6 + 0.3 * CASE WHEN sign(a) = sign(b) THEN 1 ELSE 0 END"), **states({"accumulation": "level", "distribution": "-level", "neutral": "1 - abs(level)"})}) + " FROM v")
 operator("n16_liquidity", "Liquidity: execution risk, stress and churn states.", f"WITH q AS (SELECT symbol, avg(@div(ask - bid, (ask + bid) / 2)) AS spread, avg(abs(@div(bid_depth - ask_depth, bid_depth + ask_depth))) AS imb FROM {{quotes}} GROUP BY symbol), v AS (SELECT *, {c01('1 - spread * 5')} AS level, 0.45 * {c01('spread * 5')} + 0.35 * imb AS stress FROM q) SELECT symbol, " + cols({"score": "100 * level", "stress": "stress", "confidence": c01("0.2 + 0.4 - 0.15 * stress"), **states({**anchors("level", {"illiquid": 0.0, "thin": 0.25, "normal": 0.6, "deep": 0.9}, 0.3), "stressed": "0.5 * stress", "one_sided": "0.5 * (1 - level) * imb"})}) + " FROM v")
 DAILY = "d AS (SELECT symbol, @date(@ist(ts)) AS day, max_by(close, ts) AS c FROM {candles} GROUP BY symbol, @date(@ist(ts))), r AS (SELECT symbol, day, ln(c / lag(c) OVER (PARTITION BY symbol ORDER BY day)) AS r, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS back FROM d WHERE c > 0)"
-operator("n17_cross_correlation", "Pairwise correlation of daily returns over two spans, with stability.", f"WITH {DAILY}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.day, a.r AS ra, b.r AS rb, a.back FROM r a JOIN r b ON a.day = b.day AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL), c AS (SELECT x, y, covar_pop(CASE WHEN back <= 10 THEN ra END, CASE WHEN back <= 10 THEN rb END) / nullif(sqrt(var_pop(CASE WHEN back <= 10 THEN ra END) * var_pop(CASE WHEN back <= 10 THEN rb END)), 0.0) AS r10, covar_pop(ra, rb) / nullif(sqrt(var_pop(ra) * var_pop(rb)), 0.0) AS rall FROM p GROUP BY x, y) SELECT x, y, " + cols({"r_short": "r10", "r_long": "rall", "stability": f"1 - {c01('abs(r10 - rall) / 0.5')}"}) + ", CASE WHEN abs(r10 - rall) >= 0.4 THEN 1 ELSE 0 END AS breakdown FROM c")
+operator("n17_cross_correlation", "Pairwise correlation of daily returns over two spans, with stability.", f"WITH {DAILY}, p AS (SELECT a.symbol AS x, b.symbol AS y, a.day, a.r AS ra, b.r AS rb, a.back FROM r a JOIN r b ON a.day = b.day AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL), c AS (SELECT x, y, covar_pop(CASE WHEN back <= 20 THEN ra END, CASE WHEN back <= 20 THEN rb END) / nullif(sqrt(var_pop(CASE WHEN back <= 20 THEN ra END) * var_pop(CASE WHEN back <= 20 THEN rb END)), 0.0) AS r20, covar_pop(CASE WHEN back <= 60 THEN ra END, CASE WHEN back <= 60 THEN rb END) / nullif(sqrt(var_pop(CASE WHEN back <= 60 THEN ra END) * var_pop(CASE WHEN back <= 60 THEN rb END)), 0.0) AS r60 FROM p GROUP BY x, y) SELECT x, y, " + cols({"r_short": "r20", "r_long": "r60", "stability": f"1 - {c01('abs(r20 - r60) / 0.5')}"}) + ", CASE WHEN abs(r20 - r60) >= 0.4 THEN 1 ELSE 0 END AS breakdown FROM c")
 DOT = "@fold(@transform(@seq(1, @size({a})), @L(i) CAST(@element({a}, CAST(i AS INT)) AS DOUBLE) * CAST(@element({b}, CAST(i AS INT)) AS DOUBLE)), CAST(0.0 AS DOUBLE), @L(s, x) s + x)"
 SQD = "@fold(@transform(@seq(1, @size({a})), @L(i) power(CAST(@element({a}, CAST(i AS INT)) AS DOUBLE) - CAST(@element({b}, CAST(i AS INT)) AS DOUBLE), 2)), CAST(0.0 AS DOUBLE), @L(s, x) s + x)"
 

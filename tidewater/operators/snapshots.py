@@ -29,11 +29,19 @@ SPINE = "n AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS k, avg(value)
 operator("b10_news_spine", "Hourly buckets on a gap-free spine.", f"WITH {SPINE} SELECT hour, k, @r6(sentiment) AS sentiment FROM h")
 operator("b11_news_momentum", "Hour's count over the trailing day's mean.", f"WITH {SPINE} SELECT hour, @r6(@div(k, avg(k) OVER (ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))) AS momentum FROM h")
 operator("b12_news_aggregates", "Mean sentiment, entity frequency and a clamped impact.", "SELECT date_trunc('hour', ts) AS hour, @r6(avg(value)) AS sentiment, count(DISTINCT label) AS entities, @r6(least(0.95, greatest(0.05, @div(avg(value), 97) + @div(count(*), 50)))) AS impact FROM {observations} GROUP BY date_trunc('hour', ts)")
-WORDS_OF = "w AS (SELECT doc_id, source, lang, @distinct(@filter(@tokens(text), @L(t) length(t) > 2)) AS ws FROM {documents} WHERE n_chars < 700)"
-operator("b13_headline_similarity", "Mean pairwise similarity of headlines within a group, over its first pairs.", f"WITH {WORDS_OF}, p AS (SELECT a.source, a.doc_id AS x, b.doc_id AS y, @size(@intersect(a.ws, b.ws)) AS i, @size(a.ws) AS na, @size(b.ws) AS nb, row_number() OVER (PARTITION BY a.source ORDER BY a.doc_id, b.doc_id) AS k FROM w a JOIN w b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id) SELECT source, @r6(avg(@div(i, na + nb - i))) AS similarity, count(*) AS pairs FROM p WHERE k <= 200 GROUP BY source")
+#: The first articles of each source and all pairs of them, numbered as two nested loops would: 200 pairs need no more than 201 articles.
+PAIRS_OF = """f AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM {documents}),
+w AS (SELECT doc_id, source, k, count(*) OVER (PARTITION BY source) AS n, @distinct(@filter(@tokens(text), @L(t) length(t) > 2)) AS ws FROM f WHERE k <= 201 AND text IS NOT NULL),
+p AS (SELECT a.source, @size(@intersect(a.ws, b.ws)) AS i, @size(a.ws) AS na, @size(b.ws) AS nb FROM w a JOIN w b ON a.source = b.source AND a.k < b.k
+      WHERE (a.k - 1) * a.n - @idiv(a.k * (a.k - 1), 2) + b.k - a.k <= 200)"""
+operator("b13_headline_similarity", "Mean pairwise similarity of headlines within a group, over its first 200 pairs.", f"WITH {PAIRS_OF} SELECT source, @r6(avg(@div(i, na + nb - i))) AS similarity, count(*) AS pairs FROM p GROUP BY source")
 operator("b14_topic_entropy", "Normalised entropy of categories.", "WITH c AS (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang), t AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total, count(*) OVER (PARTITION BY source) AS kinds FROM c) SELECT source, @r6(CASE WHEN max(kinds) > 1 THEN -sum(@div(n, total) * ln(@div(n, total))) / ln(CAST(max(kinds) AS DOUBLE)) ELSE 0.0 END) AS entropy FROM t GROUP BY source")
-operator("b15_event_windows", "Nearest upcoming event and the governing multiplier of each hour.", "WITH e AS (SELECT event_id, ts AS at_ts, 1 + event_id % 3 AS multiplier FROM {events} WHERE event_id % 97 = 0) SELECT c.symbol, c.ts, min(@unix(at_ts) - @unix(c.ts)) AS seconds_to_next, CAST(max(CASE WHEN @unix(at_ts) - @unix(c.ts) <= 7200 THEN multiplier ELSE 1 END) AS BIGINT) AS multiplier FROM {candles} c JOIN e ON e.at_ts >= c.ts AND e.at_ts < c.ts + INTERVAL 12 HOURS WHERE c.symbol = 'click' GROUP BY c.symbol, c.ts")
-operator("b16_event_similarity", "Best similarity of an hour's event kinds with earlier hours'.", f"WITH k AS (SELECT 'all' AS symbol, date_trunc('hour', ts) AS ts, @cset(source || label) AS kinds FROM {{observations}} GROUP BY date_trunc('hour', ts)), h AS (SELECT *, @list_agg(kinds) {over(50, 1)} AS past FROM k) SELECT ts, @r6(@amax(@transform(past, @L(p) @div(@size(@intersect(p, kinds)), @size(p) + @size(kinds) - @size(@intersect(p, kinds)))))) AS similarity FROM h")
+#: Each hour's first event and highest multiplier, told to the twelve hours before: an equality join, however many events.
+AHEAD = """h AS (SELECT date_trunc('hour', ts) AS hour, min(ts) AS first_at, max(1 + event_id % 3) AS m, max(CASE WHEN ts = date_trunc('hour', ts) THEN 1 + event_id % 3 END) AS m_at FROM {events} GROUP BY date_trunc('hour', ts)),
+o AS (SELECT hour, first_at, m, m_at, @explode(@seq(0, 11)) AS k FROM h),
+a AS (SELECT @from_unix(@unix(hour) - 3600 * k) AS start, first_at, CASE WHEN k < 2 THEN m WHEN k = 2 THEN coalesce(m_at, 1) ELSE 1 END AS m FROM o)"""
+operator("b15_event_windows", "Nearest upcoming event and the governing multiplier of each hour.", f"WITH {AHEAD} SELECT c.symbol, c.ts, min(@unix(first_at) - @unix(c.ts)) AS seconds_to_next, CAST(max(m) AS BIGINT) AS multiplier FROM {{candles}} c JOIN a ON c.ts = a.start GROUP BY c.symbol, c.ts")
+operator("b16_event_similarity", "Best similarity of an hour's event kinds with earlier hours'.", f"WITH k AS (SELECT 'all' AS symbol, date_trunc('hour', ts) AS ts, @cset(source || label) AS kinds FROM {{observations}} GROUP BY date_trunc('hour', ts)), h AS (SELECT *, @list_agg(kinds) {over(500, 1)} AS past FROM k) SELECT ts, @r6(@amax(@transform(past, @L(p) @div(@size(@intersect(p, kinds)), @size(p) + @size(kinds) - @size(@intersect(p, kinds)))))) AS similarity FROM h")
 operator("b17_calendar", "Calendar features of each day.", "WITH d AS (SELECT DISTINCT @date(o_orderdate) AS day FROM {orders}) SELECT day, CAST(@isodow(day) AS INT) AS weekday, CAST(extract(MONTH FROM day) AS INT) AS month, CAST(extract(QUARTER FROM day) AS INT) AS quarter, CASE WHEN @isodow(day) = 1 THEN 1 ELSE 0 END AS weekly_expiry, CASE WHEN extract(MONTH FROM day) IN (1, 4, 7, 10) AND extract(DAY FROM day) >= 10 THEN 1 ELSE 0 END AS earnings_season FROM d")
 operator("b18_monthly_expiry", "Last given weekday of each month.", "WITH d AS (SELECT DISTINCT last_day(o_orderdate) AS last FROM {orders}) SELECT last, CAST(extract(DAY FROM last) - @pmod(@isodow(last) - 1, 7) AS INT) AS expiry_day FROM d")
 operator("b19_holiday_distance", "Days to the next holiday at or after the day.", "WITH d AS (SELECT DISTINCT @date(o_orderdate) AS day FROM {orders}), h AS (SELECT DISTINCT @date(o_orderdate) AS holiday FROM {orders} WHERE extract(DAY FROM o_orderdate) = 26 AND extract(MONTH FROM o_orderdate) IN (1, 8)) SELECT day, CAST(min(@days(holiday, day)) AS INT) AS days_to_holiday FROM d JOIN h ON holiday >= day GROUP BY day")
@@ -52,7 +60,11 @@ operator("d09_relative_volume", "Volume against stored days' highs, clamped.", "
 operator("d10_flow_scores", "Clamped flow scores and their renormalised blend.", "WITH f AS (SELECT c.c_mktsegment AS segment, sum(o.o_totalprice * CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE -1 END) AS net, sum(o.o_totalprice) AS gross, avg(abs(o.o_totalprice)) AS base FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment) SELECT segment, @r6(least(1.0, greatest(-1.0, @div(net, greatest(base, 1))))) AS score, @r6(@div(net, gross)) AS net_over_gross FROM f")
 operator("d11_stored_average", "Average of days' largest values, given enough days.", "SELECT label, @r6(avg(top)) AS average, count(*) AS days FROM (SELECT label, @date(ts) AS day, max(abs(value)) AS top FROM {observations} GROUP BY label, @date(ts)) q GROUP BY label HAVING count(*) >= 5")
 operator("d12_macro_score", "Signed, clamped factor scores and their weighted blend.", "WITH f AS (SELECT symbol, @div(close - avg(close) OVER (PARTITION BY symbol), stddev_pop(close) OVER (PARTITION BY symbol)) AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM {candles}), d AS (SELECT 'click' AS symbol, 1 AS sgn, 0.3 AS w UNION ALL SELECT 'view', -1, 0.2 UNION ALL SELECT 'error', -1, 0.5) SELECT @r6(sum(w * sgn * least(3.0, greatest(-3.0, z)) / 3) / sum(w)) AS composite, count(*) AS present FROM f JOIN d ON f.symbol = d.symbol WHERE k = 1")
-operator("d13_event_activity", "Events whose window, by their kind's profile, holds the moment.", "WITH p AS (SELECT 'error' AS kind, 2 AS pre_h, 4 AS post_h, 0.4 AS reduction UNION ALL SELECT 'purchase', 1, 1, 0.2), e AS (SELECT event_id, event_type, ts FROM {events} WHERE event_id % 53 = 0) SELECT c.ts, count(*) AS active, @r6(least(1.0, sum(reduction))) AS reduction, max(kind) AS kind FROM {reference} c JOIN e ON c.ts BETWEEN e.ts - INTERVAL 4 HOURS AND e.ts + INTERVAL 4 HOURS JOIN p ON p.kind = e.event_type AND @unix(c.ts) >= @unix(e.ts) - pre_h * 3600 AND @unix(c.ts) <= @unix(e.ts) + post_h * 3600 GROUP BY c.ts")
+#: Each event is told to the full hours that its window holds, a handful each; moments then meet them by equality.
+ACTIVE = """p AS (SELECT 'error' AS kind, 2 AS pre_h, 4 AS post_h, 0.4 AS reduction UNION ALL SELECT 'purchase', 1, 1, 0.2),
+e AS (SELECT kind, reduction, CAST(ceil((@unix(ts) - pre_h * 3600) / 3600.0) AS BIGINT) AS a, @idiv(@unix(ts) + post_h * 3600, 3600) AS b FROM {events} JOIN p ON kind = event_type),
+x AS (SELECT kind, reduction, @explode(@seq(a, b)) AS hour FROM e)"""
+operator("d13_event_activity", "Events whose window, by their kind's profile, holds the moment.", f"WITH {ACTIVE}, n AS (SELECT hour, count(*) AS active, @r6(least(1.0, sum(reduction))) AS reduction, max(kind) AS kind FROM x GROUP BY hour) SELECT c.ts, active, reduction, kind FROM {{reference}} c JOIN n ON @idiv(@unix(c.ts), 3600) = hour")
 operator("d14_tokens", "Tokens, distinct content tokens and phrase containment.", "SELECT doc_id, CAST(@size(@tokens(text)) AS BIGINT) AS tokens, CAST(@size(@distinct(@filter(@tokens(text), @L(t) t NOT IN " + str(STOPWORDS) + "))) AS BIGINT) AS content_tokens, CASE WHEN (' ' || lower(text) || ' ') LIKE '% and the %' THEN 1 ELSE 0 END AS has_phrase FROM {documents}")
 LEX = " + ".join(f"{w} * @size(@filter(tk, @L(t) t = '{k}'))" for k, w in POSITIVE.items())
 LEXN = " + ".join(f"{w} * @size(@filter(tk, @L(t) t = '{k}'))" for k, w in NEGATIVE.items())

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from tidewater.operators import readouts
+    from tidewater.plans import oracles
 
-    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql()
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

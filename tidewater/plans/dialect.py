@@ -112,7 +112,7 @@ VIEWS = {
                 FROM (SELECT symbol, ts, 'close' AS feature_name, close AS value, volume AS k FROM {candles}
                       UNION ALL SELECT symbol, ts, 'range', high - low, volume + 1 FROM {candles}
                       UNION ALL SELECT symbol, ts, 'volume', CAST(volume AS DOUBLE), volume FROM {candles}) f""",
-    "reference": "SELECT ts, close FROM {candles} WHERE symbol = 'view'",
+    "reference": "SELECT symbol, ts, close FROM {candles} WHERE symbol = 'view'",
 }
 
 def _inputs(text: str) -> list[str]:
