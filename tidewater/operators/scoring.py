@@ -62,10 +62,6 @@ operator("n01_normalise_states", "Evidence to a distribution; uniform when nothi
 operator("n02_clamp_sign", "Clamp and sign helpers.", "SELECT symbol, ts, @r6(least(60.0, greatest(20.0, close))) AS clamped, CAST(sign(close - open) AS INT) AS direction FROM {candles}")
 operator("n03_intraday_signals", "Direction and reversal signals of the session.", "WITH s AS (SELECT *, first_value(open) OVER (PARTITION BY symbol, @date(@ist(ts)) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS so, max(close) OVER (PARTITION BY symbol, @date(@ist(ts)) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM {candles}) SELECT symbol, ts, @r6(tanh(@div(close - so, so) * 100 / 2)) AS direction, @r6(least(1.0, @div(peak - close, peak) * 100 / 1.5)) AS reversal FROM s")
 operator("n04_level_weights", "Triangular membership around level anchors.", "WITH v AS (SELECT symbol, ts, @div(close - min(close) OVER (PARTITION BY symbol), max(close) OVER (PARTITION BY symbol) - min(close) OVER (PARTITION BY symbol)) AS level FROM {candles}) SELECT symbol, ts, " + cols(anchors("level", {"low": 0.0, "fair": 0.25, "mid": 0.5, "high": 0.75, "top": 1.0}, 0.3)) + " FROM v")
-component("n05_trend", "Trend: momentum ladder, position, strength and eight states.", f"coalesce(0.7 * lean + 0.3 * {c11('(pos - 0.5) * 2')}, lean)", "0.25 + 0.45 * abs(lean) + 0.2 * (1 - vol_level) + 0.1", {"strong_bull": "level * abs(level)", "weak_bull": "level * (1 - abs(level))", "strong_bear": "-level * abs(level)", "weak_bear": "-level * (1 - abs(level))", "range": "(1 - abs(level)) * (1 - abs(level))", "breakout": "0.3 * (pos - 0.8)", "breakdown": "0.3 * (0.2 - pos)", "transition": "0.5 * vol_level * abs(level)"})
-component("n06_momentum", "Momentum: level, acceleration and extremes.", "lean", "0.4 + 0.4 * abs(lean) + CASE WHEN z IS NULL THEN 0 ELSE 0.2 END", {"accelerating": "level", "fading": "-level", "mixed": "CASE WHEN sign(mom_5) <> sign(mom_20) THEN abs(level) END", "extreme": "CASE WHEN abs(z) >= 2 THEN abs(level) END", "neutral": "1 - abs(level)"})
-component("n07_volatility", "Volatility: level blend over windows, compression and expansion.", wavg([(0.5, "vol_level"), (0.35, c01("@div(hv_20, hv_50) / 2")), (0.15, c01("rvol / 3"))]), "0.25 + 0.35 + 0.2 * (1 - abs(vol_level - 0.5))", {**anchors("level", {"dormant": 0.0, "low": 0.2, "normal": 0.5, "elevated": 0.7, "high": 0.85, "extreme": 1.0}, 0.25), "compression": "0.5 * (0.5 - level)", "expansion": "0.5 * (level - 0.5)"}, "100 * level")
-operator("n08_breadth", "Breadth: weighted mean of the present terms and participation quality.", f"WITH b AS (SELECT ts, @div(sum(CASE WHEN close > open THEN 1 ELSE 0 END) - sum(CASE WHEN close < open THEN 1 ELSE 0 END), count(*)) AS strength, @div(sum(CASE WHEN close > open THEN 1 ELSE 0 END), count(*)) * 100 AS part FROM {{candles}} GROUP BY ts), v AS (SELECT *, {wavg([(0.4, 'strength'), (0.25, '(part - 50) / 50')])} AS level FROM b) SELECT ts, " + cols({"level": "level", "score": score("level"), "confidence": c01("0.25 + 0.35 * 2 / 5 + 0.25 * abs(level)"), **states({"broad_up": "level * abs(strength)", "narrow_up": "level * (1 - abs(strength))", "broad_down": "-level * abs(strength)", "neutral": "1 - abs(level)"})}) + " FROM v")
 operator("n09_sectors", "Sector leaders, laggards and leadership flips against the snapshot before.", "WITH s AS (SELECT label AS sector, @date(ts) AS day, avg(value) AS heat FROM {observations} WHERE value IS NOT NULL GROUP BY label, @date(ts)), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY heat DESC, sector) AS rank, count(*) OVER (PARTITION BY day) AS n FROM s), f AS (SELECT *, lag(rank) OVER (PARTITION BY sector ORDER BY day) AS prank FROM r) SELECT sector, day, CASE WHEN rank <= least(3, @idiv(n, 2)) THEN 'leader' WHEN rank > n - least(3, @idiv(n, 2)) THEN 'laggard' ELSE 'middle' END AS place, CASE WHEN (rank <= 2) <> (prank <= 2) THEN 1 ELSE 0 END AS flipped FROM f")
 component("n10_structure", "Market structure: bias and Wyckoff-like states.", c11("(pos - 0.5) * 2"), "0.2 + 0.6 * CASE WHEN pos IS NULL THEN 0 ELSE 1 END", {"markup": "level * (1 - vol_level)", "markdown": "-level * (1 - vol_level)", "accumulation": "(1 - abs(level)) * coalesce(cmf, 0)", "distribution": "(1 - abs(level)) * -coalesce(cmf, 0)", "sweep": "0.5 * vol_level * (1 - abs(level))"})
 operator("n11_relative_strength", "Relative strength: mean squashed strength over references, and leadership rank.", f"WITH {WIDE}, m AS (SELECT avg(mom_20) AS base FROM latest), v AS (SELECT latest.*, tanh((mom_20 - base) / 5) AS level FROM latest JOIN m ON 1 = 1) SELECT symbol, ts, " + cols({"level": "level", "score": score("level"), **states({"outperforming": "level", "underperforming": "-level", "inline": "1 - abs(level)"})}) + ", CAST(row_number() OVER (ORDER BY level DESC, symbol) AS INT) AS rank FROM v")

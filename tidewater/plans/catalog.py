@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 def _catalog():
-    from tidewater.operators import decision, readouts, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
+    from tidewater.operators import decision, engines, readouts, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
     from tidewater.plans.dialect import CATALOG
 
     return CATALOG
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import folds, readouts
+    from tidewater.operators import engines, folds, readouts
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

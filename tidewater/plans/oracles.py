@@ -46,6 +46,53 @@ s AS (SELECT q.symbol, q.ts, pct, 200 * (ask - bid) / (ask + bid) AS spread, 100
       FROM q LEFT JOIN p ON q.symbol = p.symbol AND q.rn = p.rn AND n >= 10 WHERE bid > 0 AND bid <= ask AND total > 0)
 SELECT q.symbol, q.ts, @r6(40 * greatest(0.0, 1 - spread) + 30 * pct + 30 * greatest(0.0, 1 - impact / 0.5)) AS liquidity_score
 FROM q LEFT JOIN s ON q.symbol = s.symbol AND q.ts = s.ts""",
+    # lists skip what is null: means and weights over what is present
+    "n06_momentum": """
+WITH f AS (SELECT *, [tanh(mom_5 / 3), tanh(mom_20 / 6), tanh(mom_50 / 10), tanh(mom_200 / 20)] AS sig, tanh(move / 2) AS today,
+                  coalesce(list_avg([tanh(acc_5 / 1.5), tanh(acc_20 / 3), tanh(acc_50 / 5), tanh(acc_200 / 10)]), 0) AS g,
+                  list_max([abs(z_5), abs(z_20), abs(z_50), abs(z_200)]) AS far FROM {f22_wide_features}),
+d AS (SELECT *, coalesce(list_avg(sig), 0) AS daily FROM f),
+l AS (SELECT *, least(1, greatest(-1, CASE WHEN today IS NULL THEN daily ELSE 0.7 * daily + 0.3 * today END)) AS level,
+             coalesce(greatest(0, -today * sign(daily)), 0) AS conflict, list_filter(sig, lambda x: x IS NOT NULL) AS known FROM d),
+e AS (SELECT *, [CASE WHEN level > 0 AND g > 0 THEN level * g ELSE 0 END, CASE WHEN level < 0 AND g < 0 THEN level * g ELSE 0 END,
+                 CASE WHEN level * g < 0 THEN -level * g ELSE 0 END, CASE WHEN far >= 2 THEN abs(level) ELSE 0 END, (1 - abs(level)) * (1 - abs(g))] AS ev FROM l),
+s AS (SELECT *, CASE WHEN list_sum(ev) > 0 THEN list_transform(ev, lambda x: x / list_sum(ev)) ELSE [0.2, 0.2, 0.2, 0.2, 0.2] END AS p FROM e)
+SELECT symbol, ts, @r6(level) AS level, @r6(50 + 50 * level) AS score, @r6(g) AS acceleration, @r6(far) AS max_abs_z,
+  @r6(least(1, greatest(0, 0.4 * len(known) / 4.0
+      + 0.4 * coalesce(len(list_filter(known, lambda x: (x >= 0) = (level >= 0))) / nullif(len(known), 0), 0) + CASE WHEN far IS NULL THEN 0 ELSE 0.2 END - 0.3 * conflict))) AS confidence,
+  @r6(p[1]) AS s_accelerating_bullish, @r6(p[2]) AS s_accelerating_bearish, @r6(p[3]) AS s_decelerating, @r6(p[4]) AS s_extreme, @r6(p[5]) AS s_mixed FROM s""",
+    "n07_volatility": """
+WITH u AS (SELECT symbol, ts, today_vol, unnest([regime_5, regime_20, regime_50, regime_100]) / 2 AS r, unnest([vix_5, vix_20, vix_50, vix_100]) AS x, unnest([hist_5, hist_20, hist_50, hist_100]) AS h,
+                  unnest([vov_5, vov_20, vov_50, vov_100]) AS v, unnest([compression_5, compression_20, compression_50, compression_100]) AS c, unnest([expansion_5, expansion_20, expansion_50, expansion_100]) AS b
+           FROM {f22_wide_features}),
+a AS (SELECT symbol, ts, any_value(today_vol) AS today, coalesce(avg(r), 0.5) AS r, count(r) AS n, stddev_pop(r) AS sd, avg(x) AS x, avg(h) AS h, avg(v) AS v, coalesce(avg(c), 0) AS c, coalesce(avg(b), 0) AS b FROM u GROUP BY symbol, ts),
+d AS (SELECT *, least(1, greatest(0, coalesce(0.85 * r + 0.075 * (1 - tanh(x / 10)), r))) AS daily, CASE WHEN h > 1e-6 THEN tanh((today / h - 1) / 1.5) END AS tilt FROM a),
+l AS (SELECT *, coalesce(least(1, greatest(0, 0.8 * daily + 0.1 + 0.1 * tilt)), daily) AS level, coalesce(least(1, v / greatest(h, 1e-6)), 0) AS unstable FROM d),
+w AS (SELECT symbol, ts, k, greatest(0, e) AS e FROM (
+  SELECT symbol, ts, unnest(['extremely_low', 'low', 'normal', 'elevated', 'high', 'extreme', 'compression', 'expansion']) AS k,
+         unnest([1 - abs(level) / 0.25, 1 - abs(level - 0.2) / 0.25, 1 - abs(level - 0.5) / 0.25, 1 - abs(level - 0.7) / 0.25, 1 - abs(level - 0.85) / 0.25, 1 - abs(level - 1) / 0.25, c / 2, b / 2]) AS e FROM l) q),
+s AS (PIVOT (SELECT symbol, ts, k, coalesce(e / nullif(sum(e) OVER (PARTITION BY symbol, ts), 0), 0.125) AS p FROM w)
+      ON k IN ('extremely_low', 'low', 'normal', 'elevated', 'high', 'extreme', 'compression', 'expansion') USING max(p) GROUP BY symbol, ts)
+SELECT l.symbol, l.ts, @r6(level) AS level, @r6(100 * level) AS score, @r6(unstable) AS instability,
+  @r6(least(1, greatest(0, 0.25 + 0.35 * CASE WHEN n = 0 THEN 0 WHEN n = 1 THEN 1 ELSE 1 - least(1, 2 * sd) END + 0.05 * n + CASE WHEN x IS NULL THEN 0 ELSE 0.1 END - 0.15 * unstable
+      - 0.2 * greatest(0, coalesce(tilt * (1 - 2 * daily), 0))))) AS confidence,
+  @r6(extremely_low) AS s_extremely_low, @r6(low) AS s_low, @r6(normal) AS s_normal, @r6(elevated) AS s_elevated, @r6(high) AS s_high, @r6(extreme) AS s_extreme,
+  @r6(compression) AS s_compression, @r6(expansion) AS s_expansion FROM l JOIN s ON l.symbol = s.symbol AND l.ts = s.ts""",
+    "n08_breadth": """
+WITH m AS (SELECT *, tanh(list_avg([strength_5, strength_20, strength_50, strength_100]) * 10) AS way,
+                  tanh((list_avg([highs_5, highs_20, highs_50, highs_100]) - list_avg([lows_5, lows_20, lows_50, lows_100])) / 5) AS new FROM {f23_breadth_features}),
+t AS (SELECT m.*, unnest([0.4, 0.25, 0.15, 0.1, 0.1]) AS w, unnest([strength, (participation - 50) / 50, (above - 50) / 50, way, new]) AS v FROM m),
+l AS (SELECT ts, any_value(strength) AS strength, any_value(way) AS way, any_value(new) AS new, count(v) AS n,
+             coalesce(sum(w * least(1, greatest(-1, v))) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 0) AS level,
+             any_value(list_avg([participation, above]) / 100) AS base, any_value(divergence) AS gap FROM t GROUP BY ts),
+q AS (SELECT *, least(1, greatest(0, coalesce(base, 0.5) * CASE WHEN gap < 0 THEN greatest(0, 1 + gap / 10) ELSE 1 END)) AS quality,
+             abs(coalesce(least(1, greatest(-1, strength)), level)) AS sure FROM l),
+s AS (SELECT *, sure + (1 - sure) * quality + abs(coalesce(way, 0)) AS total FROM q)
+SELECT ts, @r6(level) AS level, @r6(50 + 50 * level) AS score, @r6(quality) AS quality,
+  @r6(least(1, 0.25 + 0.07 * n + 0.25 * CASE WHEN way IS NULL AND new IS NULL THEN 0 WHEN way * new < 0 THEN 0.5 ELSE 1 END + 0.15 * CASE WHEN base IS NULL THEN 0 ELSE quality END)) AS confidence,
+  @r6(coalesce(sure * quality / nullif(total, 0), 0.2)) AS s_broad, @r6(coalesce(sure * (1 - quality) / nullif(total, 0), 0.2)) AS s_narrow,
+  @r6(coalesce(greatest(0, coalesce(way, 0)) / nullif(total, 0), 0.2)) AS s_improving, @r6(coalesce(greatest(0, -coalesce(way, 0)) / nullif(total, 0), 0.2)) AS s_deteriorating,
+  @r6(coalesce((1 - sure) * quality / nullif(total, 0), 0.2)) AS s_mixed FROM s""",
 }
 
 
