@@ -74,7 +74,12 @@ def _or0(x: Column) -> Column:
 
 
 def _clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
+
+
+def _at_most(x: Column, high: float) -> Column:
+    """least() passes over nulls; here a null stays one."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(high)))
 
 
 def _shares(evidence: dict[str, Column]) -> list[Column]:
@@ -111,20 +116,20 @@ def trend(features: DataFrame, history: DataFrame) -> DataFrame:
     f = f.withColumns({"level": _clamp(level, -1.0, 1.0), "conflict": conflict, "strength": F.least(F.lit(1.0), 0.7 * _or0(size) + 0.3 * F.abs(_or0(F.col("bias"))))})
     way = F.signum("level")
     agreeing, _ = _some(*(F.when(s.isNotNull(), (F.signum(s) == way).cast("double")) for s in signals))
-    volume, _ = _some(F.least(F.col("rvol") / 1.5, F.lit(1.0)), _clamp(0.5 + 0.5 * way * F.tanh("obv_z")))
+    volume, _ = _some(_at_most(F.col("rvol") / 1.5, 1.0), _clamp(0.5 + 0.5 * way * F.tanh("obv_z")))
     opposing = F.greatest(F.lit(0.0), -way * F.tanh(_or0(F.col("acc_20")) / 2.0))
     far = F.when(F.col("level") >= 0, F.col("far_high")).otherwise(F.col("far_low"))
-    near = _or0(1 - F.least(F.abs(far), F.lit(5.0)) / 5.0)
-    tired = F.least(F.lit(1.0), 0.4 * F.least(F.col("age") / 60.0, F.lit(1.0)) + 0.4 * opposing + 0.2 * near * opposing)
-    tired = F.least(F.lit(1.0), tired + 0.25 * _or0(F.least(F.lit(1.0), F.col("drawdown") / 1.5)))
-    up, down, strong, steady = F.greatest(F.col("level"), F.lit(0.0)), F.greatest(-F.col("level"), F.lit(0.0)), F.col("strength"), F.col("stability")
+    near = _or0(1 - _at_most(F.abs(far), 5.0) / 5.0)
+    tired = F.least(F.lit(1.0), 0.4 * _or0(_at_most(F.col("age") / 60.0, 1.0)) + 0.4 * opposing + 0.2 * near * opposing)
+    tired = F.least(F.lit(1.0), tired + 0.25 * _or0(_at_most(F.col("drawdown") / 1.5, 1.0)))
+    up, down, strong, steady = F.greatest(F.col("level"), F.lit(0.0)), F.greatest(-F.col("level"), F.lit(0.0)), F.col("strength"), _or0(F.col("stability"))
     bos, chance = _or0(F.col("bos")), _or0(F.col("breakout_prob"))
     states = {
         "strong_bull": up * strong, "weak_bull": up * (1 - strong), "strong_bear": down * strong, "weak_bear": down * (1 - strong),
         "range": (1 - F.abs("level")) * (1 - strong), "breakout": F.greatest(bos, F.lit(0.0)) * chance, "breakdown": F.greatest(-bos, F.lit(0.0)) * chance,
         "transition": 0.5 * (1 - steady) * F.abs("level"),
     }
-    f = f.withColumns({"age": _or0(F.col("age")), "stability": _or0(F.col("stability"))})
+    f = f.withColumns({"age": _or0(F.col("age")), "stability": steady})
     out = f.select(
         "symbol", "ts", "level", (50 + 50 * F.col("level")).alias("score"),
         _clamp(0.25 + 0.45 * F.when(way != 0, _or0(agreeing)).otherwise(0.0) + 0.2 * steady + 0.1 * _or0(volume) - 0.3 * F.col("conflict")).alias("confidence"),
@@ -179,7 +184,7 @@ def volatility(features: DataFrame) -> DataFrame:
     f = f.withColumn("level", F.when(tilt.isNull(), F.col("daily")).otherwise(_clamp(0.8 * F.col("daily") + 0.2 * (0.5 + 0.5 * tilt))))
     conflict = _or0(F.greatest(F.lit(0.0), tilt * (0.5 - F.col("daily")) * 2))
     agreement = F.when(n > 1, 1 - F.least(F.lit(1.0), 2 * _spread(*levels))).when(n == 1, 1.0).otherwise(0.0)
-    unstable = _or0(F.least(F.lit(1.0), vov / F.greatest(hist, F.lit(1e-6))))
+    unstable = _or0(_at_most(vov / F.when(hist.isNotNull(), F.greatest(hist, F.lit(1e-6))), 1.0))
     confidence = _clamp(0.25 + 0.35 * agreement + 0.2 * n / len(levels) + F.when(vix.isNotNull(), 0.1).otherwise(0.0) - 0.15 * unstable - 0.2 * conflict)
     states = {k: 1 - F.abs(F.col("level") - a) / 0.25 for k, a in VOLATILITY_ANCHORS.items()} | {"compression": 0.5 * squeeze, "expansion": 0.5 * burst}
     return _rounded(f.select("symbol", "ts", "level", (100 * F.col("level")).alias("score"), confidence.alias("confidence"), unstable.alias("instability"), *_shares(states)), ["symbol", "ts"])

@@ -14,7 +14,8 @@ from tidewater.operators import rolling, snapshots, statistics, store  # noqa: F
 from tidewater.operators.decision import CAND, CONV, LABELS, PREDS
 from tidewater.operators.rolling import cols
 from tidewater.operators.scoring import mean
-from tidewater.operators.snapshots import NEGATIVE, POSITIVE
+from tidewater.operators import newswords
+from tidewater.operators.newswords import NEGATIVE, POSITIVE
 from tidewater.operators.statistics import LONG, MATRIX
 from tidewater.plans.dialect import CATALOG, Operator, operator
 from tidewater.sources import readers
@@ -103,8 +104,8 @@ def lexicon_scorer(texts: list[str]) -> list[float]:
 
     out = []
     for t in texts:
-        words = re.findall(r"[a-z0-9]+", (t or "").lower())
-        pos, neg = (sum(w * words.count(k) for k, w in d.items()) for d in (POSITIVE, NEGATIVE))
+        spaced = f" {' '.join(re.findall('[a-z0-9]+', (t or '').lower()))} "
+        pos, neg = (sum(w * spaced.count(f" {k} ") for k, w in d.items()) for d in (POSITIVE, NEGATIVE))
         out.append(round((pos - neg) / (pos + neg) + 1e-9, 6) + 0.0 if pos + neg else 0.0)
     return out
 
@@ -151,7 +152,7 @@ QUERIES = {
     "s12_chart_candles": chart_round_trip,
     "h05_positional_candles": positional_round_trip,
     "k07_dispatch": dispatch_query,
-    "d17_sentiment_provider": lambda spark, d: provider_sentiment(spark.read.parquet(f"{d}/documents.parquet"), lexicon_scorer),
+    "d17_sentiment_provider": lambda spark, d: provider_sentiment(newswords._texts(spark, d), lexicon_scorer),
     "g05_permutation_importance": permutation_query,
 }
 
@@ -163,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "s12_chart_candles": made(CANDLES_SQL),
         "h05_positional_candles": made(CANDLES_SQL),
         "k07_dispatch": CATALOG["k02_rolling_minmax"].oracle(),
-        "d17_sentiment_provider": CATALOG["d16_lexicon_sentiment"].oracle(),
+        "d17_sentiment_provider": newswords.ORACLES["d16_lexicon_sentiment"],
     }
 
 

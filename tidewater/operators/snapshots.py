@@ -5,9 +5,7 @@ from __future__ import annotations
 from tidewater.operators.rolling import cols, over
 from tidewater.plans.dialect import operator
 
-#: Stop words, lexicon weights and keyword lists of the news operators.
-POSITIVE = {"the": 1, "with": 2, "this": 1}
-NEGATIVE = {"was": 1, "idiot": 3, "from": 1}
+#: Stop words of the news operators.
 STOPWORDS = ("the", "of", "to", "in", "and", "a", "is")
 
 UNIVERSE = "u AS (SELECT c.c_custkey AS id, n.n_name AS industry, r.r_name AS sector, c.c_acctbal AS last, c.c_acctbal - (c.c_custkey % 7 - 3) * 20 AS prev, c.c_acctbal - (c.c_custkey % 11 - 5) * 30 AS ema20, c.c_acctbal - (c.c_custkey % 5 - 2) * 40 AS ema50, 1 + c.c_custkey % 100 AS mcap FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey)"
@@ -66,11 +64,6 @@ e AS (SELECT kind, reduction, CAST(ceil((@unix(ts) - pre_h * 3600) / 3600.0) AS
 x AS (SELECT kind, reduction, @explode(@seq(a, b)) AS hour FROM e)"""
 operator("d13_event_activity", "Events whose window, by their kind's profile, holds the moment.", f"WITH {ACTIVE}, n AS (SELECT hour, count(*) AS active, @r6(least(1.0, sum(reduction))) AS reduction, max(kind) AS kind FROM x GROUP BY hour) SELECT c.ts, active, reduction, kind FROM {{reference}} c JOIN n ON @idiv(@unix(c.ts), 3600) = hour")
 operator("d14_tokens", "Tokens, distinct content tokens and phrase containment.", "SELECT doc_id, CAST(@size(@tokens(text)) AS BIGINT) AS tokens, CAST(@size(@distinct(@filter(@tokens(text), @L(t) t NOT IN " + str(STOPWORDS) + "))) AS BIGINT) AS content_tokens, CASE WHEN (' ' || lower(text) || ' ') LIKE '% and the %' THEN 1 ELSE 0 END AS has_phrase FROM {documents}")
-LEX = " + ".join(f"{w} * @size(@filter(tk, @L(t) t = '{k}'))" for k, w in POSITIVE.items())
-LEXN = " + ".join(f"{w} * @size(@filter(tk, @L(t) t = '{k}'))" for k, w in NEGATIVE.items())
-operator("d16_lexicon_sentiment", "Weighted positive against negative words.", f"WITH t AS (SELECT doc_id, @tokens(text) AS tk FROM {{documents}}), s AS (SELECT doc_id, {LEX} AS pos, {LEXN} AS neg FROM t) SELECT doc_id, @r6(coalesce(@div(pos - neg, pos + neg), 0.0)) AS sentiment FROM s")
-operator("d18_entities", "Names found in a text, in priority order.", "WITH e AS (SELECT n_nationkey AS priority, lower(substr(n_name, 1, 4)) AS alias, n_name AS entity FROM {nation}) SELECT b.item_id, min(priority) AS first_priority, count(*) AS found FROM {benchmark} b JOIN e ON lower(b.text) LIKE '%' || substr(alias, 1, 2) || '%' GROUP BY b.item_id")
-operator("d19_classification", "Class of a text by ordered rules.", "SELECT doc_id, CASE WHEN @like_all(lower(text), 'license|copyright') THEN 'legal' WHEN @like_all(text, '@') THEN 'contact' WHEN @like_all(text, '[|]') THEN 'table' WHEN @like_all(text, '[0-9]') THEN 'numeric' ELSE 'macro' END AS class FROM {documents}")
 operator("d20_urgency", "Urgency by age and impact by trust.", "WITH a AS (SELECT id, source, value, (@unix((SELECT max(ts) FROM {observations})) - @unix(ts)) / 60 AS age FROM {observations}) SELECT id, CASE WHEN age < 30 THEN 'high' WHEN age < 120 THEN 'medium' ELSE 'low' END AS urgency, @r6(abs(coalesce(value, 0)) / 100 * CASE WHEN age < 30 THEN 1.0 WHEN age < 120 THEN 0.6 ELSE 0.3 END * CASE source WHEN 'src0' THEN 0.9 WHEN 'src1' THEN 0.7 ELSE 0.5 END) AS impact FROM a")
 CDF = "(CASE WHEN {x} >= 0 THEN 1 - exp(-({x}) * ({x}) / 2) * 0.3989422804014327 * (0.319381530 * {k} - 0.356563782 * {k} * {k} + 1.781477937 * {k} * {k} * {k} - 1.821255978 * {k} * {k} * {k} * {k} + 1.330274429 * {k} * {k} * {k} * {k} * {k}) ELSE exp(-({x}) * ({x}) / 2) * 0.3989422804014327 * (0.319381530 * {k} - 0.356563782 * {k} * {k} + 1.781477937 * {k} * {k} * {k} - 1.821255978 * {k} * {k} * {k} * {k} + 1.330274429 * {k} * {k} * {k} * {k} * {k}) END)"
 

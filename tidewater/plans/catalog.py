@@ -14,16 +14,16 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import engines, folds, readouts
+    from tidewater.operators import engines, folds, newswords, readouts
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.operators import readouts
+    from tidewater.operators import newswords, readouts
     from tidewater.plans import oracles
 
-    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql()
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ WITH u AS (SELECT symbol, ts, today_vol, unnest([regime_5, regime_20, regime_50,
            FROM {f22_wide_features}),
 a AS (SELECT symbol, ts, any_value(today_vol) AS today, coalesce(avg(r), 0.5) AS r, count(r) AS n, stddev_pop(r) AS sd, avg(x) AS x, avg(h) AS h, avg(v) AS v, coalesce(avg(c), 0) AS c, coalesce(avg(b), 0) AS b FROM u GROUP BY symbol, ts),
 d AS (SELECT *, least(1, greatest(0, coalesce(0.85 * r + 0.075 * (1 - tanh(x / 10)), r))) AS daily, CASE WHEN h > 1e-6 THEN tanh((today / h - 1) / 1.5) END AS tilt FROM a),
-l AS (SELECT *, coalesce(least(1, greatest(0, 0.8 * daily + 0.1 + 0.1 * tilt)), daily) AS level, coalesce(least(1, v / greatest(h, 1e-6)), 0) AS unstable FROM d),
+l AS (SELECT *, CASE WHEN tilt IS NULL THEN daily ELSE least(1, greatest(0, 0.8 * daily + 0.1 + 0.1 * tilt)) END AS level, CASE WHEN v IS NULL OR h IS NULL THEN 0 ELSE least(1, v / greatest(h, 1e-6)) END AS unstable FROM d),
 w AS (SELECT symbol, ts, k, greatest(0, e) AS e FROM (
   SELECT symbol, ts, unnest(['extremely_low', 'low', 'normal', 'elevated', 'high', 'extreme', 'compression', 'expansion']) AS k,
          unnest([1 - abs(level) / 0.25, 1 - abs(level - 0.2) / 0.25, 1 - abs(level - 0.5) / 0.25, 1 - abs(level - 0.7) / 0.25, 1 - abs(level - 0.85) / 0.25, 1 - abs(level - 1) / 0.25, c / 2, b / 2]) AS e FROM l) q),
@@ -83,10 +83,10 @@ WITH m AS (SELECT *, tanh(list_avg([strength_5, strength_20, strength_50, streng
                   tanh((list_avg([highs_5, highs_20, highs_50, highs_100]) - list_avg([lows_5, lows_20, lows_50, lows_100])) / 5) AS new FROM {f23_breadth_features}),
 t AS (SELECT m.*, unnest([0.4, 0.25, 0.15, 0.1, 0.1]) AS w, unnest([strength, (participation - 50) / 50, (above - 50) / 50, way, new]) AS v FROM m),
 l AS (SELECT ts, any_value(strength) AS strength, any_value(way) AS way, any_value(new) AS new, count(v) AS n,
-             coalesce(sum(w * least(1, greatest(-1, v))) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 0) AS level,
+             coalesce(sum(CASE WHEN v IS NOT NULL THEN w * least(1, greatest(-1, v)) END) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 0) AS level,
              any_value(list_avg([participation, above]) / 100) AS base, any_value(divergence) AS gap FROM t GROUP BY ts),
 q AS (SELECT *, least(1, greatest(0, coalesce(base, 0.5) * CASE WHEN gap < 0 THEN greatest(0, 1 + gap / 10) ELSE 1 END)) AS quality,
-             abs(coalesce(least(1, greatest(-1, strength)), level)) AS sure FROM l),
+             abs(CASE WHEN strength IS NULL THEN level ELSE least(1, greatest(-1, strength)) END) AS sure FROM l),
 s AS (SELECT *, sure + (1 - sure) * quality + abs(coalesce(way, 0)) AS total FROM q)
 SELECT ts, @r6(level) AS level, @r6(50 + 50 * level) AS score, @r6(quality) AS quality,
   @r6(least(1, 0.25 + 0.07 * n + 0.25 * CASE WHEN way IS NULL AND new IS NULL THEN 0 WHEN way * new < 0 THEN 0.5 ELSE 1 END + 0.15 * CASE WHEN base IS NULL THEN 0 ELSE quality END)) AS confidence,
