@@ -53,9 +53,10 @@ def made(seed, n=90):
     return docs
 
 
-def in_process(docs, chunks=4, buckets=2):
+def in_process(docs, chunks=4, buckets=2, deal=lambda k, i: i):
     """All rounds without Spark, so that limits can be patched."""
-    tables = [pa.table({"doc_id": [i for i, _ in docs if i % chunks == c], "text": pa.array([t or "" for i, t in docs if i % chunks == c], pa.string())}) for c in range(chunks)]
+    own = [[d for k, d in enumerate(docs) if deal(k, d[0]) % chunks == c] for c in range(chunks)]
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in x], pa.int64()), "text": pa.array([t or "" for _, t in x], pa.string())}) for x in own]
 
     def route(sent):
         rows = defaultdict(list)
@@ -96,6 +97,13 @@ def test_limits_change_nothing(monkeypatch, many, rows, piece):
     assert in_process(docs) == brute(docs)
 
 
+@pytest.mark.parametrize("many", [2048, -1])
+def test_repeated_ids_in_several_chunks(monkeypatch, many):
+    monkeypatch.setattr(S, "MANY", many)
+    docs = [(i % 7, t) for i, t in made(9, 70)]
+    assert in_process(docs, deal=lambda k, i: k) == brute(docs)
+
+
 def test_on_spark_with_clashing_columns(spark):
     docs = made(5, 60)
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in docs], "doc_id long, text string, chunk int, kept string")
