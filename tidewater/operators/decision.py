@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewater.operators.rolling import BARS, P, cols, over
-from tidewater.operators.scoring import WIDE, c01, mean, wavg
+from tidewater.operators.scoring import WIDE
 from tidewater.operators.snapshots import normal_cdf
 from tidewater.plans.dialect import operator
 
@@ -44,23 +44,8 @@ operator("y24_leaderboard", "Best of the newest rows; the limit comes before the
 operator("y26_reason_codes", "Reasons that hold, in order.", f"WITH {WIDE} SELECT symbol, CASE WHEN lean > 0.2 THEN 'momentum;' ELSE '' END || CASE WHEN vol_level > 0.6 THEN 'volatile;' ELSE '' END || CASE WHEN rvol > 1.5 THEN 'volume;' ELSE '' END || CASE WHEN pos > 0.8 THEN 'near_high;' ELSE '' END AS reasons FROM latest")
 
 # 2.19 ------------------------------------------------------------------------------------------------------------
-CAND = f"""{WIDE}, c AS (SELECT symbol, ts, lean, coalesce(pos, 0.5) AS pos, coalesce(cmf, 0) AS cmf, vol_level, rvol, close FROM latest),
-trig AS (SELECT symbol, 'trend' AS trigger, abs(lean) AS confidence, 240 AS lifetime FROM c WHERE abs(lean) > 0.1 UNION ALL SELECT symbol, 'volume', {c01('rvol / 3')}, 60 FROM c WHERE rvol > 0.8
-  UNION ALL SELECT symbol, 'breakout', pos, 120 FROM c WHERE pos > 0.7 UNION ALL SELECT symbol, 'reversal', 1 - pos, 90 FROM c WHERE pos < 0.3 UNION ALL SELECT symbol, 'flow', abs(cmf), 180 FROM c WHERE abs(cmf) > 0.05)"""
-operator("z01_triggers", "Conditions that hold for each symbol.", f"WITH {CAND} SELECT symbol, trigger, @r6(confidence) AS confidence FROM trig")
-operator("z02_priority_score", "Sum of trigger confidences.", f"WITH {CAND} SELECT symbol, @r6(sum(confidence)) AS priority, count(*) AS n FROM trig GROUP BY symbol")
-operator("z03_watchlist_scan", "Watchlist by score, list position breaking ties.", f"WITH {CAND}, s AS (SELECT symbol, sum(confidence) AS p FROM trig GROUP BY symbol) SELECT symbol, @r6(p) AS priority, CAST(row_number() OVER (ORDER BY round(p, 6) DESC, symbol) AS INT) AS place FROM s")
-DIRECTION = wavg([(0.4, "lean"), (0.3, "(pos - 0.5) * 2"), (0.3, "cmf")])
-operator("z04_direction", "Direction by a weighted mean with a neutral band.", f"WITH {CAND}, d AS (SELECT symbol, {DIRECTION} AS d FROM c) SELECT symbol, @r6(d) AS signal, CASE WHEN d > 0.05 THEN 'long' WHEN d < -0.05 THEN 'short' ELSE 'neutral' END AS direction FROM d")
-operator("z05_lifetime", "Shortest lifetime of a symbol's triggers.", f"WITH {CAND} SELECT symbol, CAST(min(lifetime) AS BIGINT) AS minutes FROM trig GROUP BY symbol")
-operator("z06_candidates", "Ranked candidates, twenty at most.", f"WITH {CAND}, s AS (SELECT symbol, sum(confidence) AS p FROM trig GROUP BY symbol) SELECT symbol, @r6(p) AS priority, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(p, 6) DESC, symbol) AS rank FROM s) q WHERE rank <= 20")
 operator("z07_signal_streak", "Runs of one direction without a gap over twenty minutes.", "WITH d AS (SELECT symbol, ts, CASE WHEN ltp > 20 THEN 'long' ELSE 'short' END AS dir, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS pts, lag(CASE WHEN ltp > 20 THEN 'long' ELSE 'short' END) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS pdir, event_id FROM {ticks}), g AS (SELECT *, sum(CASE WHEN pts IS NULL OR dir <> pdir OR @unix(ts) - @unix(pts) > 1200 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM d) SELECT symbol, CAST(run AS BIGINT) AS run, min(dir) AS direction, min(ts) AS since, count(*) AS n FROM g GROUP BY symbol, run")
 operator("z08_snapshot_freeze", "Values and versions frozen at a moment.", "SELECT symbol, feature_name, feature_version, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY symbol, feature_name ORDER BY ts DESC, feature_version DESC) AS k FROM {store}) q WHERE k = 1")
-operator("z09_context_quality", "Weighted context quality shrinks probabilities to a half.", f"WITH {CAND}, q AS (SELECT symbol, lean, {wavg([(0.5, '1 - vol_level'), (0.3, 'abs(lean)'), (0.2, 'pos')])} AS quality FROM c) SELECT symbol, @r6(quality) AS quality, @r6(0.5 + (0.5 + lean / 2 - 0.5) * quality) AS probability FROM q")
-CONV = wavg([(0.2, "abs(lean) * 100"), (0.2, "pos * 100"), (0.15, "abs(cmf) * 100"), (0.15, "(1 - vol_level) * 100"), (0.4, "least(100.0, rvol * 33)")])
-operator("z10_conviction", "Weighted evidence over what is present, graded.", f"WITH {CAND}, v AS (SELECT symbol, {CONV} AS s FROM c) SELECT symbol, @r6(s) AS conviction, CASE WHEN s >= 80 THEN 'A' WHEN s >= 65 THEN 'B' WHEN s >= 50 THEN 'C' WHEN s >= 35 THEN 'D' ELSE 'E' END AS grade FROM v")
-operator("z11_qualification", "Fail-closed gates with reasons.", f"WITH {CAND}, v AS (SELECT symbol, {CONV} AS s, vol_level, rvol, lean FROM c), g AS (SELECT symbol, CASE WHEN coalesce(s, 0) < 30 THEN 'conviction;' ELSE '' END || CASE WHEN coalesce(vol_level, 1) > 0.9 THEN 'volatility;' ELSE '' END || CASE WHEN coalesce(rvol, 0) < 0.5 THEN 'liquidity;' ELSE '' END || CASE WHEN lean IS NULL THEN 'data;' ELSE '' END AS reasons FROM v) SELECT symbol, reasons, CASE WHEN reasons = '' THEN 1 ELSE 0 END AS qualified FROM g")
-operator("z12_priority_rank", "Equal-weight factors over what is present, best first.", f"WITH {CAND}, v AS (SELECT symbol, {mean('abs(lean)', 'pos', 'abs(cmf)', '1 - vol_level', 'least(1.0, rvol / 3)')} AS p FROM c) SELECT symbol, @r6(p) AS priority, CAST(row_number() OVER (ORDER BY round(p, 6) DESC, symbol) AS INT) AS rank FROM v")
 operator("z14_pair_correlation", "Correlation of returns on common times, by pair.", f"WITH {BARS.strip()} SELECT a.symbol AS x, b.symbol AS y, @r6(covar_pop(a.lr, b.lr) / nullif(sqrt(var_pop(a.lr) * var_pop(b.lr)), 0.0)) AS r, count(*) AS n FROM rets a JOIN rets b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.lr IS NOT NULL AND b.lr IS NOT NULL GROUP BY a.symbol, b.symbol")
 LOG = "lg AS (SELECT conv_id AS lifecycle_id, turn AS seq, role AS stage FROM {conversations})"
 operator("z15_lifecycle", "State machine over an append-only log; repeats of a stage are ignored.", f"WITH {LOG}, d AS (SELECT *, lag(stage) OVER (PARTITION BY lifecycle_id ORDER BY seq) AS before FROM lg) SELECT lifecycle_id, count(*) AS transitions, max_by(stage, seq) AS stage, CAST(sum(CASE WHEN before = 'assistant' AND stage = 'system' THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM d WHERE before IS NULL OR before <> stage GROUP BY lifecycle_id")

@@ -196,9 +196,10 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _z13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = CATALOG["z06_candidates"].run(spark, sf_dir).orderBy("rank").limit(20).collect()
+    candidates = CATALOG["z06_candidates"].run(spark, sf_dir)
+    ranked = candidates.join(candidates.agg(F.max("ts").alias("ts")), "ts").orderBy("rank").limit(20).collect()
     pairs = {(r["x"], r["y"]): r["r"] or 0.0 for r in CATALOG["z14_pair_correlation"].run(spark, sf_dir).collect()}
-    signals = [{"symbol": r["symbol"], "direction": "long", "minute": 0, "reason": "breakout" if r["rank"] % 2 else "flow"} for r in ranked]
+    signals = [{"symbol": r["symbol"], "direction": r["direction"], "minute": 0, "reason": r["reason"]} for r in ranked]
     return spark.createDataFrame([(s["symbol"], s["reason"]) for s in filter_signals(signals, pairs)], "symbol string, reason string")
 
 

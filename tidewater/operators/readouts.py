@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import kernels
 from tidewater.operators import rolling, snapshots, statistics, store  # noqa: F401  their definitions come first
-from tidewater.operators.decision import CAND, CONV, LABELS, PREDS
+from tidewater.operators.decision import LABELS, PREDS
 from tidewater.operators.rolling import cols
 from tidewater.operators.scoring import mean
 from tidewater.operators import newswords
@@ -40,14 +40,6 @@ operator("h54_temperature", "Negative log likelihood of a grid of temperatures."
 operator("h57_blended_probabilities", "Weighted holdout probabilities.", f"WITH {PREDS} SELECT id, @r6((p1 * 0.2 + p2 * 0.1 + p3 * 0.1) / 0.4) AS p FROM p WHERE id % 5 = 0")
 operator("h58_prediction_defaults", "Prediction with its defaults where a model is missing.", f"WITH {PREDS}, m AS (SELECT id, CASE WHEN id % 3 = 0 THEN p1 END AS p FROM p) SELECT id, @r6(coalesce(p, 0.5)) AS probability, @r6(CASE WHEN p IS NULL THEN 1.0 ELSE 1 - 2 * abs(p - 0.5) END) AS uncertainty FROM m")
 operator("h59_feature_series", "One scan of a chosen set of features.", "SELECT symbol, feature_name, feature_version, ts, value FROM {store} WHERE feature_name IN ('close', 'range') AND timeframe = '1H'")
-EVID = f"{CAND}, ev AS (SELECT symbol, 'lean' AS kind, CAST(0.2 AS DOUBLE) AS w, abs(lean) * 100 AS s FROM c UNION ALL SELECT symbol, 'pos', CAST(0.2 AS DOUBLE), pos * 100 FROM c UNION ALL SELECT symbol, 'flow', CAST(0.15 AS DOUBLE), abs(cmf) * 100 FROM c UNION ALL SELECT symbol, 'rvol', CAST(0.4 AS DOUBLE), least(100.0, rvol * 33) FROM c WHERE rvol > 0.9)"
-operator("h65_evidence", "Evidence rows; one kind only where it exists.", f"WITH {EVID} SELECT symbol, kind, @r6(w) AS weight, @r6(s) AS score FROM ev WHERE s IS NOT NULL")
-operator("h66_conviction", "Weighted mean of the evidence at hand; fifty with none.", f"WITH {EVID} SELECT symbol, @r6(coalesce(sum(w * s) / nullif(sum(w), 0.0), 50.0)) AS conviction, count(*) AS n FROM ev WHERE s IS NOT NULL GROUP BY symbol")
-operator("h67_gates", "Single gates, null-safe.", f"WITH {CAND}, v AS (SELECT symbol, {CONV} AS s, vol_level, rvol FROM c) SELECT symbol, CASE WHEN coalesce(s, 0) >= 30 THEN 1 ELSE 0 END AS conviction_ok, CASE WHEN coalesce(vol_level, 1) <= 0.9 THEN 1 ELSE 0 END AS volatility_ok, CASE WHEN coalesce(rvol, 0) >= 0.5 THEN 1 ELSE 0 END AS liquidity_ok FROM v")
-operator("h68_qualified", "Qualified symbols only.", f"WITH {CAND}, v AS (SELECT symbol, {CONV} AS s FROM c) SELECT symbol FROM v WHERE s >= 30")
-operator("h69_priority_mean", "Mean of the priority factors that exist; zero with none.", f"WITH {CAND} SELECT symbol, @r6(coalesce({mean('abs(lean)', 'pos', 'rvol / 3')}, 0.0)) AS priority FROM c")
-operator("h73_reason_text", "Reason text of each candidate.", f"WITH {CAND}, s AS (SELECT symbol, count(*) AS n, max_by(trigger, round(confidence, 9)) AS main FROM trig GROUP BY symbol) SELECT symbol, main || ' and ' || CAST(n - 1 AS STRING) || ' more' AS reason FROM s")
-operator("h75_report_lookup", "Newest report row of each candidate.", f"WITH {CAND}, r AS (SELECT label, max_by(value, id) AS confidence FROM {{observations}} GROUP BY label) SELECT c.symbol, r.confidence FROM c LEFT JOIN r ON c.symbol = r.label")
 operator("h77_normalised_attribution", "Attributions as shares of their sum.", f"WITH {MATRIX}, {LONG}, s AS (SELECT symbol, feature, abs(covar_pop(v, fr)) / nullif(stddev_pop(v), 0.0) AS a FROM l GROUP BY symbol, feature) SELECT symbol, feature, @r6(a / nullif(sum(a) OVER (PARTITION BY symbol), 0.0)) AS share FROM s")
 
 CANDLES_SQL = "SELECT symbol, ts, open, high, low, close, volume FROM {candles}"

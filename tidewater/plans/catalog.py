@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 def _catalog():
-    from tidewater.operators import decision, engines, readouts, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
+    from tidewater.operators import candidates, decision, engines, readouts, rolling, scoring, snapshots, statistics, store, support  # noqa: F401  definitions register themselves
     from tidewater.plans.dialect import CATALOG
 
     return CATALOG
