@@ -16,6 +16,7 @@ _HOMES = {
     "op8_exact_dedup": "exact_dedup",
     "op9_best_fit_packing": "packing",
     "op10_html_main_text": "html_main",
+    "op11_pii": "pii",
 }
 
 
