@@ -17,6 +17,8 @@ _HOMES = {
     "op9_best_fit_packing": "packing",
     "op10_html_main_text": "html_main",
     "op11_pii": "pii",
+    "op12_centroid_clusters": "centroids",
+    "op13_spelling_variants": "variants",
 }
 
 
