@@ -39,7 +39,7 @@ def walk_row(r):
     lean = sum(v * w for v, w in pairs) / weight if weight else None
     direction = "neutral" if lean is None or abs(lean) <= 0.05 else "long" if lean > 0 else "short"
     reads = [
-        ("breadth_quality", "breadth_conf", lambda x: x), ("liquidity_score", "liquidity_conf", lambda x: x / 100), ("event_score", "event_conf", lambda x: 1 - x / 100),
+        ("market_confidence", "market_confidence_conf", lambda x: x / 100), ("liquidity_score", "liquidity_conf", lambda x: x / 100), ("event_score", "event_conf", lambda x: 1 - x / 100),
         ("transition_score", "transition_conf", lambda x: 1 - x / 100), ("flow_score", "flow_conf", lambda x: abs(x - 50) / 50), ("volatility_score", "volatility_conf", lambda x: 1 - x / 100),
     ]
     dims = [(clamp(f(r[a])), r[b]) for a, b, f in reads if r[a] is not None and r[b] is not None]

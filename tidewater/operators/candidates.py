@@ -39,7 +39,7 @@ EVIDENCE = [
     ("options_positioning", 0.10, "mirror(options_score)", "options_conf"),
 ]
 CONTEXT = [
-    ("breadth_quality", "breadth_conf"), ("liquidity_score / 100", "liquidity_conf"), ("1 - event_score / 100", "event_conf"),
+    ("market_confidence / 100", "market_confidence_conf"), ("liquidity_score / 100", "liquidity_conf"), ("1 - event_score / 100", "event_conf"),
     ("1 - transition_score / 100", "transition_conf"), ("abs(flow_score - 50) / 50", "flow_conf"), ("1 - volatility_score / 100", "volatility_conf"),
 ]
 GATES = [
@@ -71,6 +71,9 @@ def mirrored(x: str) -> str:
     return f"CASE WHEN direction = 'short' THEN 100 - {x[7:-1]} ELSE {x[7:-1]} END" if x.startswith("mirror(") else x
 
 
+#: What market confidence is the mean of: quality of data and features, certainty of the regime, breadth, agreement of flows,
+#: stability of correlations.
+INPUTS = ["CASE WHEN l.volume > 0 AND l.high >= l.low THEN 1 ELSE 0 END", "CAST(n AS DOUBLE) / 50", "abs(level)", "avg(CASE WHEN l.close > l.open THEN 1 ELSE 0 END) OVER (PARTITION BY l.ts)", "abs(flow)", "1 - heat"]
 #: Readings of every bar, from the candles and the calendar. What the provided tables lack (quotes, chains and members
 #: of these symbols) has stand-ins made of the bars: the body's share of the range for the spread, momenta for members.
 #: Events are dense there, so one is near within ten minutes, not two days.
@@ -86,8 +89,9 @@ READINGS = {
     "event_score": "100 * " + wavg([(0.3, c01("1 - CAST(seconds_to_next AS DOUBLE) / 600")), (0.2, c01("(CAST(multiplier AS DOUBLE) - 1) / 4"))]), "event_conf": "0.6", "hours_to_event": "CAST(seconds_to_next AS DOUBLE) / 3600",
     "frozen": "CASE WHEN multiplier >= 3 AND seconds_to_next < 600 THEN 1 ELSE 0 END",
     "liquidity_score": "100 * least(1.0, rvol / 2)", "liquidity_conf": "0.6", "spread_pct": "@div(abs(close - open), high - low)",
-    "options_score": "50 - 50 * s5", "options_conf": "CASE WHEN s5 IS NOT NULL THEN 0.5 END", "breadth_quality": "avg(CASE WHEN l.close > l.open THEN 1 ELSE 0 END) OVER (PARTITION BY l.ts)", "breadth_conf": "0.5",
-    "transition_score": "50 * abs(level - was)", "transition_conf": c01("CAST(n AS DOUBLE) / 50"), "market_confidence": "100 * " + mean("abs(level)", "1 - heat", "abs(place)"), "feature_quality": "CAST(n AS DOUBLE) / 50",
+    "options_score": "50 - 50 * s5", "options_conf": "CASE WHEN s5 IS NOT NULL THEN 0.5 END",
+    "transition_score": "50 * abs(level - was)", "transition_conf": c01("CAST(n AS DOUBLE) / 50"), "market_confidence": "100 * " + mean(*INPUTS),
+    "market_confidence_conf": "0.6 * (" + " + ".join(f"CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END" for x in INPUTS) + ") / CAST(6 AS DOUBLE) + 0.4 * " + c01("(l.rn - 1) / CAST(5 AS DOUBLE)"), "feature_quality": "CAST(n AS DOUBLE) / 50",
     "probability": "0.5 + 0.4 * level", "calibration_conf": "0.75", "agreement_pct": "(CASE WHEN s5 * level > 0 THEN 1 ELSE 0 END + CASE WHEN s20 * level > 0 THEN 1 ELSE 0 END + CASE WHEN s50 * level > 0 THEN 1 ELSE 0 END) / CAST(3 AS DOUBLE)", "model_conf": "abs(level)",
     "mean_similarity": "CASE WHEN n = 50 THEN 1 - heat END", "win_rate": "CASE WHEN n = 50 THEN wins END", "average_return": "CASE WHEN n = 50 THEN gain END", "var95": "CASE WHEN n = 50 THEN greatest(0.0, 1.645 * noise - gain) END",
 }
