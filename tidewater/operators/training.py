@@ -70,9 +70,9 @@ upward AS (SELECT *, CASE WHEN rise IS NOT NULL AND fall IS NOT NULL THEN CASE W
 downward AS (SELECT *, CASE WHEN close < bottom AND above = 0 THEN 1 ELSE 0 END AS under FROM upward),
 broken AS (SELECT *, above - CASE WHEN under = 1 AND sum(under) OVER (PARTITION BY symbol, n_bottom ORDER BY ts ROWS UNBOUNDED PRECEDING) = 1 THEN 1 ELSE 0 END AS bos FROM downward),
 aged AS (SELECT *, rn - @last_nn(CASE WHEN bos <> 0 THEN rn END) {_SO_FAR} AS age, @last_nn(CASE WHEN bos <> 0 THEN bos END) {_SO_FAR} AS latest FROM broken),
-biased AS (SELECT *, CAST(greatest(-1.0, least(1.0, 0.5 * trend + 0.3 * CASE WHEN age <= 10 THEN latest * (1 - CAST(age AS DOUBLE) / 10) ELSE 0 END + 0.2 * tanh((hh - ll) / 3))) AS DOUBLE) AS bias, CASE WHEN close > 0 THEN away / close * 100 END AS zone FROM aged)
+biased AS (SELECT *, CASE WHEN trend IS NOT NULL THEN CAST(greatest(-1.0, least(1.0, 0.5 * trend + 0.3 * CASE WHEN age <= 10 THEN latest * (1 - CAST(age AS DOUBLE) / 10) ELSE 0 END + 0.2 * tanh((hh - ll) / 3))) AS DOUBLE) END AS bias, CASE WHEN close > 0 THEN away / close * 100 END AS zone FROM aged)
 SELECT symbol, ts, CAST(trend AS DOUBLE) AS trend, CAST(bos AS DOUBLE) AS bos, CAST(CASE WHEN coalesce(trend, 0) * bos < 0 THEN bos ELSE 0 END AS DOUBLE) AS choch, bias,
-  CASE WHEN close > 0 THEN greatest(0.05, least(0.95, 0.5 + 0.3 * bias + 0.2 * (1 - least(abs(top - close) / close * 100, 2.0) / 2))) END AS breakout_prob,
+  CASE WHEN close > 0 AND bias IS NOT NULL AND top IS NOT NULL THEN greatest(0.05, least(0.95, 0.5 + 0.3 * bias + 0.2 * (1 - least(abs(top - close) / close * 100, 2.0) / 2))) END AS breakout_prob,
   CASE WHEN zone IS NOT NULL THEN greatest(0.05, least(0.95, 0.15 + 0.7 * (1 - least(zone, 2.0) / 2))) END AS sweep_prob FROM biased"""
 operator("m09_structure_windows", "Market structure of every bar by windows alone.", f"SELECT symbol, ts, trend, bos, choch, " + ", ".join(f"@r6({k}) AS {k}" for k in ("bias", "breakout_prob", "sweep_prob")) + " FROM {structure}", structure=STRUCTURE)
 
