@@ -89,7 +89,7 @@ m AS (SELECT symbol, ts, close, volume, lr, @div(close - lag(close, 20) OVER ({P
   @div(volume, avg(volume) {over(20, 1)}) AS rvol, sum(CASE WHEN close > pc THEN volume WHEN close < pc THEN -volume ELSE 0 END) OVER ({P} ROWS UNBOUNDED PRECEDING) AS obv,
   CASE WHEN count(lr) {over(20)} = 20 THEN round(stddev_pop(lr) {over(20)} * sqrt(252) * 100, 9) END AS hist, avg(lr) OVER (PARTITION BY ts) AS market FROM rets),
 h AS (SELECT *, mom - lag(mom) OVER ({P}) AS acc, {zscore("obv")} AS obv_z, @list_agg(hist) {over(100)} AS held, count(hist) {over(100)} AS n, CASE WHEN count(lr) {over(20)} = 20 THEN sum(lr - market) {over(20)} * 100 END AS strength, avg(CASE WHEN lr > market THEN CAST(1 AS DOUBLE) WHEN lr IS NOT NULL THEN CAST(0 AS DOUBLE) END) {over(20)} AS beats FROM m)
-SELECT symbol, ts, mom, acc, far_high, far_low, rvol, obv_z, CASE WHEN hist IS NOT NULL AND n >= 10 THEN least(2.0, floor(3 * @div(@size(@filter(held, @L(x) x < hist)), n))) END AS regime, close * hist / 100 * sqrt(CAST(20 AS DOUBLE) / 252) AS move, strength, beats FROM h"""
+SELECT symbol, ts, mom, acc, far_high, far_low, rvol, obv_z, CASE WHEN hist IS NOT NULL AND n >= 10 THEN CAST(least(2.0, floor(3 * @div(@size(@filter(held, @L(x) x < hist)), n))) AS DOUBLE) END AS regime, close * hist / 100 * sqrt(CAST(20 AS DOUBLE) / 252) AS move, strength, beats FROM h"""
 
 
 def _long(relation: str, symbol: str, pairs: dict[str, str]) -> str:

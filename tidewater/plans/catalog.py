@@ -7,23 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 def _catalog():
-    from tidewater.operators import candidates, decision, engines, readouts, rolling, scoring, snapshots, statistics, store, support, training  # noqa: F401  definitions register themselves
+    from tidewater.operators import analogs, candidates, decision, engines, readouts, rolling, scoring, snapshots, statistics, store, support, training  # noqa: F401  definitions register themselves
     from tidewater.plans.dialect import CATALOG
 
     return CATALOG
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import engines, folds, newswords, readouts, training
+    from tidewater.operators import analogs, engines, folds, newswords, readouts, training
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.operators import newswords, readouts, training
+    from tidewater.operators import analogs, newswords, readouts, training
     from tidewater.plans import oracles
 
-    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql()
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql() | analogs.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
