@@ -136,7 +136,14 @@ def test_explanations_and_attributions(spark, fitted):
     first = {(r[0], r[1]): r for r in rows}
     some = spark.createDataFrame(list(first.values())[:6], df.schema)
     top = m.explained(some, trained, ["symbol", "ts"], m.SCHEMA, 2).collect()
-    assert len(top) == 6 * 4 * 2 and all(r["feature"] == "a" for r in top if r["rank"] == 1 and abs(r["contribution"]) > 0.3)
+    assert len(top) == 6 * 4 * 2
+    for r in some.collect():
+        std = [0.0 if r[f] is None or trained.deviations[k] == 0 else (r[f] - trained.means[k]) / trained.deviations[k] for k, f in enumerate(FEATURES)]
+        for e in trained.members:
+            w = e.model.weights if isinstance(e.model, m.Linear) else e.model.importance(3)
+            want = sorted(((round(w[k] * std[k], 6), f) for k, f in enumerate(FEATURES)), key=lambda c: -abs(c[0]))[:2]
+            own = sorted((t["rank"], t["feature"], t["contribution"]) for t in top if (t["symbol"], t["ts"], t["model"]) == (r["symbol"], r["ts"], e.name))
+            assert [(f, c) for _, f, c in own] == [(f, pytest.approx(c, abs=2e-6)) for c, f in want]
     value = {(r["symbol"], r["ts"], r["feature"]): r["contribution"] for r in m.attributed(some, trained, ["symbol", "ts"], m.SCHEMA, 3).collect()}
     total = sum(x.weight for x in trained.members)
     for r in some.collect():
