@@ -14,9 +14,9 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import analogs, engines, folds, members, newswords, readouts, training
+    from tidewater.operators import analogs, engines, folds, members, newswords, readouts, selection, training
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
