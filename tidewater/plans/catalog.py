@@ -14,16 +14,16 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import analogs, engines, folds, lifecycle, members, newswords, readouts, selection, training
+    from tidewater.operators import analogs, engines, folds, lifecycle, members, newswords, payloads, readouts, selection, training
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES | payloads.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.operators import analogs, lifecycle, newswords, readouts, training
+    from tidewater.operators import analogs, lifecycle, newswords, payloads, readouts, training
     from tidewater.plans import oracles
 
-    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql() | analogs.oracle_sql() | lifecycle.oracle_sql()
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql() | analogs.oracle_sql() | lifecycle.oracle_sql() | payloads.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

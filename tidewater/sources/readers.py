@@ -31,6 +31,39 @@ def delivery_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.where("pct IS NOT NULL AND ts IS NOT NULL")
 
 
+def delivery_text(raw: DataFrame, text: str = "body") -> DataFrame:
+    """symbol, ts, quantity, delivered, pct from whole delivery files as text: columns by name, equity series only; lines that are
+    short, without a share or unreadable drop; of a file's lines for one symbol the last counts."""
+    lines = raw.select(F.monotonically_increasing_id().alias("_file"), F.split(F.col(text), "\r?\n").alias("l"))
+    lines = lines.select("_file", F.transform(F.split(F.col("l")[0], ","), lambda c: F.trim(c)).alias("names"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1)))).alias("n", "line"))
+    rows = lines.select("_file", "n", "names", F.split("line", ",").alias("r")).where(F.size("r") >= F.size("names"))
+    cell = lambda k: F.trim(F.get("r", F.array_position("names", F.lit(k)).cast("int") - 1))
+    number = lambda k: F.coalesce(F.nullif(cell(k), F.lit("")), F.lit("0")).try_cast("double")
+    ts = F.to_utc_timestamp(F.try_to_timestamp(cell("DATE1"), F.lit("dd-MMM-yyyy")), "Asia/Kolkata")
+    out = rows.where(cell("SERIES") == "EQ").select("_file", "n", F.upper(cell("SYMBOL")).alias("symbol"), ts.alias("ts"), number("TTL_TRD_QNTY").alias("quantity"), number("DELIV_QTY").alias("delivered"), cell("DELIV_PER").try_cast("double").alias("pct"))
+    whole = out.where("ts IS NOT NULL AND pct IS NOT NULL AND quantity IS NOT NULL AND delivered IS NOT NULL")
+    last = whole.groupBy("_file", "symbol").agg(F.max_by(F.struct("ts", "quantity", "delivered", "pct"), "n").alias("r"))
+    return last.select("symbol", "r.*")
+
+
+FEED = "struct<channel:struct<item:array<struct<title:string,description:string,link:string,pubDate:string,source:struct<_VALUE:string,_url:string>>>>>"
+
+
+def feed_items(raw: DataFrame, fallback: str, text: str = "body") -> DataFrame:
+    """source (the item's own, else ``fallback``), title, body, url, published_at of feeds as text; items without a title drop."""
+    d = raw.select(F.explode(F.from_xml(F.col(text), FEED, {"rowTag": "rss"})["channel"]["item"]).alias("i"))
+    date = F.try_to_timestamp(F.regexp_replace("i.pubDate", "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    own = F.nullif(F.trim("i.source._VALUE"), F.lit(""))
+    out = d.select(F.coalesce(own, F.lit(fallback)).alias("source"), clean_text(F.col("i.title")).alias("title"), clean_text(F.coalesce("i.description", F.lit(""))).alias("body"), F.trim("i.link").alias("url"), date.alias("published_at"))
+    return out.where("title <> ''")
+
+
+def iso_time(c: Column) -> Column:
+    """A moment from ISO text: without a zone it is UTC (the session's zone must be), unreadable it is null."""
+    whole = c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    return F.when(whole, F.coalesce(c.try_cast("timestamp"), F.lit(None).cast("timestamp")))
+
+
 def clean_text(c: Column) -> Column:
     """Markup out, white space to single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "\\s+", " "))
@@ -65,9 +98,9 @@ def flow_rows(raw: DataFrame, text: str = "body") -> DataFrame:
 
 def tick_string(raw: DataFrame, text: str = "body") -> DataFrame:
     """Ticks from the second of two JSON arrays that ``#@#`` joins; unreadable times drop."""
-    kind = "array<struct<dttm:string,value1:string>>"
+    kind = "array<struct<date:string,value1:string>>"
     d = raw.select("symbol", F.explode(F.from_json(F.split(F.col(text), "#@#")[1], kind)).alias("t"))
-    d = d.select("symbol", F.to_utc_timestamp(F.expr("try_to_timestamp(t.dttm, 'EEE MMM dd yyyy HH:mm:ss')"), "Asia/Kolkata").alias("ts"), F.expr("try_cast(t.value1 AS double)").alias("ltp"))
+    d = d.select("symbol", F.to_utc_timestamp(F.expr("try_to_timestamp(regexp_replace(t.date, '^[A-Za-z]{3} ', ''), 'MMM dd yyyy HH:mm:ss')"), "Asia/Kolkata").alias("ts"), F.expr("try_cast(t.value1 AS double)").alias("ltp"))
     return d.where("ts IS NOT NULL AND ltp IS NOT NULL")
 
 
