@@ -99,7 +99,7 @@ def flow_rows(raw: DataFrame, text: str = "body") -> DataFrame:
 def tick_string(raw: DataFrame, text: str = "body") -> DataFrame:
     """Ticks from the second of two JSON arrays that ``#@#`` joins; unreadable times drop."""
     kind = "array<struct<date:string,value1:string>>"
-    d = raw.select("symbol", F.explode(F.from_json(F.split(F.col(text), "#@#")[1], kind)).alias("t"))
+    d = raw.select("symbol", F.explode(F.from_json(F.get(F.split(F.col(text), "#@#"), 1), kind)).alias("t"))
     d = d.select("symbol", F.to_utc_timestamp(F.expr("try_to_timestamp(regexp_replace(t.date, '^[A-Za-z]{3} ', ''), 'MMM dd yyyy HH:mm:ss')"), "Asia/Kolkata").alias("ts"), F.expr("try_cast(t.value1 AS double)").alias("ltp"))
     return d.where("ts IS NOT NULL AND ltp IS NOT NULL")
 
