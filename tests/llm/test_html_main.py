@@ -85,6 +85,44 @@ def test_names_that_hold_a_mark():
     assert extract(f"<article><p>the story</p></article>{reader}") == "the story"
 
 
+LONG = "Long paragraph of prose that says something about nothing in many words. " * 4
+
+
+def test_no_mark_hides_most_of_a_page_without_an_article():
+    want = LONG.strip()
+    for page in (
+        f'<body><div class="main-content tags"><p>{LONG}',
+        f'<div class="post social"><p>{LONG}</div><div class="foot"><p>x',
+        f'<body><form id="aspnetForm"><div class="nav">one two</div><div class="content"><p>{LONG}',
+        f'<form><table><tr><td class="sidebar">a<td><p>{LONG}</table></form>',
+        f'<div class="no-comments has-sidebar"><p>{LONG}',
+    ):
+        assert extract(page) == want, page
+    assert extract(f'<div><p>{LONG}</p></div><form><p>{LONG}</form>') == want  # a form as large as the text stays out
+    assert extract(f'<article><p>short</p></article><div id="comments"><p>{LONG * 5}</div>') == "short"
+
+
+def test_composed_names_are_marks():
+    for name in ("advertorial", "ad-container-300x250", "google-ad", "promo-box-wide", "js-ad", "adbox", "newsletter-signup-form", "comments-thread", "sponsored-by-x"):
+        assert extract(f'<div class="c"><p>{LONG}</p><div class="{name}"><p>LEAK {LONG[:140]}</div></div>') == LONG.strip(), name
+        assert extract(f'<article><p>{LONG}</p><section id="{name}"><p>LEAK</section></article>') == LONG.strip(), name
+
+
+def test_containers_side_by_side():
+    intro = f'<div class="story"><div class="intro"><p>INTRO {LONG}</div><div class="body"><p>BODY {LONG}</div></div>'
+    assert extract(f"<body>{intro}<div><p>below</p></div>") == f"INTRO {LONG.strip()}\n\nBODY {LONG.strip()}"
+    assert extract(f'<div id="c"><h1>T</h1><section><p>{LONG}</section><section><p>{LONG}</section></div>') == f"T\n\n{LONG.strip()}\n\n{LONG.strip()}"
+    links = "".join(f'<li><a href="{k}">another story to read {k}</a></li>' for k in range(9))
+    assert extract(f'<div class="page"><div class="text"><p>{LONG}</div><div class="rail"><ul>{links}</ul></div></div>') == LONG.strip()
+    assert extract(f'<div class="page"><div class="text"><p>{LONG}</div><div class="rail"><p>short note</p></div></div>') == LONG.strip()
+
+
+def test_open_navigation_hides_nothing():
+    assert LONG.strip() in extract(f'<body><nav><a href="x">home</a><div><p>{LONG}</div></body>')
+    assert extract(f'<nav><a href="x">home</a></nav><div><p>{LONG}</div>') == LONG.strip()
+    assert LONG.strip() in extract(f'<div><header><h1>t</h1></div><div><p>{LONG}</div>')
+
+
 def test_frame_votes_nulls_and_repeats(spark):
     tpl = '<html><body><div class="side{0}"><p>{1}</p></div><div class="main{0}"><p>{2}</p></div></body></html>'
     rows = [(i, "http://h.example/x", tpl.format(i, "menu words", "body text of the page " * 3), "t") for i in range(5)]

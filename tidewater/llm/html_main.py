@@ -8,8 +8,12 @@ or has no host, uses its own best container.
 Defined results
 - null html is empty and gives an empty text; unclosed, misnested and stray tags are tolerated; a head or select whose
   end tag is left out ends where a block begins that can't be inside it.
-- an element is left out for its tag (:data:`DROPPED`, inline ones too) or for a class, id or role that says so as a whole;
-  a name that merely holds such a word leaves it in, and no name hides the only article of a page.
+- an element is left out for its tag (:data:`DROPPED`, inline ones too), as a form, or for a class, id or role that says so:
+  as a whole, or by a word that is never an article's (:data:`STRONG`) and isn't negated. A page without an ``article`` or
+  ``main`` to go by keeps the marked element or form that holds over `MOST` times the text of all that is unmarked, and more
+  than two blocks of `PROSE` characters.
+- an element of navigation that is never closed hides nothing.
+- without an ``article`` or ``main``, a container widens to its parent (not to the body) while all beside it reads as prose.
 - ties between containers go to the outer, earlier one; between paths to the smaller hash; repeated rows repeat.
 - other columns are ignored; an empty table gives no rows.
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewater.session import cut, sized_join
 
 #: Elements whose content is never main text.
-DROPPED = set("aside button datalist dialog footer form header iframe input label menu nav noscript object option select svg template textarea head title".split())
+DROPPED = set("aside button datalist dialog footer header iframe input label menu nav noscript object option select svg template textarea head title".split())
 #: Words of class and id that mark what isn't the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -45,6 +49,13 @@ BESIDE = set(
     "main media menu news outer page panel post posts primary reader right row secondary section site slot small stories story sub "
     "sticky text top user unit widget wrap wrapper".split()
 )
+#: Words that mark whatever name they stand in, and words that take such a mark back.
+STRONG = set("ad adbox ads advert advertisement advertorial adverts comment comments consent cookie cookies disqus newsletter promo promoted sponsor sponsored".split())
+NEGATED = set("has hide no non with without".split())
+#: Elements that hide the rest of a page if their end tag is missing.
+UNCLOSED = set("aside footer header menu nav".split())
+MOST = 3
+PROSE = 80  # characters of a block that reads as prose
 #: Roles of what isn't the article.
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BLOCKS = set(
@@ -75,16 +86,17 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "drop", "mark", "parent", "score", "index", "own")
+    __slots__ = ("tag", "path", "drop", "mark", "parent", "score", "index", "own", "size", "prose")
 
     def __init__(self, tag: str, path: str, drop: bool, mark: bool, parent, index: int):
         self.tag, self.path, self.drop, self.mark, self.parent, self.index = tag, path, drop, mark, parent, index
-        self.score, self.own = 0, 0
+        self.score, self.own, self.size, self.prose = 0, 0, 0, 0
 
 
 def marked(attrs: dict[str, str]) -> bool:
     """Whether a class, the id or a role says that an element isn't the article: a name counts only if all its words are
-    marks or stand beside them ("site-header" does, "has-sidebar", "no-comments" and "share-price" don't)."""
+    marks or stand beside them ("site-header" does, "has-sidebar" and "share-price" don't), or one is strong and none negates it
+    ("ad-container-300x250" does, "no-comments" doesn't)."""
     for kind, value in attrs.items():
         for name in value.lower().split():
             words = _WORD.findall(name)
@@ -93,11 +105,14 @@ def marked(attrs: dict[str, str]) -> bool:
                     return True
             elif any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
                 return True
+            elif any(w in STRONG for w in words) and not any(w in NEGATED for w in words):
+                return True
     return False
 
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """Containers in page order; kept blocks as (container, text) in page order."""
+def parse(page: str, open_ones: frozenset[str] = frozenset()) -> tuple[list[_Node], list[tuple[_Node, str]]]:
+    """Containers in page order; kept blocks as (container, text) in page order. ``open_ones``: tags that hide nothing here."""
+    unclosed: set[str] = set()
     root = _Node("", "", False, False, None, 0)
     stack = [root]
     nodes: list[_Node] = [root]
@@ -129,9 +144,11 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if m[2]:
             if tag in BLOCKS:
                 flush()
-            through = tag in BLOCKS or tag == "a" or tag in DROPPED  # ends open blocks inside it too
+            through = tag in BLOCKS or tag == "a" or tag in DROPPED or tag == "form"  # ends open blocks inside it too
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
+                    if through:
+                        unclosed.update(n.tag for n in stack[k + 1 :] if n.tag in UNCLOSED)
                     if through or not any(n.tag in BLOCKS for n in stack[k + 1 :]):
                         del stack[k:]
                     break
@@ -170,10 +187,13 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if tag in CONTAINERS and path.count("/") < DEEPEST:
             general = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").lower().split()}))
             path = f"{above.path}/{tag}.{general}" if general else f"{above.path}/{tag}"
-        mark = bool(attrs) and tag in BLOCKS and tag not in KEPT_WHOLE and marked(attrs)
-        n = _Node(tag, path, above.drop or tag in DROPPED, mark, above, len(nodes))
+        mark = tag == "form" or bool(attrs) and tag in BLOCKS and tag not in KEPT_WHOLE and marked(attrs)
+        n = _Node(tag, path, above.drop or tag in DROPPED and tag not in open_ones, mark, above, len(nodes))
         nodes.append(n)
         stack.append(n)
+    unclosed.update(n.tag for n in stack if n.tag in UNCLOSED)
+    if unclosed - open_ones:
+        return parse(page, open_ones | unclosed)
     tail = _OPENS.split(page[at:], maxsplit=1)[0]
     if tail and not stack[-1].drop:
         parts.append(tail)
@@ -191,6 +211,8 @@ def _scored(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> list[tup
                 n.mark = False
                 n = n.parent
         hidden = _hidden(nodes)
+    elif not whole:
+        hidden = _lifted(nodes, found, hidden)
     blocks = []
     for top, text, links in found:
         if hidden[top.index]:
@@ -199,12 +221,39 @@ def _scored(nodes: list[_Node], found: list[tuple[_Node, str, int]]) -> list[tup
         blocks.append((c, text))
         gain = max(0, len(text) - 2 * links)
         c.own += gain
+        c.size += len(text)
+        c.prose += len(text) >= PROSE
         c.score += 2 * gain
         if c.parent is not None:
             _home(c.parent).score += gain
     return blocks
 
 
+def _lifted(nodes: list[_Node], found: list[tuple[_Node, str, int]], hidden: list[bool]) -> list[bool]:
+    """Marks of a page that names no article: one around over ``MOST`` times the text of all that is unmarked can't be meant, nor
+    then can those around it. What lies in a mark of its own inside isn't counted for the outer one."""
+    while True:
+        held: dict[int, int] = {}
+        free = 0
+        for top, text, links in found:
+            gain = max(0, len(text) - 2 * links)
+            n = top
+            while n is not None and not n.mark:
+                n = n.parent
+            if n is None:
+                free += gain
+            else:
+                held[n.index] = held.get(n.index, 0) + gain
+        most = max(held, key=lambda k: (held[k], -k), default=None)
+        if most is None or held[most] <= max(MOST * free, 2 * PROSE):
+            return hidden
+        n = nodes[most]
+        while n is not None:
+            n.mark = False
+            n = n.parent
+        hidden = _hidden(nodes)
+
+
 def _hidden(nodes: list[_Node]) -> list[bool]:
     out: list[bool] = []
     for n in nodes:
@@ -239,20 +288,35 @@ def _whole(top: _Node, nodes: list[_Node]) -> _Node:
         above.append(above[-1].parent)
     out = next((n for tag in ("article", "main") for n in above if n.tag == tag), None)
     if out is None:
-        held = [n.own for n in nodes]
-        for n in reversed(nodes[1:]):
-            held[n.parent.index] += held[n.index]
-        out, inside = top, held[top.index]
-        for n in above[1:]:
-            if n.tag in ("body", "html", "") or held[n.index] != inside + n.own:
-                break
-            if n.own:
-                out = n
-            inside = held[n.index]
+        out = _widened(top, above, nodes)
     out.score = max(out.score, top.score)
     return out
 
 
+def _widened(top: _Node, above: list[_Node], nodes: list[_Node]) -> _Node:
+    """The outermost ancestor below the body whose containers all read as prose beside ``top``: few links, and a block of some length
+    in each. One that adds nothing is passed over."""
+    held, size, prose = [n.own for n in nodes], [n.size for n in nodes], [n.prose for n in nodes]
+    inner: dict[int, list[int]] = {}
+    for n in reversed(nodes[1:]):
+        for values in (held, size, prose):
+            values[n.parent.index] += values[n.index]
+        if n.tag in CONTAINERS and size[n.index]:
+            inner.setdefault(_home(n.parent).index, []).append(n.index)
+    out = top
+    for parent in above[1:]:
+        if parent.tag in ("body", "html", ""):
+            break
+        if parent.tag not in CONTAINERS:
+            continue
+        beside = [k for k in inner.get(parent.index, []) if nodes[k] not in above]
+        if any(2 * held[k] < size[k] or not prose[k] for k in beside):
+            break
+        if parent.own or beside:
+            out = parent
+    return out
+
+
 def extract(page: str | None, winner: int | None = None) -> str:
     """Blocks of the containers on the winning path (or the page's own best), joined by an empty line."""
     if not page:
