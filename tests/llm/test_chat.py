@@ -43,6 +43,13 @@ def test_no_control_string_survives_in_a_body():
         ({"prompt": "p", "chosen": "c", "rejected": "r"}, [("user", "p"), ("assistant", "c")]),
         ({"prompt": "p", "chosen": [{"role": "user", "content": "p"}, {"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
         ({"system": "s", "question": "q", "answer": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"prompt": [{"role": "user", "content": "p"}], "chosen": [{"role": "assistant", "content": "c"}], "rejected": [{"role": "assistant", "content": "r"}]}, [("user", "p"), ("assistant", "c")]),
+        ({"prompt": [{"role": "user", "content": "p"}], "completion": [{"role": "assistant", "content": "c"}]}, [("user", "p"), ("assistant", "c")]),
+        ({"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}, "loose", {"who": "x"}, {"role": "user"}]}, [("user", "a"), ("assistant", "b"), ("unknown", "loose"), ("unknown", '{"who": "x"}'), ("user", "")]),
+        ({"conversations": [{"from": "human", "value": "a"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]),
+        ({"conversations": [{"role": "user", "content": "a"}]}, [("user", "a")]),
+        ({"system_prompt": "s", "question": "q", "response": "r"}, [("system", "s"), ("user", "q"), ("assistant", "r")]),
+        ({"inputs": "i", "targets": "t"}, [("user", "i"), ("assistant", "t")]),
         ({"unknown": 1}, [("unknown", '{"unknown": 1}')]),
         (None, []),
     ],

@@ -12,6 +12,9 @@ Defined results
 - a record of no known layout, or one that isn't JSON, is one turn of the role ``unknown`` that holds it as it is, under no
   mask; its mapping is null, so it can be found. A null record has no turns.
 - turns are ordered by (turn, role, text); repeated rows give repeated turns; other columns are ignored.
+- a message that lacks the mapping's fields is read by those of another layout (:data:`MESSAGES`), so that messages of several
+  layouts may mix; one that has none of them becomes a turn of the role ``unknown`` that holds it as JSON.
+- fields beside those of the chosen mapping (a rejected answer, a prompt that the messages repeat, ids) are no turns.
 - fields that no mapping knows change neither the fingerprint nor the mapping; an empty table gives no rows.
 """
 
@@ -30,20 +33,29 @@ from pyspark.sql import functions as F
 #: Strings that no text may hold unescaped.
 CONTROL = ["</s>", "<s>", "[/INST]", "[INST]"]
 
-#: Layouts. ``each``: an array of messages with role and text fields; ``turns``: (role, field, ...) in order, before them.
+#: Fields of a message: role, text.
+MESSAGES = [("role", "content"), ("from", "value"), ("speaker", "text"), ("role", "text"), ("role", "value")]
+#: Names that stand for a role where a message isn't in the mapping's own fields.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Layouts. ``each``: an array of messages (or several, one after the other) with role and text fields; ``turns``: (role, field, ...) in order, before them.
 MAPPINGS = [
     {"name": "messages", "each": "messages", "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "bare messages", "each": "", "role": "role", "text": "content"},
     {"name": "sharegpt", "each": "conversations", "role": "from", "text": "value", "optional": ["system"], "turns": [("system", "system")], "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
+    {"name": "conversations of roles", "each": "conversations", "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "conversation", "each": "conversation", "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "dialog", "each": "dialog", "role": "speaker", "text": "text", "roles": {"human": "user", "bot": "assistant"}},
     {"name": "preferred messages", "each": "chosen", "role": "role", "text": "content"},
+    {"name": "prompt and preferred messages", "each": ("prompt", "chosen"), "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
+    {"name": "prompt and completion messages", "each": ("prompt", "completion"), "role": "role", "text": "content", "optional": ["system"], "turns": [("system", "system")]},
     {"name": "instruction", "turns": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")], "optional": ["input", "system"]},
     {"name": "instruction response", "turns": [("user", "instruction", "context"), ("assistant", "response")], "optional": ["context"]},
     {"name": "prompt completion", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")], "optional": ["system"]},
     {"name": "prompt response", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")], "optional": ["system"]},
     {"name": "preferred answer", "turns": [("system", "system"), ("user", "prompt"), ("assistant", "chosen")], "optional": ["system"]},
     {"name": "question answer", "turns": [("system", "system"), ("user", "question", "context"), ("assistant", "answer")], "optional": ["system", "context"]},
+    {"name": "question response", "turns": [("system", "system_prompt"), ("user", "question"), ("assistant", "response")], "optional": ["system_prompt"]},
+    {"name": "inputs targets", "turns": [("user", "inputs"), ("assistant", "targets")]},
     {"name": "nested", "turns": [("user", "input.text"), ("assistant", "output.text")]},
 ]
 
@@ -65,12 +77,17 @@ def _needed(m: dict) -> list[set[str]]:
     """For each field that a mapping needs, the paths that may hold it."""
     optional = m.get("optional", [])
     out = [{f} for t in m.get("turns", []) for f in t[1:] if f not in optional]
-    if "each" in m:
-        none, text = f"{m['each']}[0]", f"{m['each']}[].{m['text']}"
-        out += [{f"{m['each']}[].{m['role']}", none}, {text, f"{text}[]", f"{text}[0]", f"{text}[].text", none}]
+    for each in _arrays(m):
+        none, text = f"{each}[0]", f"{each}[].{m['text']}"
+        out += [{f"{each}[].{m['role']}", none}, {text, f"{text}[]", f"{text}[0]", f"{text}[].text", none}]
     return out
 
 
+def _arrays(m: dict) -> tuple[str, ...]:
+    each = m.get("each", ())
+    return (each,) if isinstance(each, str) else each
+
+
 @lru_cache(1)
 def known_paths() -> frozenset[str]:
     """All fields that some mapping knows."""
@@ -114,14 +131,25 @@ def to_turns(record) -> tuple[str, str | None, list[tuple[str, str]]]:
         held = [x for f in fields if (x := _text(_get(record, f)))]
         if held or role != "system":
             turns.append((role, "\n\n".join(held)))
-    if "each" in m:
-        roles = m.get("roles", {})
-        for x in record[m["each"]] if m["each"] else record:
-            role, said = _text(_get(x, m["role"])), _get(x, m["text"])
-            turns.append((roles.get(role, role), _text(_get(x, "tool_calls") if said is None else said)))
+    for each in _arrays(m):
+        turns += [_message(x, m) for x in (_get(record, each) if each else record) or []]
     return fp, m["name"], turns
 
 
+def _message(x, m: dict) -> tuple[str, str]:
+    """(role, text) of one message: by the mapping's fields, else by the first other layout whose fields it has."""
+    has = set(x) if isinstance(x, dict) else set()
+    role, text, roles = m["role"], m["text"], m.get("roles", {})
+    if text not in has and not (role in has and "tool_calls" in has):
+        other = next((pair for pair in MESSAGES if has >= set(pair)), None)
+        if other is None and not (role in has and has <= {role, "name", "id"}):
+            return "unknown", x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        if other is not None:
+            (role, text), roles = other, ROLES
+    name, said = _text(_get(x, role)), _get(x, text)
+    return roles.get(name, name), _text(_get(x, "tool_calls") if said is None else said)
+
+
 def escape(text: str) -> str:
     text = text.replace("\\", "\\\\")
     for c in CONTROL:
