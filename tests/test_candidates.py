@@ -136,3 +136,27 @@ def test_gates_and_priority(rows, got):
     assert {(r["symbol"], r["ts"]): r["reasons"] for r in got("z11_qualification")} == {k: w["reasons"] for k, w in want.items()}
     assert sum(not w["reasons"] for w in want.values()) > 10
     assert all(near(r["priority"], want[r["symbol"], r["ts"]]["rank"]) for r in got("h69_priority_mean"))
+
+
+def test_market_confidence_with_its_terms(spark):
+    rng = random.Random(27)
+    rows = [(s, k, *[None if rng.random() < 0.25 or k == 9 else rng.random() for _ in c.SIX]) for s in "ab" for k in range(45)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, " + ", ".join(f"{k} double" for k in c.SIX))
+    got = {(r["symbol"], r["ts"]): r for r in CATALOG["n27_confidence_terms"].apply(spark, inputs=df).collect()}
+    seen = set()
+    for s in "ab":
+        past = []
+        for _, k, *x in (r for r in rows if r[0] == s):
+            here = [v for v in x if v is not None]
+            score = 100 * sum(here) / len(here) if here else 50.0
+            series = [*past[-20:], score]
+            slope = statistics.linear_regression(range(len(series)), series).slope if len(series) > 1 else 0.0
+            w = [max(0.0, 1 - abs(score / 100 - a) / 0.4) for a in (0, 0.5, 1)]
+            r = got[s, k]
+            assert near(r["score"], score) and near(r["trend_slope"], slope) and near(r["completeness"], len(here) / 6)
+            assert near(r["confidence"], clamp(0.6 * len(here) / 6 + 0.4 * clamp((len(series) - 1) / 5)))
+            assert r["grade"] == next((g for t, g in ((80, "A"), (65, "B"), (50, "C"), (35, "D")) if score >= t), "F") and r["trend"] == ("improving" if slope > 1 else "declining" if slope < -1 else "stable")
+            assert all(near(r[n], v / sum(w) if sum(w) else 1 / 3) for n, v in zip(("s_low", "s_moderate", "s_high"), w))
+            past.append(score)
+            seen.add((r["grade"], r["trend"]))
+    assert len(seen) > 5

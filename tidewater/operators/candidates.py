@@ -155,3 +155,21 @@ decided("h68_qualified", "Qualified symbols only.", f"{ROW} SELECT symbol, ts, d
 decided("h69_priority_mean", "Mean of the priority factors that exist; zero with none.", f"{CONVICTION} SELECT symbol, ts, @r6(coalesce({mean(*FACTORS)}, 0.0)) AS priority FROM h")
 decided("h73_reason_text", "Reason text of each candidate.", f"{ROW} SELECT symbol, ts, direction || ': ' || {_why} || ' and ' || CAST(@size(fired) - 1 AS STRING) || ' more' AS reason FROM d WHERE @size(fired) > 0")
 decided("h75_report_lookup", "Newest report row of each symbol and moment.", "r AS (SELECT label, max_by(value, id) AS confidence FROM {observations} GROUP BY label) SELECT d.symbol, d.ts, r.confidence FROM {components} d LEFT JOIN r ON d.symbol = r.label")
+
+
+# Market confidence with all its terms: six inputs, grade, trend over the scores before, level states ---------------
+# Fixed values
+HELD_SCORES, ENOUGH_SCORES, STEADY = 20, 5, 1.0
+SIX = ("data_quality", "feature_quality", "regime_certainty", "breadth", "institutional_agreement", "correlation_stability")
+CONFIDENCE_INPUTS = COMPONENTS.split("\nSELECT l.symbol, l.ts, ")[0] + "\nSELECT l.symbol, l.ts, " + ", ".join(f"{dbl(x)} AS {k}" for k, x in zip(SIX, INPUTS)) + " FROM l"
+_given = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE 1 END" for k in SIX)
+_before = f"OVER ({P} ROWS BETWEEN {HELD_SCORES} PRECEDING AND CURRENT ROW)"
+_weight = lambda a: f"greatest(0.0, 1 - abs(score / 100 - {a}) / {dbl('0.4')})"
+_whole = f"nullif({_weight('0.0')} + {_weight('0.5')} + {_weight('1.0')}, 0.0)"
+MARKET_CONFIDENCE = f"""WITH v AS (SELECT symbol, ts, coalesce(100 * {mean(*SIX)}, 50) AS score, ({_given}) / CAST(6 AS DOUBLE) AS completeness, row_number() OVER ({P}) AS rn FROM {{inputs}}),
+h AS (SELECT *, count(*) {_before} - 1 AS held, CASE WHEN count(*) {_before} > 1 THEN regr_slope(score, {dbl("rn")}) {_before} ELSE 0 END AS slope FROM v)
+SELECT symbol, ts, @r6(score) AS score, @r6({c01(f"0.6 * completeness + 0.4 * least(1.0, held / {dbl(str(ENOUGH_SCORES))})")}) AS confidence,
+  CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade,
+  CASE WHEN slope > {STEADY} THEN 'improving' WHEN slope < -{STEADY} THEN 'declining' ELSE 'stable' END AS trend, @r6(slope) AS trend_slope, @r6(completeness) AS completeness,
+  """ + ", ".join(f"@r6(coalesce({_weight(a)} / {_whole}, 1 / CAST(3 AS DOUBLE))) AS {k}" for k, a in (("s_low", "0.0"), ("s_moderate", "0.5"), ("s_high", "1.0"))) + " FROM h"
+operator("n27_confidence_terms", "Market confidence of every bar: six inputs, grade, trend over twenty scores before, states.", MARKET_CONFIDENCE, inputs=CONFIDENCE_INPUTS)

@@ -96,6 +96,22 @@ SELECT ts, @r6(level) AS level, @r6(50 + 50 * level) AS score, @r6(quality) AS q
 }
 
 
+def _market_confidence() -> str:
+    """Scores from lists, slopes from sums over a join of each bar with those before it."""
+    from tidewater.operators.candidates import CONFIDENCE_INPUTS, SIX
+
+    return f"""WITH given AS ({CONFIDENCE_INPUTS}),
+x AS (SELECT symbol, ts, list_filter([{", ".join(SIX)}], lambda v: v IS NOT NULL) AS x FROM given),
+w AS (SELECT symbol, ts, len(x) AS n, coalesce(100 * list_avg(x), 50) AS score, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM x),
+g AS (SELECT a.symbol, a.ts, any_value(a.score) AS score, any_value(a.n) / 6 AS completeness, count(*) - 1 AS held,
+  coalesce((count(*) * sum((b.rn - a.rn) * b.score) - sum(b.rn - a.rn) * sum(b.score)) / nullif(count(*) * sum((b.rn - a.rn) * (b.rn - a.rn)) - sum(b.rn - a.rn) * sum(b.rn - a.rn), 0), 0) AS slope
+  FROM w a JOIN w b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 20 AND a.rn GROUP BY a.symbol, a.ts),
+t AS (SELECT *, list_transform([0, 0.5, 1], lambda k: greatest(0, 1 - abs(score / 100 - k) / 0.4)) AS near FROM g)
+SELECT symbol, ts, @r6(score) AS score, @r6(0.6 * completeness + 0.4 * least(1, held / 5)) AS confidence, ['F', 'D', 'C', 'B', 'A'][1 + len(list_filter([35, 50, 65, 80], lambda k: score >= k))] AS grade,
+  CASE WHEN slope > 1 THEN 'improving' WHEN slope < -1 THEN 'declining' ELSE 'stable' END AS trend, @r6(slope) AS trend_slope, @r6(completeness) AS completeness,
+  @r6(coalesce(near[1] / nullif(list_sum(near), 0), 1 / 3)) AS s_low, @r6(coalesce(near[2] / nullif(list_sum(near), 0), 1 / 3)) AS s_moderate, @r6(coalesce(near[3] / nullif(list_sum(near), 0), 1 / 3)) AS s_high FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     views = {name: op.text for name, op in CATALOG.items()}
-    return {name: Operator(name, "", text, views).oracle() for name, text in TEXTS.items()}
+    return {name: Operator(name, "", text, views).oracle() for name, text in (TEXTS | {"n27_confidence_terms": _market_confidence()}).items()}
