@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.operators import rolling  # noqa: F401  its definitions come first
-from tidewater.operators.decision import LABELS
 from tidewater.operators.rolling import BARS, P, over, zscore
 from tidewater.operators import snapshots, support  # noqa: F401
 from tidewater.plans.dialect import CATALOG, Operator, operator
@@ -121,7 +120,6 @@ FEEDS = {
     "session_move": CATALOG["i01_session_move"].text, "session_drop": CATALOG["i02_session_drawdown"].text, "session_risk": CATALOG["i03_session_risk"].text,
 }
 operator("h59_training_series", "Observations of all features that the models read, in long form.", "SELECT symbol, ts, feature, timeframe, @r6(value) AS value FROM {series} WHERE value IS NOT NULL", series=SERIES, **FEEDS)
-LABELLED = f"WITH {LABELS} SELECT symbol, ts, CASE WHEN outcome IN ('profit', 'gap_profit') OR (outcome = 'timeout' AND ret > 0) THEN 1 ELSE 0 END AS target, CASE WHEN outcome = 'timeout' THEN CAST(0.5 AS DOUBLE) WHEN outcome LIKE 'gap%' THEN CAST(0.8 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS quality FROM l"
 
 
 # The as-of pass ----------------------------------------------------------------------------------------------------
@@ -173,7 +171,11 @@ def series_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Operator("", "", "SELECT * FROM {labelled}", {"labelled": LABELLED}).run(spark, sf_dir)
+    """symbol, ts, target, quality of every long entry: wins and partial successes count as 1."""
+    from tidewater.operators.labels import QUERIES as of
+
+    long = cut(of["y03_barrier_labels"](spark, sf_dir).where("direction = 'long'"))
+    return long.select("symbol", "ts", F.col("label").isin("win", "partial_success").cast("int").alias("target"), F.col("label_quality").alias("quality"))
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,11 +206,14 @@ QUERIES = {
 
 def _oracle() -> str:
     """Another shape: one as-of join of DuckDB's own for each pair of an entry and a feature, then a pivot."""
-    head = Operator("", "", "SELECT * FROM {h} UNION ALL SELECT symbol, ts, '', '', CAST(target AS DOUBLE) + quality FROM {labelled}", {"h": CATALOG["h59_training_series"].text, "labelled": LABELLED, "series": SERIES, **FEEDS}).oracle()
-    ctes = head[: head.rindex("SELECT * FROM h UNION ALL")]
+    from tidewater.operators.labels import oracle_sql as of_labels
+
+    head = Operator("", "", "SELECT 1 AS z FROM {h}", {"h": CATALOG["h59_training_series"].text, "series": SERIES, **FEEDS}).oracle()
+    ctes = head[: head.rindex("SELECT 1 AS z")]
     pairs = ", ".join(f"('{n}', {str(w == 'market').lower()})" for n, w, _ in SPECS)
     core = ", ".join(f"'{f}'" for f in CORE)
     return f"""{ctes.rstrip()},
+labelled AS (SELECT symbol, ts, CASE WHEN label IN ('win', 'partial_success') THEN 1 ELSE 0 END AS target, label_quality AS quality FROM ({of_labels()["y03_barrier_labels"]}) q WHERE direction = 'long'),
 names AS (SELECT * FROM (VALUES {pairs}) v(feature, of_market)),
 asked AS (SELECT symbol, ts, target, feature, CASE WHEN of_market THEN 'MARKET' ELSE symbol END AS whose FROM labelled, names WHERE quality >= {LEAST_QUALITY}),
 obs AS (SELECT symbol, ts, feature, max(value) AS value FROM h GROUP BY symbol, ts, feature),
