@@ -36,6 +36,31 @@ def test_language_edges(spark):
     assert langid.predict(train.limit(0), model).count() == 0
 
 
+def test_votes_against_a_plain_loop(spark):
+    texts = {"en": "the cat and the dog went with them to the house", "de": "der Hund und die Katze gingen mit ihnen in das Haus", "nl": "de hond en de kat gingen met hen naar het huis", "fi": "kissa ja koira menivat heidan kanssaan taloon", "et": "kass ja koer laksid nendega majja"}
+    rows = [(k * 10 + j, f"{t} {j} {t[j:]}", lang) for j in range(8) for k, (lang, t) in enumerate(texts.items())]
+    model = langid.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.members == {"germanic": ["de", "en", "nl"], "uralic": ["et", "fi"]} and model.pair_w["germanic"].shape == (3, langid.DIM + 1)
+    for _, text, lang in rows:
+        v = np.append(langid.features(text), 1.0)
+        family = max(model.families, key=lambda f: float(model.family_w[model.families.index(f)] @ v))
+        langs, won, by = model.members[family], {}, {}
+        pairs = [(a, b) for k, a in enumerate(langs) for b in langs[k + 1 :]]
+        for (a, b), w in zip(pairs, model.pair_w[family]):
+            x = float(w @ v)
+            won[a if x >= 0 else b] = won.get(a if x >= 0 else b, 0) + 1
+            by[a], by[b] = by.get(a, 0) + np.tanh(x), by.get(b, 0) - np.tanh(x)
+        assert model.predict(text)[0] == max(langs, key=lambda k: won.get(k, 0) + by[k] / (4 * len(langs))) == lang
+
+
+def test_every_language_is_learned(spark):
+    """Languages of one text each are learned beside a frequent one."""
+    rows = [(k, f"wordof{chr(97 + k % 26) * 4} {chr(97 + k // 26) * 5} {k}", f"x{k:03d}") for k in range(40)] + [(100 + k, f"the same language again {k}", "en") for k in range(60)]
+    model = langid.fit_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sum(len(m) for m in model.members.values()) == 41 and len(model.families) == 41
+    assert sum(model.predict(t)[0] == lang for _, t, lang in rows) == 100
+
+
 def test_quality_on_held_out_rows(spark, big):
     labels = spark.read.parquet(f"{big}/labels.parquet")
     got = quality.op7_quality(spark, big).join(labels, "doc_id").where("held_out").collect()

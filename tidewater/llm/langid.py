@@ -10,10 +10,11 @@ Defined results
   to learn from, gives ``und`` throughout.
 - language, source and id are never inputs of a prediction; other columns are ignored.
 
-Fitting reads a bounded sample: about ``per_language`` labelled texts of each of the ``LANGUAGES`` most frequent
-languages, chosen by a hash of the id. Each machine is fitted in a task of its own: the sample's features, sparse, go once to
-each machine that learns from them (a pair's machine from both languages, a family's from up to ``PER_FAMILY`` texts in all),
-and only weights of fixed width come to the driver. Prediction reads every whole text once and shuffles nothing.
+Fitting reads a bounded sample: about ``per_language`` labelled texts of each language, chosen by a hash of the id; every
+language with a labelled text is learned. Each machine is fitted in a task of its own: the sample's features, sparse, go once
+to each machine that learns from them (a pair's machine from both languages, a family's from about ``PER_FAMILY`` texts in all),
+and only weights of fixed width come to the driver: 16 kB for each family and for each pair within one, so the model grows with
+the languages, never with the documents. Prediction reads every whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import cut, shuffle_partitions
+from tidewater.session import cut, shuffle_partitions, sized_join
 
 DIM = 4096
 PER_LANGUAGE = 600
 PER_FAMILY = 12_000  # texts that a family's machine learns from
-LANGUAGES = 512
 
 #: Language codes by family. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -68,13 +68,12 @@ def features(text: str) -> np.ndarray | None:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights (bias last) of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    xb = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype(np.float32)
-    w = v = np.zeros(xb.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     step, t = 1.0 / (1.0 + 4 * c * float(weight.max())), 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (xb @ v)) * weight
-        grad = v - 2 * c / len(y) * (xb.T @ (y * slack))
+        pull = y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * weight
+        grad = v - 2 * c / len(y) * np.append(x.T @ pull, pull.sum())
         w, old = v - step * grad, w
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         v = w + (last - 1) / t * (w - old)
@@ -152,13 +151,11 @@ def _fitted(key: tuple, table: pa.Table) -> pa.Table:
 def fit_on(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` rows of each language of ``labelled``; rows with a null text, no letter or a null language don't count."""
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text IS NOT NULL AND _lang IS NOT NULL")
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return Model()
     spark = labelled.sparkSession
+    counts = cut(rows.groupBy("_lang").agg(F.count("*").alias("_count")))
     place = F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
-    rates = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    sample = rows.withColumn("_place", place / rates[F.col("_lang")]).where("_place < 1").select("_lang", "_text", "_place")
+    rate = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_count"))
+    sample = sized_join(rows, counts, ["_lang"], "inner").withColumn("_place", place / rate).where("_place < 1").select("_lang", "_text", "_place")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +164,15 @@ def fit_on(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sample = cut(sample.mapInArrow(vectors, "lang string, place double, v binary"))
     sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model()
     langs = sorted(sizes)
     model = Model(sorted({family_of(x) for x in langs}))
     model.members = {f: [x for x in langs if family_of(x) == f] for f in model.families}
     plan = machines(langs, sizes, per_language)
     weights: dict[tuple[str, str], np.ndarray] = {}
     if plan:
-        learn = sample.join(F.broadcast(spark.createDataFrame(plan, "machine string, kind string, lang string, side int, share double")), "lang").where("place < share")  # at most LANGUAGES squared rows
+        learn = sized_join(sample, spark.createDataFrame(plan, "machine string, kind string, lang string, side int, share double"), ["lang"], "inner").where("place < share")
         got = learn.repartition(min(len(plan), shuffle_partitions(spark)), "machine").groupBy("machine", "kind").applyInArrow(lambda key, t: _fitted(key, t), "machine string, kind string, w binary")
         weights = {(r["kind"], r["machine"]): np.frombuffer(r["w"], np.float32) for r in got.collect()}
     if len(model.families) > 1:
