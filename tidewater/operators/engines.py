@@ -216,9 +216,14 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CATALOG["f22_wide_features"].run(spark, sf_dir)
 
 
-def _trend_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure of each symbol's newest ``BACK`` bars."""
     bars = Operator("", "", f"SELECT symbol, ts, high, low, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM {{candles}}) q WHERE back <= {BACK}").run(spark, sf_dir)
-    known = structure(bars)
+    return structure(bars)
+
+
+def _trend_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = structured(spark, sf_dir)
     return trend(_wide(spark, sf_dir).join(known.select("symbol", "ts", "trend", "bias", "bos", "breakout_prob"), ["symbol", "ts"], "left"), trend_history(known))
 
 
