@@ -14,16 +14,16 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import analogs, assessments, engines, folds, labels, lifecycle, members, newswords, payloads, readouts, selection, training
+    from tidewater.operators import analogs, assessments, engines, folds, labels, lifecycle, members, newswords, payloads, readouts, recurrences, selection, training
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES | payloads.QUERIES | labels.QUERIES | assessments.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES | payloads.QUERIES | labels.QUERIES | assessments.QUERIES | recurrences.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewater.operators import analogs, labels, lifecycle, newswords, payloads, readouts, training
+    from tidewater.operators import analogs, labels, lifecycle, newswords, payloads, readouts, recurrences, training
     from tidewater.plans import assessment_oracles, oracles
 
-    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql() | analogs.oracle_sql() | lifecycle.oracle_sql() | payloads.ORACLES | labels.oracle_sql() | assessment_oracles.oracle_sql()
+    return {name: op.oracle() for name, op in _catalog().items()} | readouts.oracle_sql() | oracles.oracle_sql() | newswords.ORACLES | training.oracle_sql() | analogs.oracle_sql() | lifecycle.oracle_sql() | payloads.ORACLES | labels.oracle_sql() | assessment_oracles.oracle_sql() | recurrences.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
