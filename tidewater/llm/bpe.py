@@ -61,7 +61,7 @@ def newer_characters() -> tuple[str, str]:
 
     assigned, known = regex.compile(r"\P{Cn}"), regex.compile(r"[\p{L}\p{N}]")
     library = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str
-    new = [c for c in range(0x370, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and assigned.match(chr(c))]
+    new = [ord(c) for c in assigned.findall("".join(map(chr, range(0x370, sys.maxunicode + 1)))) if unicodedata.category(c) == "Cn"]
     return ranges(new), ranges([c for c in new if known.match(chr(c)) and library(chr(c))])
 
 
