@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import payloads
 from tidewater.sources import readers
 
 
@@ -30,3 +31,18 @@ def test_iso_times(spark):
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).orderBy("k").select(readers.iso_time(F.col("t"))).collect()]
     day = lambda *a: datetime(2024, 1, 2, *a)
     assert got == [day(3, 4, 5), day(3, 4, 5), day(3, 4, 5, 500000), day(), datetime(2024, 1, 1, 21, 34, 5), None, None, None, None]
+
+
+def test_delivery_lines_leave_their_file_behind(spark):
+    raw = spark.createDataFrame([("SYMBOL,SERIES,DATE1,TTL_TRD_QNTY,DELIV_QTY,DELIV_PER\nabc,EQ,01-Jan-2024,100,45,45.5",)], "body string")
+    plan = readers.delivery_text(raw)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = next(x for x in plan.splitlines() if "Generate posexplode" in x)
+    assert "[], false" not in exploded  # the list of lines isn't kept beside each line
+
+
+def test_delivery_files_do_not_grow_with_the_table(spark, tmp_path):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_shipdate timestamp"
+    rows = [(k * 10**6, 1, k, 5.0, 0.05, datetime(2024, 1, 2)) for k in range(1, 9)] + [(8 * 10**6, 1, 8, 7.0, 0.05, datetime(2024, 1, 2))]
+    spark.createDataFrame(rows, line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    files = [r["body"] for r in payloads.delivery_payloads(spark, str(tmp_path)).collect()]
+    assert len(files) == 8 and max(len(f.split("\n")) for f in files) == 3  # a symbol's lines of a day share a file

@@ -16,15 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return Operator("", "", sql).run(spark, sf_dir)
 
 
+#: Keys of the lines that share a delivery file: a day's lines are dealt into as many files as its keys need, so no file grows with the table.
+FILE_KEYS = 1 << 20
+
+
 def delivery_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """body: one delivery file a day, with padded headers, other series, dashes, blanks, short lines."""
+    """body: delivery files of a day, one a range of keys (a symbol's lines share one), with padded headers, other series, dashes, blanks, short lines."""
     rows = _table(spark, sf_dir, "SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount FROM {lineitem}")
     line = F.concat_ws(
         ", ", F.format_string(" p%d-%d ", F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_partkey")), F.when(F.col("l_linenumber") % 3 == 0, " BE").otherwise(" EQ "), F.date_format("d", "dd-MMM-yyyy"),
         F.col("l_quantity").cast("long").cast("string"), F.floor(F.col("l_quantity") / 2).cast("string"), F.when(F.col("l_partkey") % 7 == 0, "-").when(F.col("l_partkey") % 7 == 1, " ").otherwise(F.round(F.col("l_discount") * 100, 2).cast("string")),
     )
     line = F.when(F.col("l_partkey") % 11 == 0, F.concat(F.lit("p0,"), F.lit(" EQ"))).otherwise(line)
-    return rows.groupBy("d").agg(F.concat(F.lit("SYMBOL, SERIES , DATE1, TTL_TRD_QNTY, DELIV_QTY , DELIV_PER\n"), F.concat_ws("\n", F.collect_list(line))).alias("body"))
+    keys = F.floor((F.col("l_orderkey") * 10 + F.col("l_linenumber")) / FILE_KEYS).alias("keys")
+    return rows.groupBy("d", keys).agg(F.concat(F.lit("SYMBOL, SERIES , DATE1, TTL_TRD_QNTY, DELIV_QTY , DELIV_PER\n"), F.concat_ws("\n", F.collect_list(line))).alias("body"))
 
 
 def tick_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

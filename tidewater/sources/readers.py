@@ -35,9 +35,12 @@ def delivery_text(raw: DataFrame, text: str = "body") -> DataFrame:
     """symbol, ts, quantity, delivered, pct from whole delivery files as text: columns by name, equity series only; lines that are
     short, without a share or unreadable drop; of a file's lines for one symbol the last counts."""
     lines = raw.select(F.monotonically_increasing_id().alias("_file"), F.split(F.col(text), "\r?\n").alias("l"))
-    lines = lines.select("_file", F.transform(F.split(F.col("l")[0], ","), lambda c: F.trim(c)).alias("names"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1)))).alias("n", "line"))
-    rows = lines.select("_file", "n", "names", F.split("line", ",").alias("r")).where(F.size("r") >= F.size("names"))
-    cell = lambda k: F.trim(F.get("r", F.array_position("names", F.lit(k)).cast("int") - 1))
+    lines = lines.select("_file", F.transform(F.split(F.col("l")[0], ","), lambda c: F.trim(c)).alias("names"), F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("l"))
+    places = {f"_{k}": F.array_position("names", F.lit(k)).cast("int") for k in ("SYMBOL", "SERIES", "DATE1", "TTL_TRD_QNTY", "DELIV_QTY", "DELIV_PER")}
+    # each line takes along where its columns are, not its whole file
+    lines = lines.select("_file", F.size("names").alias("_size"), *[c.alias(k) for k, c in places.items()], "l").select("_file", "_size", *places, F.posexplode("l").alias("n", "line"))
+    rows = lines.withColumn("r", F.split("line", ",")).where(F.size("r") >= F.col("_size"))
+    cell = lambda k: F.trim(F.get("r", F.col(f"_{k}") - 1))
     number = lambda k: F.coalesce(F.nullif(cell(k), F.lit("")), F.lit("0")).try_cast("double")
     ts = F.to_utc_timestamp(F.try_to_timestamp(cell("DATE1"), F.lit("dd-MMM-yyyy")), "Asia/Kolkata")
     out = rows.where(cell("SERIES") == "EQ").select("_file", "n", F.upper(cell("SYMBOL")).alias("symbol"), ts.alias("ts"), number("TTL_TRD_QNTY").alias("quantity"), number("DELIV_QTY").alias("delivered"), cell("DELIV_PER").try_cast("double").alias("pct"))
