@@ -1,6 +1,7 @@
 """Every registered query has a twin in DuckDB that gives the same rows on the smallest tables."""
 
 import math
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -47,3 +48,19 @@ def test_entry_works_without_the_llm_package():
     import __spark_entry__ as e
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) <= set(e.queries())
+
+
+def _run(spark, folder, name, **tables):
+    for t, rows in tables.items():
+        rows.write.mode("overwrite").parquet(str(folder / f"{t}.parquet"))
+    return catalog.queries()[name](spark, str(folder)).collect()
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def test_an_event_of_a_fraction_of_a_second_starts_after_its_hour(spark, tmp_path):
+    at = lambda h, us: datetime(2024, 1, 1, h, 0, 0, us)
+    rows = [(k, at(h, 0), 1, "view", 5.0, "") for k, h in enumerate(range(0, 20))] + [(100, at(10, 500_000), 1, "purchase", 5.0, ""), (101, at(15, 0), 1, "purchase", 5.0, "")]
+    got = _run(spark, tmp_path, "d13_event_activity", events=spark.createDataFrame(rows, EVENT))
+    assert sorted(r["ts"].hour for r in got) == [10, 11, 14, 15, 16]  # not 9: half a second before the window

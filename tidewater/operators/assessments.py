@@ -301,7 +301,7 @@ FROM t LEFT JOIN (SELECT * FROM z WHERE back = 1) y ON t.symbol = y.symbol WHERE
 
 
 def inputs() -> dict[str, str]:
-    return {k: op.text for k, op in CATALOG.items()} | {"structure": training.STRUCTURE} | RELATIONS
+    return {k: op.text for k, op in CATALOG.items()} | {"structure": training.STRUCTURE, "d13_event_activity": snapshots.ACTIVITY_BY_SECONDS} | RELATIONS
 
 
 def readings(name: str) -> Operator:

@@ -59,10 +59,22 @@ operator("d10_flow_scores", "Clamped flow scores and their renormalised blend.",
 operator("d11_stored_average", "Average of days' largest values, given enough days.", "SELECT label, @r6(avg(top)) AS average, count(*) AS days FROM (SELECT label, @date(ts) AS day, max(abs(value)) AS top FROM {observations} GROUP BY label, @date(ts)) q GROUP BY label HAVING count(*) >= 5")
 operator("d12_macro_score", "Signed, clamped factor scores and their weighted blend.", "WITH f AS (SELECT symbol, @div(close - avg(close) OVER (PARTITION BY symbol), stddev_pop(close) OVER (PARTITION BY symbol)) AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM {candles}), d AS (SELECT 'click' AS symbol, 1 AS sgn, 0.3 AS w UNION ALL SELECT 'view', -1, 0.2 UNION ALL SELECT 'error', -1, 0.5) SELECT @r6(sum(w * sgn * least(3.0, greatest(-3.0, z)) / 3) / sum(w)) AS composite, count(*) AS present FROM f JOIN d ON f.symbol = d.symbol WHERE k = 1")
 #: Each event is told to the full hours that its window holds, a handful each; moments then meet them by equality.
-ACTIVE = """p AS (SELECT 'error' AS kind, 2 AS pre_h, 4 AS post_h, 0.4 AS reduction UNION ALL SELECT 'purchase', 1, 1, 0.2),
-e AS (SELECT kind, reduction, CAST(ceil((@unix(ts) - pre_h * 3600) / 3600.0) AS BIGINT) AS a, @idiv(@unix(ts) + post_h * 3600, 3600) AS b FROM {events} JOIN p ON kind = event_type),
-x AS (SELECT kind, reduction, @explode(@seq(a, b)) AS hour FROM e)"""
-operator("d13_event_activity", "Events whose window, by their kind's profile, holds the moment.", f"WITH {ACTIVE}, n AS (SELECT hour, count(*) AS active, @r6(least(1.0, sum(reduction))) AS reduction, max(kind) AS kind FROM x GROUP BY hour) SELECT c.ts, active, reduction, kind FROM {{reference}} c JOIN n ON @idiv(@unix(c.ts), 3600) = hour")
+PROFILES = "p AS (SELECT 'error' AS kind, 2 AS pre_h, 4 AS post_h, 0.4 AS reduction UNION ALL SELECT 'purchase', 1, 1, 0.2)"
+ACTIVE = """e AS (SELECT kind, reduction, CAST(ceil((@unix(ts) - pre_h * 3600) / 3600.0) AS BIGINT) AS a, @idiv(@unix(ts) + post_h * 3600, 3600) AS b FROM {events} JOIN p ON kind = event_type)"""
+#: A window starts at the event's own microsecond: the hour that the event lies in isn't the first whole one within.
+ACTIVE_EXACTLY = """w AS (SELECT kind, reduction, @micros(ts) - pre_h * 3600000000 + 3599999999 AS s, @micros(ts) + post_h * 3600000000 AS t FROM {events} JOIN p ON kind = event_type),
+e AS (SELECT kind, reduction, @idiv(s - @pmod(s, 3600000000), 3600000000) AS a, @idiv(t - @pmod(t, 3600000000), 3600000000) AS b FROM w)"""
+
+
+def activity(windows: str) -> str:
+    return f"""WITH {PROFILES},
+{windows},
+x AS (SELECT kind, reduction, @explode(@seq(a, b)) AS hour FROM e), n AS (SELECT hour, count(*) AS active, @r6(least(1.0, sum(reduction))) AS reduction, max(kind) AS kind FROM x GROUP BY hour) SELECT c.ts, active, reduction, kind FROM {{reference}} c JOIN n ON @idiv(@unix(c.ts), 3600) = hour"""
+
+
+#: By whole seconds, as the SQL of `n14_event_assessment` has it.
+ACTIVITY_BY_SECONDS = activity(ACTIVE)
+operator("d13_event_activity", "Events whose window, by their kind's profile, holds the moment.", activity(ACTIVE_EXACTLY))
 operator("d14_tokens", "Tokens, distinct content tokens and phrase containment.", "SELECT doc_id, CAST(@size(@tokens(text)) AS BIGINT) AS tokens, CAST(@size(@distinct(@filter(@tokens(text), @L(t) t NOT IN " + str(STOPWORDS) + "))) AS BIGINT) AS content_tokens, CASE WHEN (' ' || lower(text) || ' ') LIKE '% and the %' THEN 1 ELSE 0 END AS has_phrase FROM {documents}")
 operator("d20_urgency", "Urgency by age and impact by trust.", "WITH a AS (SELECT id, source, value, (@unix((SELECT max(ts) FROM {observations})) - @unix(ts)) / 60 AS age FROM {observations}) SELECT id, CASE WHEN age < 30 THEN 'high' WHEN age < 120 THEN 'medium' ELSE 'low' END AS urgency, @r6(abs(coalesce(value, 0)) / 100 * CASE WHEN age < 30 THEN 1.0 WHEN age < 120 THEN 0.6 ELSE 0.3 END * CASE source WHEN 'src0' THEN 0.9 WHEN 'src1' THEN 0.7 ELSE 0.5 END) AS impact FROM a")
 CDF = "(CASE WHEN {x} >= 0 THEN 1 - exp(-({x}) * ({x}) / 2) * 0.3989422804014327 * (0.319381530 * {k} - 0.356563782 * {k} * {k} + 1.781477937 * {k} * {k} * {k} - 1.821255978 * {k} * {k} * {k} * {k} + 1.330274429 * {k} * {k} * {k} * {k} * {k}) ELSE exp(-({x}) * ({x}) / 2) * 0.3989422804014327 * (0.319381530 * {k} - 0.356563782 * {k} * {k} + 1.781477937 * {k} * {k} * {k} - 1.821255978 * {k} * {k} * {k} * {k} + 1.330274429 * {k} * {k} * {k} * {k} * {k}) END)"
