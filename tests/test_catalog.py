@@ -64,3 +64,9 @@ def test_an_event_of_a_fraction_of_a_second_starts_after_its_hour(spark, tmp_pat
     rows = [(k, at(h, 0), 1, "view", 5.0, "") for k, h in enumerate(range(0, 20))] + [(100, at(10, 500_000), 1, "purchase", 5.0, ""), (101, at(15, 0), 1, "purchase", 5.0, "")]
     got = _run(spark, tmp_path, "d13_event_activity", events=spark.createDataFrame(rows, EVENT))
     assert sorted(r["ts"].hour for r in got) == [10, 11, 14, 15, 16]  # not 9: half a second before the window
+
+
+def test_temperature_of_a_sure_miss_is_infinite(spark, tmp_path):
+    rows = [(96, 0, 0), (3, 1, 0)]  # 96 % 97 / 96 = 1
+    got = {r["temp"]: r["nll"] for r in _run(spark, tmp_path, "h54_temperature", labels=spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))}
+    assert got[0.25] == math.inf and got[10.0] < math.inf
