@@ -50,6 +50,11 @@ def test_entry_works_without_the_llm_package():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) <= set(e.queries())
 
 
+def test_nulls_and_logarithms_of_zero_are_the_databases():
+    assert render("max_by(v, id)", duck=True) == "max_by(v, id)" and render("@ln(x)", duck=True) == "ln(x)"
+    assert render("max_by(f(v, 1), id)", duck=False) == "max_BY(f(v, 1), CASE WHEN (f(v, 1)) IS NOT NULL THEN id END)"
+
+
 def _run(spark, folder, name, **tables):
     for t, rows in tables.items():
         rows.write.mode("overwrite").parquet(str(folder / f"{t}.parquet"))
@@ -70,3 +75,9 @@ def test_temperature_of_a_sure_miss_is_infinite(spark, tmp_path):
     rows = [(96, 0, 0), (3, 1, 0)]  # 96 % 97 / 96 = 1
     got = {r["temp"]: r["nll"] for r in _run(spark, tmp_path, "h54_temperature", labels=spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))}
     assert got[0.25] == math.inf and got[10.0] < math.inf
+
+
+def test_report_lookup_skips_reports_without_a_value(spark, tmp_path):
+    rows = [(k, datetime(2024, 1, 1, k % 24, k // 24), 1, "view", float(k), "") for k in range(18, 35)]  # 34 has none
+    got = _run(spark, tmp_path, "h75_report_lookup", events=spark.createDataFrame(rows, EVENT))
+    assert {r["confidence"] for r in got} == {33.0}
