@@ -14,9 +14,9 @@ def _catalog():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidewater.operators import analogs, assessments, engines, folds, labels, lifecycle, members, newswords, payloads, readouts, recurrences, selection, similarity, training
+    from tidewater.operators import analogs, assessments, engines, folds, labels, lifecycle, members, newswords, payloads, quotes, readouts, recurrences, selection, similarity, training
 
-    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES | payloads.QUERIES | labels.QUERIES | assessments.QUERIES | recurrences.QUERIES | similarity.QUERIES
+    return {name: op.run for name, op in _catalog().items()} | folds.QUERIES | readouts.QUERIES | engines.QUERIES | newswords.QUERIES | training.QUERIES | analogs.QUERIES | members.QUERIES | selection.QUERIES | lifecycle.QUERIES | payloads.QUERIES | labels.QUERIES | assessments.QUERIES | recurrences.QUERIES | similarity.QUERIES | quotes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
