@@ -114,3 +114,14 @@ def test_edges_and_bins(spark):
     edges = t.edges_of(df, ["a", "b"])
     bins = t.binned(np.array([[0.0, 1.0], [50.0, 1.0], [1000.0, 2.0]]), edges)
     assert len(edges[0]) <= t.BINS - 1 and bins[:, 0].tolist() == sorted(bins[:, 0].tolist()) and bins[2, 0] == len(edges[0]) and bins[0, 1] == 0 and bins[2, 1] == 1
+
+
+def test_sums_come_as_columns_and_nothing_grows_from_no_rows(spark, monkeypatch):
+    learner = t.Learner(**{**t.LEARNERS[0].__dict__})
+    data = spark.createDataFrame([(k, float(k % 2), bytes([k % 2, 3])) for k in range(40)], "h long, y double, b binary")
+    growing = t._Growing(0, 0, t.Tree(learner.depth), [0], {0: np.arange(2)})
+    monkeypatch.setattr(type(data), "collect", lambda self: 1 / 0)  # no row objects in the driver
+    ensemble = [t.Ensemble(learner, 0.0)]
+    found = t._summed(data, ensemble, [growing])
+    assert set(found) == {(0, 0, 0), (0, 0, 1)} and found[0, 0, 0].shape == (t.BINS, 3) and found[0, 0, 1][3, 2] == found[0, 0, 0][:2, 2].sum() > 0
+    assert t._summed(data.where("false"), ensemble, [growing]) == {}

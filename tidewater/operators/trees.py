@@ -165,15 +165,19 @@ def _summed(data: DataFrame, ensembles: list[Ensemble], growing: list[_Growing])
                     for f in g.looks[node].tolist():
                         cells = np.stack([np.bincount(bins[own, f], v[own], BINS) for v in (grad, hess, n)], 1)
                         total[t, node, f] = total.get((t, node, f), 0) + cells
-        rows = [(t, node, f, b, *cells[b]) for (t, node, f), cells in total.items() for b in np.flatnonzero(cells[:, 2]).tolist()]
-        kinds = [pa.int32()] * 4 + [pa.float64()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["t", "node", "f", "b", "g", "h", "n"])
+        seen = {key: np.flatnonzero(cells[:, 2]) for key, cells in total.items()}
+        keys = np.repeat(np.array(list(seen), dtype=np.int32).reshape(-1, 3), [len(b) for b in seen.values()], axis=0)
+        bins_ = np.concatenate([*seen.values(), np.zeros(0, int)]).astype(np.int32)
+        values = np.concatenate([*[total[key][b] for key, b in seen.items()], np.zeros((0, 3))]).astype(float)
+        yield pa.RecordBatch.from_arrays([*[pa.array(keys[:, k]) for k in range(3)], pa.array(bins_), *[pa.array(values[:, k]) for k in range(3)]], names=["t", "node", "f", "b", "g", "h", "n"])
 
     sums = data.select("h", "y", "b").mapInArrow(run, "t int, node int, f int, b int, g double, h double, n double")
-    out: dict[tuple[int, int, int], np.ndarray] = {}
-    for r in sums.groupBy("t", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect():
-        out.setdefault((r["t"], r["node"], r["f"]), np.zeros((BINS, 3)))[r["b"]] = r["g"], r["h"], r["n"]
-    return out
+    found = sums.groupBy("t", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+    column = lambda k: found[k].to_numpy()
+    keys, of = np.unique(np.stack([column(k) for k in ("t", "node", "f")], 1), axis=0, return_inverse=True)
+    cells = np.zeros((len(keys), BINS, 3))
+    cells[of.reshape(-1), column("b")] = np.stack([column(k) for k in ("g", "h", "n")], 1)
+    return {tuple(key): cells[k] for k, key in enumerate(keys.tolist())}
 
 
 def gains(cells: np.ndarray, l2: float) -> np.ndarray:
