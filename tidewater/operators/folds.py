@@ -7,14 +7,13 @@ is bounded by its calendar, never by the number of symbols.
 from __future__ import annotations
 
 import math
-from array import array
-from collections import deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.novelty import novelty
 from tidewater.operators.swings import structure, value_area
 from tidewater.plans.dialect import CATALOG, Operator
 
@@ -34,36 +33,6 @@ def session_profiles(candles: DataFrame, bins: int = 30, least: int = 15) -> Dat
     return d.groupBy("symbol", "session").applyInPandas(one, "symbol string, session date, poc double, val double, vah double")
 
 
-def novelty(articles: DataFrame, threshold: float = 0.7, across: bool = False) -> DataFrame:
-    """Greedy suppression: an article too close to any earlier kept one of its source, or ``across`` all sources, drops.
-
-    ``articles``: source, id, tokens array<string>. Adds novelty = 1 - largest Jaccard similarity, and kept. Each article
-    depends on all kept before it, so ``across`` sources all are one group; an index by token finds what shares one.
-    """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        having: dict[str, array] = {}  # token: the kept articles with it
-        lengths = array("q")
-        out = []
-        for source, i, tokens in zip(rows["source"], rows["id"], rows["tokens"]):
-            s = set(tokens)
-            found = [np.array(having[t]) for t in s if t in having]
-            best = 0.0
-            if found:
-                both = np.bincount(np.concatenate(found), minlength=len(lengths))
-                best = float((both / (len(s) + np.array(lengths) - both)).max())
-            if best <= threshold:
-                for t in s:
-                    having.setdefault(t, array("q")).append(len(lengths))
-                lengths.append(len(s))
-            out.append((source, i, 1 - best, best <= threshold))
-        return pd.DataFrame(out, columns=["source", "id", "novelty", "kept"])
-
-    grouped = articles.select("source", "id", "tokens", (F.lit("") if across else F.col("source")).alias("_of")).groupBy("_of")
-    return grouped.applyInPandas(one, "source string, id long, novelty double, kept boolean")
-
-
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
     """Dynamic time warping distance of two vector paths."""
     cost = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
