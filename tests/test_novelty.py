@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewater.operators import novelty as blocks
@@ -62,3 +64,20 @@ def test_blocks_are_bounded_and_in_order(spark, monkeypatch):
     for b in {r["block"] for r in placed}:
         assert sum(r["n"] + blocks.EACH for r in placed if r["block"] == b) <= size + max(r["n"] + blocks.EACH for r in placed)
     assert len({r["block"] for r in placed}) == blocks.SPREAD
+
+
+def test_tokens_are_read_in_parts(monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 3)
+    r = random.Random(7)
+    far = [sorted(r.sample(range(-40, 40), r.randint(0, 4)), reverse=True) for _ in range(10)]
+    mid = [sorted(r.sample(range(50), r.randint(0, 5)), reverse=True) for _ in range(10)]
+    packed = lambda rows, kind: pa.array([np.array(x, kind).tobytes() for x in rows], pa.binary())
+    rows = pa.table({"far": packed(far, np.int64), "mid": packed(mid, np.uint16)})
+    known = blocks._known(rows)
+    assert known.tolist() == sorted({x for row in far for x in row})
+    tokens, start = blocks._tokens(rows, known[::2])
+    number = {x: blocks.KNOWN + i for i, x in enumerate(known[::2].tolist())}
+    assert [tokens[a:b].tolist() for a, b in zip(start, start[1:])] == [[number.get(x, -1) for x in f] + m for f, m in zip(far, mid)]
+    tokens, row = np.array([3, 0, 3, 1], np.int32), np.array([0, 1, 2, 2])
+    first, found = blocks._index(tokens, row, 5)
+    assert [found[a:b].tolist() for a, b in zip(first, first[1:])] == [[1], [2], [], [0, 2], []]

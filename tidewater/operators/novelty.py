@@ -24,8 +24,8 @@ from tidewater.session import cut, shuffle_partitions, sized_join
 
 # Tokens known by rank (two bytes each), articles they are counted in, tokens of a block (each article as EACH
 # more), blocks that even few articles are dealt into, least tokens of a block, a column of their own for tokens that one in
-# OFTEN candidates has (at most COLUMNS), rare tokens that are met on
-KNOWN, SAMPLE, BLOCK, EACH, SPREAD, LEAST, OFTEN, COLUMNS, SHARED = 65536, 4096, 9_000_000, 64, 8, 500_000, 200, 2048, 4
+# OFTEN candidates has (at most COLUMNS), rare tokens that are met on, rows unpacked at once
+KNOWN, SAMPLE, BLOCK, EACH, SPREAD, LEAST, OFTEN, COLUMNS, SHARED, PART = 65536, 4096, 9_000_000, 64, 8, 500_000, 200, 2048, 4, 4096
 SETS = "of long, id long, source string, n int, mid binary, far binary"
 
 
@@ -113,21 +113,33 @@ def _unpacked(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.nda
     return values, np.array([len(p) for p in parts], np.int64) // values.itemsize
 
 
+def _known(rows: pa.Table) -> np.ndarray:
+    """Keys of all rows, ascending, each once."""
+    far = np.sort(_unpacked(rows, "far", np.int64)[0])
+    return far[np.r_[True, far[1:] != far[:-1]]] if len(far) else far
+
+
 def _tokens(rows: pa.Table, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of all rows, rarest first; where each row starts): ranks, then numbers of ``known`` keys, -1 for other keys."""
-    far, n_far = _unpacked(rows, "far", np.int64)
-    mid, n_mid = _unpacked(rows, "mid", np.uint16)
-    start = np.r_[0, np.cumsum(n_far + n_mid)]
-    out = np.empty(start[-1], np.int32)
-    at = np.minimum(np.searchsorted(known, far), max(0, len(known) - 1))
-    for values, lengths, first in ((np.where(known[at] == far, KNOWN + at, -1) if len(known) else np.full(len(far), -1), n_far, start[:-1]), (mid, n_mid, start[:-1] + n_far)):
-        out[np.arange(len(values)) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)] = values
-    return out, start
+    parts, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, rows.num_rows, PART):
+        far, n_far = _unpacked(rows.slice(at, PART), "far", np.int64)
+        mid, n_mid = _unpacked(rows.slice(at, PART), "mid", np.uint16)
+        is_far = np.repeat(np.tile([True, False], len(n_far)), np.c_[n_far, n_mid].ravel())
+        out = np.empty(len(is_far), np.int32)
+        found = np.minimum(np.searchsorted(known, far), max(0, len(known) - 1))
+        out[is_far] = np.where(known[found] == far, KNOWN + found, -1) if len(known) else -1
+        out[~is_far] = mid
+        parts.append(out)
+        lengths.append(n_far + n_mid)
+    return np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(lengths))]
 
 
 def _index(tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(where the rows of each of n tokens start, rows)."""
-    return np.r_[0, np.cumsum(np.bincount(tokens, minlength=n))], row[np.argsort(tokens, kind="stable")]
+    both = (tokens.astype(np.int64) << 32) + row
+    both.sort()
+    return np.r_[0, np.cumsum(np.bincount(tokens, minlength=n))], both & ((1 << 32) - 1)
 
 
 def _counted(tokens: np.ndarray, first: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -145,7 +157,7 @@ def _nearest(q: pa.Table | None, c: pa.Table | None) -> pa.Table:
     pos, of, n = (_numbers(q, x) for x in ("pos", "of", "n"))
     to_pos, to_of, to_n = (_numbers(c, x) for x in ("pos", "of", "n"))
     several = len(np.unique(np.r_[of, to_of])) > 1
-    known = np.unique(_unpacked(c, "far", np.int64)[0])
+    known = _known(c)
     tokens, start = _tokens(c, known)
     row = np.repeat(np.arange(c.num_rows), np.diff(start))
     first, rows = _index(tokens, row, KNOWN + len(known))
@@ -202,7 +214,7 @@ def _close(threshold: float, all_of: bool) -> Callable:
             return kinds.empty_table()
         pos, of, n = (_numbers(x, y) for x, y in ((q, "pos"), (q, "of"), (q, "n")))
         to_pos, to_of, to_n = (_numbers(c, x) for x in ("pos", "of", "n"))
-        known = np.unique(_unpacked(c, "far", np.int64)[0])
+        known = _known(c)
         tokens, start = _tokens(c, known)
         row = np.repeat(np.arange(c.num_rows), np.diff(start))
         within = np.arange(len(tokens)) - start[row] < prefixes(to_n)[1][row]
